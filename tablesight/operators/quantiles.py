@@ -17,6 +17,8 @@ from tablesight.functions.nulls import col, join_on
 SKETCH_ACCURACY = 10_000
 # The sketch is off by at most 1/accuracy of the rows; the bracket leaves several times that.
 _MARGIN = 4.0 / SKETCH_ACCURACY
+# Up to this many rows the bracket is the whole group: there the margin would be only a few ranks wide.
+_SMALL_GROUP = 5 * SKETCH_ACCURACY
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), as_type: str = "double",
@@ -43,12 +45,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         F.percentile_approx("value", low + high, SKETCH_ACCURACY).alias("cuts"),
     )
     k = len(probabilities)
+    small = F.col("n") <= _SMALL_GROUP
     wanted = brackets.select(*[col(g) for g in groups], F.posexplode(F.array(*[
         F.struct(
             F.lit(float(p)).alias("probability"),
             (F.lit(float(p)) * (F.col("n") - 1)).alias("position"),
-            (F.col("least") if low[i] == 0.0 else F.col("cuts")[i]).alias("lo"),
-            (F.col("most") if high[i] == 1.0 else F.col("cuts")[k + i]).alias("hi"),
+            F.when(small | F.lit(low[i] == 0.0), F.col("least")).otherwise(F.col("cuts")[i]).alias("lo"),
+            F.when(small | F.lit(high[i] == 1.0), F.col("most")).otherwise(F.col("cuts")[k + i]).alias("hi"),
         ) for i, p in enumerate(probabilities)
     ])).alias("_i", "w"))
     wanted = wanted.groupBy(*[col(g) for g in groups]).agg(F.collect_list("w").alias("w"))
