@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -10,23 +11,27 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 SMALL_RANK_ROWS = 200_000
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session may get a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+            shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and continue from the written table.
+
+    Unlike a cached copy it outlives lost executors, and later steps read only the columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_global_rank(df: DataFrame, order: list, name: str = "_row_id", start: int = 0,
@@ -40,7 +45,7 @@ def with_global_rank(df: DataFrame, order: list, name: str = "_row_id", start: i
     if n <= small_rows:
         window = W.orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1 + start).cast("bigint"))
-    ranked = cut_lineage(
+    ranked = store(
         df.orderBy(*order)
         .withColumn("_mono", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mono", 33))

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablesight.functions.nulls import col, join_on, sum_or_zero, try_double
-from tablesight.functions.storage import cut_lineage
+from tablesight.functions.storage import store
 from tablesight.operators.stages import (
     add_computed, aggregate, aggregate_function, before_aggregate, filter_rows, plan_measures, run_stages, sort_rows)
 from tablesight.plans import ChartSpec, Guide, SchemaRoles, SpecError, make_spec, schema_roles
@@ -209,38 +209,44 @@ def bins(df: DataFrame, x: str, nbins: int = 20, y: str | None = None, histfunc:
     """Histogram rows ``(bin, low, high, center, *keys, value)``."""
     keys = list(keys)
     func = (histfunc or ("sum" if y else "count")).lower()
-    number = _number(df, x)
     rows = df.select(
-        number.alias("_v"), *[col(k) for k in keys],
+        _number(df, x).alias("_v"), *[col(k) for k in keys],
         (try_double(col(y)) if y else F.lit(1.0)).alias("_y")).where("_v IS NOT NULL")
-    span = rows.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
     # A constant column gets one unit around its value.
-    flat = span["lo"] == span["hi"]
-    lo = F.when(flat, span["lo"] - 0.5).otherwise(span["lo"])
-    hi = F.when(flat, span["hi"] + 0.5).otherwise(span["hi"])
-    n, step = F.lit(nbins), (hi - lo) / nbins
-    v = F.col("_v")
-    raw = F.least(F.floor((v - lo) / (hi - lo) * n), n - 1)
-    edge = lambda i: lo + i * step
+    flat = F.min("_v") == F.max("_v")
+    span = rows.agg(F.struct(
+        F.when(flat, F.min("_v") - 0.5).otherwise(F.min("_v")).alias("lo"),
+        F.when(flat, F.max("_v") + 0.5).otherwise(F.max("_v")).alias("hi"))).scalar()
+
+    def edge(i):
+        return F.col("_s.lo") + i * F.col("_step")
+
+    # The bounds are attached once as columns; the expressions below use them many times.
+    step = ((F.col("_s.hi") - F.col("_s.lo")) / nbins).alias("_step")
+    v, guess = F.col("_v"), F.col("_i")
+    placed = rows.withColumn("_s", span).select("*", step).withColumn(
+        "_i", F.least(F.floor((v - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo")) * nbins), F.lit(nbins - 1)))
     # Values next to an edge go where the edge itself says, not where rounding put them.
-    index = F.when(v < edge(raw), raw - 1).when((v >= edge(raw + 1)) & (raw < n - 1), raw + 1).otherwise(raw)
+    index = F.when(v < edge(guess), guess - 1).when(
+        (v >= edge(guess + 1)) & (guess < nbins - 1), guess + 1).otherwise(guess)
     value = F.count(F.lit(1)) if func == "count" and not y else (
         F.count("_y") if func == "count" else aggregate_function(func, F.col("_y")))
-    filled = rows.groupBy(index.cast("int").alias("bin"), *[col(k) for k in keys]).agg(value.alias("value"))
+    filled = placed.groupBy(index.cast("int").alias("bin"), *[col(k) for k in keys]).agg(value.alias("value"))
 
-    frame = df.sparkSession.range(nbins).select(F.col("id").cast("int").alias("bin"))
     if keys:
         # Every observed split gets all bins.
         splits = filled.select(*[col(k) for k in keys]).distinct()
         frame = splits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))))
     else:
-        frame = frame.where(span["lo"].isNotNull())
+        frame = df.sparkSession.range(nbins).select(F.col("id").cast("int").alias("bin"))
     out = join_on(frame, filled, ["bin", *keys])
     if func in ("count", "sum"):
         out = out.withColumn("value", F.coalesce("value", F.lit(0)))
     b = F.col("bin")
-    return out.select("bin", edge(b).alias("low"), edge(b + 1).alias("high"),
-                      ((edge(b) + edge(b + 1)) / 2).alias("center"), *[col(k) for k in keys], "value")
+    # Without any value there are no bounds and no bins.
+    bounded = out.withColumn("_s", span).where(F.col("_s.lo").isNotNull()).select("*", step)
+    return bounded.select("bin", edge(b).alias("low"), edge(b + 1).alias("high"),
+                          ((edge(b) + edge(b + 1)) / 2).alias("center"), *[col(k) for k in keys], "value")
 
 
 def pie(df: DataFrame, spec: ChartSpec) -> DataFrame:
@@ -280,12 +286,12 @@ def run_report(df: DataFrame, guide: Mapping[str, Any] | Guide, materialise: boo
     """Data of every chart of a guide by chart name. A chart that cannot be built is skipped with a warning.
 
     Charts on columnar files read only their own columns, so by default nothing is stored. With
-    ``materialise`` the typed base table is written once to the checkpoint folder, which pays off when
+    ``materialise`` the typed base table is written once to the shared folder, which pays off when
     reading it again is dear (text files with inferred types).
     """
     guide = guide if isinstance(guide, Guide) else Guide.from_dict(guide)
     if materialise and len(guide.charts) > 1:
-        df = cut_lineage(df)
+        df = store(df)
     roles = schema_roles(df)
     result: dict[str, DataFrame] = {}
     for i, raw in enumerate(guide.charts, start=1):

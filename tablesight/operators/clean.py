@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesight.functions.nulls import col, try_double
+from tablesight.functions.storage import store
 from tablesight.operators.profile import duplicate_rows, profiled_columns
 from tablesight.operators.quantiles import modes, quantile_row
 from tablesight.operators.typing import infer_types, string_columns
@@ -71,16 +72,20 @@ def impute(df: DataFrame, numeric: Sequence[str] | None = None, categorical: Seq
     """Fill gaps: numbers with the column's median, categories with its most frequent value. Types stay."""
     numeric = _numeric(df) if numeric is None else list(numeric)
     categorical = _categorical(df) if categorical is None else list(categorical)
-    out = {}
+    if not numeric and not categorical:
+        return df
+    # Medians and modes come as one value each, attached once per row and dropped again.
+    found, out = {}, {}
     if numeric:
-        middle = quantile_row(df, numeric, [0.5]).agg(
+        found["_middle"] = quantile_row(df, numeric, [0.5]).agg(
             F.first(F.struct(*[col(c)[0].alias(f"m{i}") for i, c in enumerate(numeric)]))).scalar()
-        out |= {c: F.coalesce(col(c), _as_type(middle[f"m{i}"], df.schema[c].dataType)) for i, c in enumerate(numeric)}
+        out |= {c: F.coalesce(col(c), _as_type(F.col("_middle")[f"m{i}"], df.schema[c].dataType))
+                for i, c in enumerate(numeric)}
     if categorical:
-        usual = modes(df, categorical).agg(
+        found["_usual"] = modes(df, categorical).agg(
             F.map_from_entries(F.collect_list(F.struct("column", "value")))).scalar()
-        out |= {c: F.coalesce(col(c), usual[F.lit(c)].cast(df.schema[c].dataType)) for c in categorical}
-    return df.withColumns(out) if out else df
+        out |= {c: F.coalesce(col(c), F.col("_usual")[F.lit(c)].cast(df.schema[c].dataType)) for c in categorical}
+    return df.withColumns(found).withColumns(out).drop(*found)
 
 
 def _as_type(value: Column, dtype: T.DataType) -> Column:
@@ -115,11 +120,11 @@ def fences(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR) ->
 def flag_outliers(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR,
                   suffix: str = "_outlier") -> DataFrame:
     """A boolean column per measure: outside its interquartile fences."""
-    f = fences(df, columns, factor)
-    return df.withColumns({
+    f = F.col("_fences")
+    return df.withColumn("_fences", fences(df, columns, factor)).withColumns({
         f"{c}{suffix}": F.coalesce(~col(c).between(f[f"c{i}"]["low"], f[f"c{i}"]["high"]), F.lit(False))
         for i, c in enumerate(columns)
-    })
+    }).drop("_fences")
 
 
 def count_violations(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
@@ -143,19 +148,18 @@ def issues(df: DataFrame, rules: Mapping[str, str] | None = None, columns: Seque
     """Rows ``(type, column, severity, affected_rows, percentage, action)`` for everything found wrong."""
     columns = profiled_columns(df) if columns is None else list(columns)
     numbers = [c for c in _numeric(df) if c in columns]
-    out = fences(df, numbers) if numbers else None
     counts = [F.count(F.lit(1)).alias("_rows")]
     entries = [("duplicate_rows", None, duplicate_rows(df, columns), "remove repeated rows")]
     for i, c in enumerate(columns):
         counts.append(F.count_if(col(c).isNull()).alias(f"_null_{i}"))
         fill = "median" if c in numbers else "most frequent value"
         entries.append(("missing_values", c, F.col(f"_null_{i}"), f"fill with {fill}"))
-    if out is not None:
-        flagged = df.select("*", F.lit(None).alias("_none"))
+    if numbers:
+        out = F.col("_fences")
+        df = df.withColumn("_fences", fences(df, numbers))
         for i, c in enumerate(numbers):
             counts.append(F.count_if(~col(c).between(out[f"c{i}"]["low"], out[f"c{i}"]["high"])).alias(f"_out_{i}"))
             entries.append(("outliers", c, F.col(f"_out_{i}"), "review or remove"))
-        df = flagged
     for i, (name, text) in enumerate((rules or {}).items()):
         counts.append(F.count_if(~F.coalesce(F.expr(text), F.lit(False))).alias(f"_rule_{i}"))
         entries.append(("invalid_values", name, F.col(f"_rule_{i}"), "remove or correct"))
@@ -186,11 +190,13 @@ def clean(df: DataFrame, strategy: str = "standard", rules: Mapping[str, str] |
         return df.withColumn("_valid", _fulfils(rules))
     df = drop_duplicates(standardise(df))
     if strategy == "aggressive":
-        df = df.where(_fulfils(rules))
+        # Fences and fill values each read the rows again; they read the stored, already reduced ones.
+        df = store(df.where(_fulfils(rules)))
         if numbers:
-            f = fences(df, numbers)
+            f, inside = F.col("_fences"), F.lit(True)
             for i, c in enumerate(numbers):
-                df = df.where(col(c).isNull() | col(c).between(f[f"c{i}"]["low"], f[f"c{i}"]["high"]))
+                inside = inside & (col(c).isNull() | col(c).between(f[f"c{i}"]["low"], f[f"c{i}"]["high"]))
+            df = store(df.withColumn("_fences", fences(df, numbers)).where(inside).drop("_fences"))
     return impute(df)
 
 

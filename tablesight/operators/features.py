@@ -52,9 +52,10 @@ def z_scores(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataF
     stats = df.agg(F.struct(
         *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(columns)])).scalar()
-    return df.withColumns({
-        f"{c}{suffix}": F.try_divide(col(c) - stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(columns)
-    })
+    s = F.col("_stats")
+    return df.withColumn("_stats", stats).withColumns({
+        f"{c}{suffix}": F.try_divide(col(c) - s[f"m{i}"], s[f"s{i}"]) for i, c in enumerate(columns)
+    }).drop("_stats")
 
 
 def derive(df: DataFrame, metrics: Mapping[str, str], params=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesight.functions.nulls import col
 from tablesight.functions.text import suffix
@@ -161,6 +161,18 @@ def health(rows: DataFrame, threshold_ms: float = LATENCY_THRESHOLD_MS) -> DataF
         "status", health_status(F.col("health_score"))).withColumn("alerts", alerts)
 
 
+def first_errors(events: DataFrame, by: str, order: str, message: Column, is_error: Column) -> DataFrame:
+    """Rows ``(by, errors)`` with each session's first errors.
+
+    Score and alerts look at no more than the listed errors, so nothing beyond them is collected.
+    """
+    rank = W.partitionBy(col(by)).orderBy(col(order))
+    first = events.where(is_error).select(col(by), col(order), message.alias("_message")).withColumn(
+        "_rank", F.row_number().over(rank)).where(F.col("_rank") <= LISTED_ERRORS)
+    packed = F.array_sort(F.collect_list(F.struct("_rank", "_message")))
+    return first.groupBy(col(by)).agg(F.transform(packed, lambda e: e["_message"]).alias("errors"))
+
+
 def step_summary(steps: DataFrame, by: str = "session_id") -> DataFrame:
     """Per session: completed, failed and all steps, cost and tokens. The root node is not a step."""
     status = lambda s: F.count_if(F.col("status") == s)

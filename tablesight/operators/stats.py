@@ -34,10 +34,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                  F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"))
         for i, c in enumerate(columns)
     ])
-    quartiles = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), quart[f"c{i}"])])
+    quartiles = F.create_map(*[v for i, c in enumerate(columns) for v in (F.lit(c), F.col("_quart")[f"c{i}"])])
     q = lambda i: F.col("_q")[i]
-    return wide.select(F.inline(rows)).withColumn("_q", quartiles[F.col("column")]).select(
-        "column", "count", "mean", q(1).alias("median"), usual[F.col("column")].alias("mode"), "std",
+    looked_up = wide.select(F.inline(rows)).withColumns({"_quart": quart, "_usual": usual}).withColumn(
+        "_q", quartiles[F.col("column")])
+    return looked_up.select(
+        "column", "count", "mean", q(1).alias("median"), F.col("_usual")[F.col("column")].alias("mode"), "std",
         "min", "max", (F.col("max") - F.col("min")).alias("range"), q(0).alias("q1"), q(2).alias("q3"),
         (q(2) - q(0)).alias("iqr"))
 
@@ -178,16 +180,16 @@ def anomalies(df: DataFrame, measure: str, method: str = "zscore", limit: float
     """Rows whose measure is unusual, with their ``score`` (z-score, or distance to the fence in IQRs)."""
     if method == "zscore":
         s = df.agg(F.struct(F.avg(col(measure)).alias("m"), F.stddev_pop(col(measure)).alias("s"))).scalar()
-        score = F.try_divide(col(measure) - s["m"], s["s"])
-        return df.withColumn("score", score).where(F.abs("score") > limit)
+        score = F.try_divide(col(measure) - F.col("_s.m"), F.col("_s.s"))
+        return df.withColumn("_s", s).withColumn("score", score).drop("_s").where(F.abs("score") > limit)
     if method != "iqr":
         raise ValueError("method must be zscore or iqr")
-    f = fences(df, [measure])["c0"]
+    f, value = F.col("_f"), col(measure)
     width = f["q3"] - f["q1"]
-    value = col(measure)
     score = F.when(value > f["high"], F.try_divide(value - f["q3"], width)).when(
         value < f["low"], F.try_divide(value - f["q1"], width))
-    return df.withColumn("score", score).where((value > f["high"]) | (value < f["low"]))
+    marked = df.withColumn("_f", fences(df, [measure])["c0"]).withColumn("score", score)
+    return marked.drop("_f").where(F.col("score").isNotNull())
 
 
 def segments(df: DataFrame, rules: Mapping[str, str], measures: Sequence[str], default: str = "other") -> DataFrame:

@@ -110,7 +110,7 @@ def compare_groups(df: DataFrame, by: str, measures: Sequence[str], how: str = "
         F.first(F.struct(*[col(m).alias(f"m{i}") for i, m in enumerate(measures)]))).scalar()
     groups = df.groupBy(col(by)).agg(
         F.count(F.lit(1)).alias("rows"), *[aggregate_function(how, col(m)).alias(m) for m in measures])
-    return groups.withColumns({
-        f"{m}_ratio": F.try_divide(col(m).cast("double"), overall[f"m{i}"].cast("double"))
+    return groups.withColumn("_all", overall).withColumns({
+        f"{m}_ratio": F.try_divide(col(m).cast("double"), F.col("_all")[f"m{i}"].cast("double"))
         for i, m in enumerate(measures)
-    })
+    }).drop("_all")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablesight.functions.nulls import col
+from tablesight.operators.quantiles import unpivot
 
 # A column becomes numeric when more than this share of all rows parses.
 NUMERIC_THRESHOLD = 0.8
@@ -48,6 +50,20 @@ def parse_date(text: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.trim(text), F.lit(fmt)).cast("timestamp_ntz")
 
 
+# What each letter group of a format stands for, longest first.
+_SHAPES = {
+    "[.SSSSSS]": r"(\.\d{1,6})?", "'T'": "T", "yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}",
+    "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}",
+    ".": r"\.",
+}
+
+
+def format_pattern(fmt: str) -> str:
+    """Regular expression for the shape of text that a date format can read."""
+    group = "|".join(re.escape(k) for k in _SHAPES)
+    return "^" + re.sub(group, lambda m: _SHAPES[m.group()], fmt) + "$"
+
+
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -55,29 +71,23 @@ def string_columns(df: DataFrame) -> list[str]:
 def type_shares(df: DataFrame, columns: Sequence[str] | None = None, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """One row per string column: rows, non-null, and how many values parse as each type.
 
-    All columns and all formats are counted in one aggregate over the data.
+    Cells are unpivoted first, so one small aggregate counts all columns and formats, however wide the table.
     """
     columns = string_columns(df) if columns is None else list(columns)
-    counts = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        text = F.trim(col(name))
-        counts += [
-            F.count(text).alias(f"known_{i}"),
-            F.count(parse_number(text)).alias(f"number_{i}"),
-            F.count_if(F.rlike(text, F.lit(_INTEGER))).alias(f"integer_{i}"),
-            F.count_if(F.rlike(text, F.lit(_BOOLEAN))).alias(f"boolean_{i}"),
-            F.array(*[F.count(parse_date(text, f)) for f in formats]).alias(f"dates_{i}"),
-        ]
-    wide = df.agg(*counts)
-    per_column = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.col("rows"), F.col(f"known_{i}").alias("known"),
-            F.col(f"number_{i}").alias("number"), F.col(f"integer_{i}").alias("integer"),
-            F.col(f"boolean_{i}").alias("boolean"), F.col(f"dates_{i}").alias("dates"))
-        for i, name in enumerate(columns)
-    ]) if columns else F.array().cast("array<struct<name:string,rows:bigint,known:bigint,number:bigint,"
-                                     "integer:bigint,boolean:bigint,dates:array<bigint>>>")
-    return wide.select(F.inline(per_column))
+    cells = unpivot(df, columns, as_type="string", name="name", value="text") if columns else (
+        df.sparkSession.createDataFrame([], "name string, text string"))
+    text = F.trim("text")
+    # Only text shaped like some date is tried against the formats.
+    shaped = F.when(F.rlike(text, F.lit("|".join(format_pattern(f) for f in formats))), text)
+    cells = cells.select("name", text.alias("text"), shaped.alias("dated"))
+    counted = cells.groupBy("name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("text").alias("known"),
+        F.count(parse_number(F.col("text"))).alias("number"),
+        F.count_if(F.rlike("text", F.lit(_INTEGER))).alias("integer"),
+        F.count_if(F.rlike("text", F.lit(_BOOLEAN))).alias("boolean"),
+        *[F.count(parse_date(F.col("dated"), f)).alias(f"_d{i}") for i, f in enumerate(formats)])
+    return counted.select("name", "rows", "known", "number", "integer", "boolean",
+                          F.array(*[F.col(f"_d{i}") for i in range(len(formats))]).alias("dates"))
 
 
 def decide_types(shares: DataFrame, numeric_threshold: float = NUMERIC_THRESHOLD,

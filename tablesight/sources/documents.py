@@ -20,14 +20,14 @@ def read_documents(spark: SparkSession, path, pattern: str = "*.{txt,md,html,htm
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-    clean = F.regexp_replace(text, "^﻿", "")
+    clean = F.regexp_replace(text, r"^\x{FEFF}", "")
     return raw.select(file_name(F.col("path")).alias("doc"), "path", clean.alias("text"), kind.alias("kind"))
 
 
 def document_text(docs: DataFrame, page_kinds: Sequence[str] = ("html", "htm")) -> DataFrame:
     """Rows ``(doc, text)`` with markup and JSON turned into plain text; blank documents are dropped."""
     is_page = F.col("kind").isin(*page_kinds)
-    pages = extract_html(docs.where(is_page), "doc", "text").select("doc", "text")
+    pages = extract_html(docs.where(is_page), "path", "text").select(file_name(F.col("path")).alias("doc"), "text")
     parsed = F.try_parse_json("text")
     json = docs.where(F.col("kind") == "json").select(
         "doc", F.when(parsed.isNotNull(), F.col("text")).alias("text"))

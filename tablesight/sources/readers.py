@@ -105,9 +105,12 @@ def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool
     return infer_types(raw) if infer else raw
 
 
-def read_parquet(spark: SparkSession, path, **options) -> DataFrame:
-    """Parquet files with NaN as missing. Filters and column choices reach the files."""
-    return nan_to_null(spark.read.options(**options).parquet(*([path] if isinstance(path, str) else path)))
+def read_parquet(spark: SparkSession, path, nan: str = "null", **options) -> DataFrame:
+    """Parquet files. ``nan="null"`` reads NaN as missing; ``nan="keep"`` is for files without any, where
+    filters on floating point columns then reach the files.
+    """
+    raw = spark.read.options(**options).parquet(*([path] if isinstance(path, str) else path))
+    return nan_to_null(raw) if nan == "null" else raw
 
 
 def _tsv(spark, path, **options):
