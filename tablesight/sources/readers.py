@@ -53,32 +53,22 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer: bool = True, scan
     ``scan`` looks at the files once to find out which are not UTF-8 and which have line breaks inside
     quotes; only the latter are read unsplit. With ``types`` (from ``detect_types``) nothing is inferred.
     """
-    if not scan:
-        raw = _csv(spark, path, sep, False, False, options)
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    if scan:
+        # One row per file, no more than the file listing that Spark keeps anyway.
+        for r in scan_text_files(spark, path).collect():
+            kinds.setdefault((bool(r["quoted_breaks"]), not r["utf8"]), []).append(r["path"])
+    if len(kinds) < 2:
+        raw = _csv(spark, path, sep, *next(iter(kinds), (False, False)), options)
     else:
-        odd = scan_text_files(spark, path).where(~F.col("utf8") | F.col("quoted_breaks")).collect()
-        if not odd:
-            raw = _csv(spark, path, sep, False, False, options)
-        else:
-            raw = _csv_by_kind(spark, path, sep, odd, options)
+        parts = [_csv(spark, files, sep, *kind, options) for kind, files in kinds.items()]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     raw = na_tokens_to_null(raw)
     if types is not None:
         return apply_types(raw, types)
     return infer_types(raw) if infer else raw
 
 
-def _csv_by_kind(spark, path, sep, odd, options) -> DataFrame:
-    kinds: dict[tuple[bool, bool], list[str]] = {}
-    for r in odd:
-        kinds.setdefault((bool(r["quoted_breaks"]), not r["utf8"]), []).append(r["path"])
-    special = {r["path"] for r in odd}
-    plain = [f for f in spark.read.text(path).inputFiles() if f not in special]
-    if plain:
-        kinds[(False, False)] = plain
-    parts = [_csv(spark, files, sep, *kind, options) for kind, files in kinds.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
 def scan_json_files(spark: SparkSession, paths) -> DataFrame:
     """Rows ``(path, lines)``: whether every non-blank line of the file is a JSON object of its own."""
     text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))

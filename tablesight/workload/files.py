@@ -1 +1,79 @@
-"""Queries."""
+"""Writing the given tables to files of each kind and reading them back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tablesight.functions.storage import shared_folder
+from tablesight.operators.vectors import nearest_to
+from tablesight.sources import catalog, readers, sinks
+from tablesight.workload.registry import query
+
+
+def _folder(df) -> str:
+    return f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+
+
+@query("source_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def source_csv(t):
+    orders = t("orders")
+    path = _folder(orders) + ".csv"
+    sinks.write_csv(orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")), path)
+    return readers.read_any(orders.sparkSession, path)
+
+
+@query("source_tsv_quoted", "SELECT event_id, event_type, props || chr(10) || '\"' || event_type || '\"' AS note FROM events")
+def source_tsv_quoted(t):
+    events = t("events").select("event_id", "event_type", F.concat("props", F.lit('\n"'), "event_type", F.lit('"')).alias("note"))
+    path = _folder(events) + ".tsv"
+    events.write.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
+    return readers.read_any(events.sparkSession, path)
+
+
+@query("source_json_lines", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def source_json_lines(t):
+    events = t("events")
+    path = _folder(events) + ".json"
+    sinks.write_json(events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), path)
+    return readers.read_any(events.sparkSession, path).select(*events.columns)
+
+
+@query("source_parquet", "SELECT * FROM supplier WHERE s_acctbal > 1000")
+def source_parquet(t):
+    suppliers = t("supplier")
+    path = _folder(suppliers) + ".parquet"
+    suppliers.write.parquet(path)
+    return readers.read_any(suppliers.sparkSession, path).where("s_acctbal > 1000")
+
+
+@query("session_results", """
+    SELECT lang AS session_id, max(doc_id) AS doc_id FROM documents GROUP BY 1""")
+def session_results(t):
+    docs = t("documents").select(F.col("lang").alias("session_id"), "doc_id")
+    path = _folder(docs)
+    runs = docs.groupBy("session_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    sinks.append_results(runs.select("session_id", F.col("first").alias("doc_id")), path, run_at=F.lit("2024-01-01").cast("timestamp"))
+    sinks.append_results(runs.select("session_id", F.col("last").alias("doc_id")), path, run_at=F.lit("2024-01-02").cast("timestamp"))
+    return sinks.latest_results(docs.sparkSession, path).select("session_id", "doc_id")
+
+
+@query("vector_index", """
+    SELECT vec_id, round(list_distance(embedding::DOUBLE[], list_value(""" + ", ".join(["0.1::DOUBLE"] * 64) + """)) ** 2, 8) AS distance
+    FROM embeddings ORDER BY distance, vec_id LIMIT 5""")
+def vector_index(t):
+    vectors = t("embeddings")
+    path = _folder(vectors)
+    sinks.save_index(vectors, path)
+    near = nearest_to(sinks.load_index(vectors.sparkSession, path), "embedding", [0.1] * 64, "vec_id")
+    return near.select("vec_id", F.round("distance", 8).alias("distance"))
+
+
+@query("file_catalog", "SELECT DISTINCT 'other' AS kind, '.csv' AS extension, true AS has_data FROM region")
+def file_catalog(t):
+    regions = t("region")
+    path = _folder(regions)
+    sinks.write_csv(regions, path)
+    files = catalog.artifact_groups(catalog.list_files(regions.sparkSession, path, pattern="*.csv"))
+    return files.select("kind", "extension", (F.col("size") > 0).alias("has_data")).distinct()

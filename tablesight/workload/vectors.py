@@ -1 +1,70 @@
-"""Queries."""
+"""Nearest neighbours and retrieval over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tablesight.operators import vectors
+from tablesight.operators.text import chunk
+from tablesight.workload.registry import query
+
+_MEANS = """means AS (SELECT label, list(m ORDER BY i) AS centroid FROM (
+        SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        GROUP BY ALL) GROUP BY 1)"""
+_NEAREST = f"""{_MEANS}, near AS (SELECT m.label, vec_id, list_distance(e.embedding::DOUBLE[], m.centroid) ** 2 AS d
+        FROM means m, embeddings e QUALIFY row_number() OVER (PARTITION BY m.label ORDER BY d, vec_id) <= 5)"""
+
+
+def nearest_to_means(t) -> DataFrame:
+    """The five vectors nearest to each label's mean vector."""
+    means = vectors.centroids(t("embeddings"), "label", "embedding")
+    return vectors.knn(t("embeddings"), means, "vec_id", "embedding", "label", "centroid", 5)
+
+
+@query("knn_exact", f"""
+    WITH {_NEAREST} SELECT label, vec_id, round(d, 8) AS distance,
+        row_number() OVER (PARTITION BY label ORDER BY d, vec_id)::INT AS rank FROM near""")
+def knn_exact(t):
+    return nearest_to_means(t).withColumn("distance", F.round("distance", 8))
+
+
+@query("knn_blocks", f"""
+    WITH {_NEAREST} SELECT label, vec_id, round(d, 8) AS distance,
+        row_number() OVER (PARTITION BY label ORDER BY d, vec_id)::INT AS rank FROM near""")
+def knn_blocks(t):
+    """The way taken when there are too many questions to send to every task."""
+    means = vectors.centroids(t("embeddings"), "label", "embedding")
+    out = vectors.knn(t("embeddings"), means, "vec_id", "embedding", "label", "centroid", 5, broadcast_bytes=0)
+    return out.withColumn("distance", F.round("distance", 8))
+
+
+@query("centroids", f"WITH {_MEANS} SELECT label, unnest(range(64))::INT AS i, round(unnest(centroid), 8) AS x FROM means")
+def centroids(t):
+    means = vectors.centroids(t("embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 8))
+
+
+@query("rag_context", f"""
+    WITH {_NEAREST} SELECT label, string_agg('vector ' || vec_id, chr(10) || chr(10) ORDER BY d, vec_id) AS context FROM near GROUP BY 1""")
+def rag_context(t):
+    chunks = t("embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("chunk"))
+    return vectors.context(nearest_to_means(t), chunks, "label", "vec_id")
+
+
+@query("lsh_knn")
+def lsh_knn(t):
+    means = vectors.centroids(t("embeddings"), "label", "embedding")
+    return vectors.approximate_knn(t("embeddings"), means, "vec_id", "embedding", "label", "centroid", 5)
+
+
+@query("rag_retrieval")
+def rag_retrieval(t):
+    """Chunks of all documents nearest to each benchmark text, by hashed TF-IDF vectors."""
+    chunks = chunk(t("documents"), "doc_id", "text").select("chunk_id", F.col("chunk_text").alias("text"))
+    asked = t("benchmark").select(F.concat(F.lit("question "), F.col("item_id").cast("string")).alias("chunk_id"), "text")
+    embedded = vectors.embed(chunks.unionByName(asked), "text", dimensions=128)
+    is_question = F.startswith("chunk_id", F.lit("question "))
+    asked = embedded.where(is_question).select(F.col("chunk_id").alias("question"), F.col("embedding").alias("q"))
+    return vectors.knn(embedded.where(~is_question), asked, "chunk_id", "embedding", "question", "q", 5)
+
+
