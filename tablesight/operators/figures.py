@@ -61,12 +61,16 @@ def describe_figure(data: Column, layout: Column) -> Column:
     return F.array_join(F.array_compact(lines), "\n")
 
 
-def _figure_column(json: Column) -> Column:
-    """Description of a JSON text with ``data`` and ``layout``, at the top or under ``figure``."""
-    v = F.try_parse_json(json)
-    part = lambda name: F.coalesce(
+def _figures(jsons: Column) -> Column:
+    """Descriptions of JSON texts with ``data`` and ``layout``, at the top or under ``figure``.
+
+    Each step binds its result to the next one's variable, so that a text is parsed only once.
+    """
+    parsed = F.transform(jsons, lambda j: F.try_parse_json(j))
+    part = lambda v, name: F.coalesce(
         F.try_variant_get(v, f"$.{name}", "variant"), F.try_variant_get(v, f"$.figure.{name}", "variant"))
-    return describe_figure(part("data"), part("layout"))
+    halves = F.transform(parsed, lambda v: F.struct(part(v, "data").alias("d"), part(v, "layout").alias("l"), v.alias("v")))
+    return F.transform(halves, lambda h: F.struct(describe_figure(h["d"], h["l"]).alias("text"), h["v"].alias("v")))
 
 
 def _join_blocks(blocks: Column) -> Column:
@@ -77,7 +81,9 @@ def plot_call_summary(html: Column) -> Column:
     """Description of every plot call in page source; calls whose arguments are not JSON are left out."""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(PLOT_CALL), F.lit(1)).alias("d"),
                          F.regexp_extract_all(html, F.lit(PLOT_CALL), F.lit(2)).alias("l"))
-    return _join_blocks(F.transform(pairs, lambda p: describe_figure(F.try_parse_json(p["d"]), _parse_object(p["l"]))))
+    parsed = F.transform(pairs, lambda p: F.struct(
+        F.try_parse_json(p["d"]).alias("d"), _parse_object(p["l"]).alias("l")))
+    return _join_blocks(F.transform(parsed, lambda p: describe_figure(p["d"], p["l"])))
 
 
 def _parse_object(json: Column) -> Column:
@@ -88,22 +94,21 @@ def _parse_object(json: Column) -> Column:
 
 def script_summary(scripts: Column) -> Column:
     """Description of figures in script blocks, each given as type, line break, content."""
-    body = lambda s: F.regexp_replace(s, r"^[^\n]*\n", "")
-    kind = lambda s: F.lower(F.substring_index(s, "\n", 1))
-    usable = lambda s: (kind(s) == "") | F.contains(kind(s), F.lit("json")) | F.contains(
-        kind(s), F.lit("javascript"))
-    return _join_blocks(F.transform(F.filter(scripts, usable), lambda s: _figure_column(body(s))))
+    split = F.transform(scripts, lambda s: F.struct(
+        F.lower(F.substring_index(s, "\n", 1)).alias("kind"), F.regexp_replace(s, r"^[^\n]*\n", "").alias("body")))
+    usable = lambda s: (s["kind"] == "") | F.contains(s["kind"], F.lit("json")) | F.contains(
+        s["kind"], F.lit("javascript"))
+    bodies = F.transform(F.filter(split, usable), lambda s: s["body"])
+    return _join_blocks(F.transform(_figures(bodies), lambda f: f["text"]))
 
 
 def attribute_summary(figures: Column) -> Column:
     """Description of figures in data attributes; short text that is not JSON is kept as it is."""
-    def one(a: Column) -> Column:
-        v = F.try_parse_json(a)
-        title = F.concat(F.lit("Title: "), F.try_variant_get(v, "$.title", "string"))
-        known = _figure_column(a)
-        return F.when(v.isNull(), F.when(F.length(a) < 200, a).otherwise("")).otherwise(
-            F.when(known != "", known).otherwise(F.coalesce(title, F.lit(""))))
-    return _join_blocks(F.transform(figures, one))
+    def one(a: Column, f: Column) -> Column:
+        title = F.concat(F.lit("Title: "), F.try_variant_get(f["v"], "$.title", "string"))
+        return F.when(f["v"].isNull(), F.when(F.length(a) < 200, a).otherwise("")).otherwise(
+            F.when(f["text"] != "", f["text"]).otherwise(F.coalesce(title, F.lit(""))))
+    return _join_blocks(F.zip_with(figures, _figures(figures), one))
 
 
 def pattern_summary(html: Column) -> Column:
@@ -132,13 +137,12 @@ def figure_summary(html: Column) -> Column:
 def extract_html(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Rows ``(key, text, source)``: page text, else its tables, else a description of its charts."""
     parts = page_parts(pages, key, html)
-    text, tables = blank_to_null(page_text()), blank_to_null(F.array_join("tables", "\n\n"))
-    ready = parts.select(col(key), text.alias("_text"), tables.alias("_tables"), "scripts", "figures")
-    done = ready.where(F.col("_text").isNotNull() | F.col("_tables").isNotNull()).select(
-        col(key), F.coalesce("_text", "_tables").alias("text"),
-        F.when(F.col("_text").isNotNull(), "text").otherwise("tables").alias("source"))
-    # Only pages without any text need their source again.
-    rest = ready.where(F.col("_text").isNull() & F.col("_tables").isNull()).join(
-        pages.select(col(key), col(html).alias("_html")), key)
-    described = rest.select(col(key), figure_summary(F.col("_html")).alias("text"), F.lit("charts").alias("source"))
-    return done.unionByName(described)
+    known = parts.select(
+        col(key), blank_to_null(page_text()).alias("_text"), blank_to_null(F.array_join("tables", "\n\n")).alias("_tables"),
+        "source", "scripts", "figures")
+    has_text, has_tables = F.col("_text").isNotNull(), F.col("_tables").isNotNull()
+    return known.select(
+        col(key),
+        F.when(has_text, F.col("_text")).when(has_tables, F.col("_tables")).otherwise(
+            figure_summary(F.coalesce("source", F.lit("")))).alias("text"),
+        F.when(has_text, "text").when(has_tables, "tables").otherwise("charts").alias("source"))

@@ -21,7 +21,7 @@ _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _FIGURE_ATTRIBUTES = ("data-plotly", "data-figure", "data-chart")
 _LISTS = ("meta", "headings", "visible", "alts", "arias", "titles", "data", "tables", "scripts", "figures")
 
-PAGE_SCHEMA = "title string, " + ", ".join(f"{n} array<string>" for n in _LISTS)
+PAGE_SCHEMA = "title string, " + ", ".join(f"{n} array<string>" for n in _LISTS) + ", source string"
 
 
 class _Page(HTMLParser):
@@ -117,12 +117,18 @@ def _parse(html: str | None) -> list:
     page = _Page()
     page.feed(html or "")
     page.close()
-    return page.result()
+    found = page.result()
+    textless = not page.title and not any(page.parts[n] for n in _LISTS if n not in ("scripts", "figures"))
+    return [*found, html if textless else None]
 
 
 def page_parts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row per page: its key and the parts listed in ``PAGE_SCHEMA``."""
-    names = [key, "title", *_LISTS]
+    """One row per page: its key and the parts listed in ``PAGE_SCHEMA``.
+
+    The page's source is passed on only where there is neither text nor table in it, which is where it is
+    still needed; so a page is read and parsed once.
+    """
+    names = [key, "title", *_LISTS, "source"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,6 +9,8 @@ width follows from the sketch's error bound, and a rank outside it would fail th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -31,61 +33,80 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), as_
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                     keys: Sequence[str] = ()) -> DataFrame:
-    """Quantiles with linear interpolation: rows ``(*keys, column, probability, quantile)``."""
-    keys = list(keys)
-    groups = [*keys, "column"]
-    values = unpivot(df, columns, keys).where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-    low = [max(0.0, p - _MARGIN) for p in probabilities]
-    high = [min(1.0, p + _MARGIN) for p in probabilities]
-    brackets = values.groupBy(*[col(g) for g in groups]).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.percentile_approx("value", low + high, SKETCH_ACCURACY).alias("cuts"),
-    )
-    k = len(probabilities)
-    small = F.col("n") <= _SMALL_GROUP
-    wanted = brackets.select(*[col(g) for g in groups], F.posexplode(F.array(*[
-        F.struct(
-            F.lit(float(p)).alias("probability"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("position"),
-            F.when(small | F.lit(low[i] == 0.0), F.col("least")).otherwise(F.col("cuts")[i]).alias("lo"),
-            F.when(small | F.lit(high[i] == 1.0), F.col("most")).otherwise(F.col("cuts")[k + i]).alias("hi"),
-        ) for i, p in enumerate(probabilities)
-    ])).alias("_i", "w"))
-    wanted = wanted.groupBy(*[col(g) for g in groups]).agg(F.collect_list("w").alias("w"))
+    """Quantiles with linear interpolation: rows ``(*keys, column, probability, quantile)``.
 
+    Three passes over the measures, each aggregated on the map side: brackets, rows below each bracket,
+    values inside.
+    """
+    keys = list(keys)
+    key_columns = [col(k) for k in keys]
+    number = lambda c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
+    numbers = df.select(*key_columns, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    # Target number k asks for one probability of one column.
+    targets = [(i, float(p)) for i in range(len(columns)) for p in probabilities]
+    sketches = numbers.groupBy(*key_columns).agg(*[x for i in range(len(columns)) for x in _sketch(i, probabilities)])
+    brackets = sketches.select(*key_columns, *[
+        _bracket(i, j, p, len(probabilities)).alias(f"_t{i * len(probabilities) + j}")
+        for i in range(len(columns)) for j, p in enumerate(map(float, probabilities))])
     if keys:
-        joined = join_on(values, wanted, groups, "inner").select(
-            *[col(g) for g in groups], "value", F.explode("w").alias("w"))
+        def attach(rows: DataFrame) -> DataFrame:
+            return join_on(rows, brackets, keys, "inner")
+
+        at = lambda k, field: F.col(f"_t{k}.{field}")
     else:
-        # At most one row per column: carried to the scan as one literal-like value, no join.
-        lookup = wanted.agg(F.map_from_entries(F.collect_list(F.struct("column", "w")))).scalar()
-        joined = values.select("column", "value", F.explode(lookup[F.col("column")]).alias("w"))
-    inside = joined.where(F.col("value") <= F.col("w.hi")).select(
-        *[col(g) for g in groups], "w.probability", "w.position",
-        F.when(F.col("value") >= F.col("w.lo"), F.col("value")).alias("v"))  # NULL stands for "below"
-    rank_keys = [*[col(g) for g in groups], F.col("probability")]
-    counted = inside.groupBy(*rank_keys, "position", "v").agg(F.count(F.lit(1)).alias("c"))
-    running = W.partitionBy(*rank_keys).orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn(
-        "upto", F.sum("c").over(running.rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-    def at(rank: Column) -> Column:
-        # First value whose running count passes the rank.
-        return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
-
-    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0))
-    out = ranked.groupBy(*rank_keys, "position").agg(
-        at(F.floor("position")).alias("a"), at(F.ceil("position")).alias("b"),
-        below.alias("below"))
-    covered = (F.col("below") <= F.floor("position")) & F.col("a").isNotNull() & F.col("b").isNotNull()
-    part = F.col("position") - F.floor("position")
-    return out.select(
-        *rank_keys,
-        F.when(covered, F.col("a") + (F.col("b") - F.col("a")) * part)
-        .otherwise(F.raise_error(F.lit("quantile rank outside its bracket"))).alias("quantile"))
+        # One row for the whole table: as literals the bounds are cheap to compare and reach the files.
+        found = brackets.first()
+        at = lambda k, field: F.lit(found[k][field]).cast("double")
+
+        def attach(rows: DataFrame) -> DataFrame:
+            return rows
+
+    attached = attach(numbers)
+    below = attach(attached.groupBy(*key_columns).agg(*[
+        F.count_if(F.col(f"_v{i}") < at(k, "lo")).alias(f"_n{k}") for k, (i, _) in enumerate(targets)]))
+    wanted = below.select(*key_columns, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_k"), F.lit(columns[i]).alias("column"), F.lit(p).alias("probability"),
+                 at(k, "position").alias("_position"), F.col(f"_n{k}").alias("_below"))
+        for k, (i, p) in enumerate(targets)])))
+
+    hits = [F.col(f"_v{i}").between(at(k, "lo"), at(k, "hi")) for k, (i, _) in enumerate(targets)]
+    entries = F.array(*[
+        F.when(hit, F.struct(F.lit(k).alias("_k"), F.col(f"_v{i}").alias("_v")))
+        for hit, (k, (i, _)) in zip(hits, enumerate(targets))])
+    # In a large group nearly every row is dropped before it is unfolded.
+    inside = attached.where(reduce(or_, hits)).select(*key_columns, F.inline(entries)).where("_k IS NOT NULL")
+    counted = inside.groupBy(*key_columns, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = W.partitionBy(*key_columns, "_k").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = join_on(counted.withColumn("_upto", F.sum("_c").over(running)), wanted, [*keys, "_k"], "inner")
+
+    # First value whose running count passes the rank.
+    position, reached = F.col("_position"), F.col("_below") + F.col("_upto")
+    value_at = lambda rank: F.min(F.when(reached > rank, F.col("_v")))
+    names = [*key_columns, F.col("column"), F.col("probability")]
+    out = ranked.groupBy(*names, "_position", "_below").agg(
+        value_at(F.floor(position)).alias("_a"), value_at(F.ceil(position)).alias("_z"))
+    covered = (F.col("_below") <= F.floor(position)) & F.col("_a").isNotNull() & F.col("_z").isNotNull()
+    part = position - F.floor(position)
+    return out.select(*names, F.when(covered, F.col("_a") + (F.col("_z") - F.col("_a")) * part).otherwise(
+        F.raise_error(F.lit("quantile rank outside its bracket"))).alias("quantile"))
+
+
+def _sketch(i: int, probabilities: Sequence[float]) -> list[Column]:
+    value = F.col(f"_v{i}")
+    around = [max(0.0, p - _MARGIN) for p in probabilities] + [min(1.0, p + _MARGIN) for p in probabilities]
+    return [F.count(value).alias(f"_n{i}"), F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}"),
+            F.percentile_approx(value, around, SKETCH_ACCURACY).alias(f"_cuts{i}")]
+
+
+def _bracket(i: int, j: int, probability: float, n_probabilities: int) -> Column:
+    """The rank wanted and bounds between which its value lies for certain."""
+    n, cuts = F.col(f"_n{i}"), F.col(f"_cuts{i}")
+    small = n <= _SMALL_GROUP
+    return F.struct(
+        (F.lit(probability) * (n - 1)).alias("position"),
+        F.when(small | F.lit(probability <= _MARGIN), F.col(f"_min{i}")).otherwise(cuts[j]).alias("lo"),
+        F.when(small | F.lit(probability >= 1 - _MARGIN), F.col(f"_max{i}")).otherwise(
+            cuts[n_probabilities + j]).alias("hi"))
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
@@ -108,9 +129,6 @@ def value_counts(df: DataFrame, columns: Sequence[str], as_type: str = "string")
 def modes(df: DataFrame, columns: Sequence[str], as_type: str = "string") -> DataFrame:
     """Rows ``(column, value, n)`` with each column's most frequent value, the smallest on ties."""
     counts = value_counts(df, columns, as_type).where(F.col("value").isNotNull())
-    best = counts.groupBy("column").agg(F.max("n").alias("n"))
-    # Two small aggregates instead of one buffer of all distinct values.
-    return (
-        counts.join(best, ["column", "n"], "left_semi")
-        .groupBy("column").agg(F.min("value").alias("value"), F.max("n").alias("n"))
-    )
+    # The smallest (-n, value) per column: most frequent first, then the smallest value.
+    first = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("minus"), "value")).alias("_first"))
+    return first.select("column", "_first.value", (-F.col("_first.minus")).alias("n"))

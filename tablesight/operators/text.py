@@ -59,11 +59,12 @@ def chunk(docs: DataFrame, name: str, text: str, size: int = CHUNK_WORDS, overla
     if size <= 0:
         parts = base.select("doc", F.lit(0).alias("chunk_no"), F.col("_text").alias("chunk_text"))
     else:
-        split = base.select("doc", words(F.col("_text")).alias("_words")).where(F.size("_words") > 0)
+        split = base.select("doc", words(F.col("_text")).alias("_words"))
+        # The chunks are cut inside the row, so the words are not copied once per chunk.
         starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(step))
-        parts = split.select("doc", "_words", F.posexplode(starts).alias("chunk_no", "_start")).select(
-            "doc", "chunk_no",
-            F.array_join(F.slice("_words", F.col("_start") + 1, F.lit(size)), " ").alias("chunk_text"))
+        cut = F.when(F.size("_words") > 0, F.transform(
+            starts, lambda s: F.array_join(F.slice("_words", s + 1, F.lit(size)), " ")))
+        parts = split.select("doc", F.posexplode(cut).alias("chunk_no", "chunk_text"))
     return parts.select(
         "doc", F.concat_ws("_", stem(F.col("doc")), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no",
         F.left("chunk_text", F.lit(stored)).alias("chunk"), "chunk_text")
@@ -101,12 +102,12 @@ def chunk_lines(lines: DataFrame, name: str, size: int = CHUNK_WORDS, overlap: i
     placed = with_offset(counted, "line_no", "_n")
     first = F.greatest(F.lit(0), F.floor((F.col("offset") - size) / step) + 1)
     last = F.floor((F.col("offset") + F.col("_n") - 1) / step)
-    spread = placed.select("offset", "_words", "_n", F.explode(F.sequence(first, last)).alias("chunk_no"))
-    begin = F.greatest(F.lit(0), F.col("chunk_no") * step - F.col("offset"))
-    end = F.least(F.col("_n"), F.col("chunk_no") * step + size - F.col("offset"))
-    pieces = spread.select(
-        "chunk_no", "offset",
-        F.array_join(F.slice("_words", (begin + 1).cast("int"), (end - begin).cast("int")), " ").alias("_part"))
+    begin = lambda c: F.greatest(F.lit(0), c * step - F.col("offset"))
+    end = lambda c: F.least(F.col("_n"), c * step + size - F.col("offset"))
+    cut = F.transform(F.sequence(first, last), lambda c: F.struct(
+        c.alias("chunk_no"),
+        F.array_join(F.slice("_words", (begin(c) + 1).cast("int"), (end(c) - begin(c)).cast("int")), " ").alias("_part")))
+    pieces = placed.select("offset", F.inline(cut))
     # A chunk holds at most ``size`` words, so at most that many pieces meet in one group.
     joined = pieces.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("offset", "_part"))).alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: p["_part"]), " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -16,10 +17,9 @@ NUMERIC_THRESHOLD = 0.8
 # A column becomes a timestamp when more than this share of all rows parses.
 DATE_THRESHOLD = 0.7
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))$"
 _INTEGER = r"^[+-]?\d{1,18}$"
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
-_BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
+_BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 # Accepted date spellings; on equal shares the earlier one wins.
 DATE_FORMATS = (
@@ -43,25 +43,39 @@ class ColumnType:
 def parse_number(text: Column) -> Column:
     """Double in a string, NULL when it is not written as a plain number."""
     trimmed = F.trim(text)
-    return F.when(F.rlike(trimmed, F.lit(_NUMBER)) | F.rlike(trimmed, F.lit(_INFINITE)), trimmed.try_cast("double"))
+    return F.when(F.rlike(trimmed, F.lit(_NUMBER)), trimmed.try_cast("double"))
 
 
 def parse_date(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.trim(text), F.lit(fmt)).cast("timestamp_ntz")
+    """Timestamp in a string. Only text of the format's shape is parsed: failing on the rest is dear."""
+    trimmed = F.trim(text)
+    return F.when(shape(trimmed).isin(*format_shapes(fmt)), _read(trimmed, fmt))
+
+
+def _read(text: Column, fmt: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
-# What each letter group of a format stands for, longest first.
+# What each letter group of a format looks like when digits are written 9 and letters a.
 _SHAPES = {
-    "[.SSSSSS]": r"(\.\d{1,6})?", "'T'": "T", "yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}",
-    "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}",
-    ".": r"\.",
+    "[.SSSSSS]": ["", *("." + "9" * n for n in range(1, 7))], "'T'": ["a"], "yyyy": ["9999"],
+    "MMMM": ["a" * n for n in range(3, 10)], "MMM": ["aaa"], "MM": ["99"], "M": ["9", "99"], "dd": ["99"],
+    "d": ["9", "99"], "HH": ["99"], "mm": ["99"], "ss": ["99"],
 }
+_DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LONGEST_DATE = 32
+
+
+def format_shapes(fmt: str) -> list[str]:
+    """Every shape of text that a date format can read."""
+    parts = re.split("(" + "|".join(re.escape(k) for k in _SHAPES) + ")", fmt)
+    return ["".join(p) for p in itertools.product(*[_SHAPES.get(p, [p]) for p in parts])]
 
 
-def format_pattern(fmt: str) -> str:
-    """Regular expression for the shape of text that a date format can read."""
-    group = "|".join(re.escape(k) for k in _SHAPES)
-    return "^" + re.sub(group, lambda m: _SHAPES[m.group()], fmt) + "$"
+def shape(text: Column) -> Column:
+    """Text with digits as 9 and letters as a; NULL for text too long to be a date."""
+    outline = F.translate(text, _DIGITS + _LETTERS, "9" * len(_DIGITS) + "a" * len(_LETTERS))
+    return F.when(F.length(text) <= _LONGEST_DATE, outline)
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -77,15 +91,14 @@ def type_shares(df: DataFrame, columns: Sequence[str] | None = None, formats: Se
     cells = unpivot(df, columns, as_type="string", name="name", value="text") if columns else (
         df.sparkSession.createDataFrame([], "name string, text string"))
     text = F.trim("text")
-    # Only text shaped like some date is tried against the formats.
-    shaped = F.when(F.rlike(text, F.lit("|".join(format_pattern(f) for f in formats))), text)
-    cells = cells.select("name", text.alias("text"), shaped.alias("dated"))
+    cells = cells.select("name", text.alias("text"), shape(text).alias("shape"))
+    dates = [F.when(F.col("shape").isin(*format_shapes(f)), _read(F.col("text"), f)) for f in formats]
     counted = cells.groupBy("name").agg(
         F.count(F.lit(1)).alias("rows"), F.count("text").alias("known"),
         F.count(parse_number(F.col("text"))).alias("number"),
         F.count_if(F.rlike("text", F.lit(_INTEGER))).alias("integer"),
-        F.count_if(F.rlike("text", F.lit(_BOOLEAN))).alias("boolean"),
-        *[F.count(parse_date(F.col("dated"), f)).alias(f"_d{i}") for i, f in enumerate(formats)])
+        F.count_if(F.col("text").isin(*_BOOLEANS)).alias("boolean"),
+        *[F.count(d).alias(f"_d{i}") for i, d in enumerate(dates)])
     return counted.select("name", "rows", "known", "number", "integer", "boolean",
                           F.array(*[F.col(f"_d{i}") for i in range(len(formats))]).alias("dates"))
 

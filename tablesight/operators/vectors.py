@@ -20,26 +20,44 @@ SEED = 7
 # Questions up to this many bytes of vectors go to every executor; more are joined block by block.
 BROADCAST_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4_096
+QUESTIONS_AT_ONCE = 256
+
+
+class TfIdf:
+    """Normalised, hashed TF-IDF vectors: an embedding that needs no service.
+
+    It is fitted once on the corpus and then applied to corpus and questions alike.
+    """
+
+    def __init__(self, corpus: DataFrame, text: str = "chunk_text", dimensions: int = 256):
+        self.tf = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf")
+        self.unit = Normalizer(inputCol="_idf", outputCol="_unit")
+        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(self._counts(corpus, text))
+
+    def _counts(self, df: DataFrame, text: str) -> DataFrame:
+        return self.tf.transform(df.withColumn("_words", words(F.lower(col(text)))).where(F.size("_words") > 0))
+
+    def embed(self, df: DataFrame, text: str = "chunk_text", name: str = "embedding") -> DataFrame:
+        """Add a vector per row; rows without words are dropped."""
+        vectors = self.unit.transform(self.idf.transform(self._counts(df, text)))
+        return vectors.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 
 
 def embed(chunks: DataFrame, text: str = "chunk_text", name: str = "embedding", dimensions: int = 256,
           model: Callable[[pd.Series], list] | None = None) -> DataFrame:
     """Add a vector per row; rows that cannot be embedded are dropped.
 
-    Without a ``model`` the vector is a normalised, hashed TF-IDF, which needs no service. A model gets
-    a batch of texts and returns one vector (or None) per text.
+    A model gets a batch of texts and returns one vector (or None) per text. Without one the vectors are
+    ``TfIdf`` fitted on these rows.
     """
-    if model is not None:
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def score(batch: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None else np.asarray(v, dtype="float32").tolist() for v in model(batch)])
+    if model is None:
+        return TfIdf(chunks, text, dimensions).embed(chunks, text, name)
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def score(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.asarray(v, dtype="float32").tolist() for v in model(batch)])
 
-        return chunks.withColumn(name, score(col(text))).where(col(name).isNotNull())
-    tokens = chunks.withColumn("_words", words(F.lower(col(text)))).where(F.size("_words") > 0)
-    counted = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf").transform(tokens)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
+    return chunks.withColumn(name, score(col(text))).where(col(name).isNotNull())
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -62,17 +80,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _candidates(keys: np.ndarray, vectors: np.ndarray, questions: np.ndarray, k: int):
-    """Each question's ``k`` nearest rows of one block, ties by key: (question, row, distance)."""
-    for q, question in enumerate(questions):
-        gap = vectors - question
-        distance = np.einsum("ij,ij->i", gap, gap)
-        if len(distance) > k:
-            limit = np.partition(distance, k - 1)[k - 1]
-            rows = np.flatnonzero(distance <= limit)
-        else:
-            rows = np.arange(len(distance))
-        for row in rows[np.lexsort((keys[rows], distance[rows]))][:k]:
-            yield q, keys[row], float(distance[row])
+    """Each question's ``k`` nearest rows of one block, ties by key: (question, row, distance).
+
+    A matrix product gives distances up to rounding; whatever lies within rounding of the k-th nearest is
+    then measured exactly.
+    """
+    norms = np.einsum("ij,ij->i", vectors, vectors)
+    for start in range(0, len(questions), QUESTIONS_AT_ONCE):
+        part = questions[start:start + QUESTIONS_AT_ONCE]
+        own = np.einsum("ij,ij->i", part, part)
+        rough = norms[None, :] + own[:, None] - 2.0 * (part @ vectors.T)
+        slack = 1e-9 * (own + norms.max(initial=0.0)) + 1e-12
+        for q, (question, near) in enumerate(zip(part, rough)):
+            rows = np.arange(len(near))
+            if len(near) > k:
+                rows = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + slack[q])
+            gap = vectors[rows] - question
+            exact = np.einsum("ij,ij->i", gap, gap)
+            for i in np.lexsort((keys[rows], exact))[:k]:
+                yield start + q, keys[rows[i]], float(exact[i])
 
 
 def knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str,
@@ -82,18 +108,12 @@ def knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key:
     Every task keeps only ``k`` rows per question and batch, so what is shuffled does not depend on the
     length of the corpus' texts or vectors. Ties go to the smaller key.
     """
-    dimension = queries.select(F.size(col(query_vector))).first()
-    if dimension is None:
-        width, rows = 1, 0
-    else:
-        width = max(int(dimension[0]), 1)
-        rows = queries.limit(broadcast_bytes // (8 * width) + 1).count()
+    asked_bytes = queries.agg(F.coalesce(F.sum(F.size(col(query_vector))), F.lit(0)) * 8).first()[0]
     out = T.StructType([
         T.StructField(query_key, queries.schema[query_key].dataType),
         T.StructField(key, corpus.schema[key].dataType),
         T.StructField("distance", T.DoubleType())])
-    small = rows * width * 8 <= broadcast_bytes
-    partial = (_knn_broadcast if small else _knn_blocks)(corpus, queries, key, vector, query_key, query_vector, k, out)
+    partial = (_knn_broadcast if asked_bytes <= broadcast_bytes else _knn_blocks)(corpus, queries, key, vector, query_key, query_vector, k, out)
     best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

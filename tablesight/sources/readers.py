@@ -95,14 +95,25 @@ def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool
     return infer_types(raw) if infer else raw
 
 
-def read_parquet(spark: SparkSession, path, nan: str = "null", **options) -> DataFrame:
+def read_parquet(spark: SparkSession, path, nan: str = "null", spread: bool = False, **options) -> DataFrame:
     """Parquet files. ``nan="null"`` reads NaN as missing; ``nan="keep"`` is for files without any, where
-    filters on floating point columns then reach the files.
+    filters on floating point columns then reach the files. ``spread`` see ``spread_rows``.
     """
     raw = spark.read.options(**options).parquet(*([path] if isinstance(path, str) else path))
+    raw = spread_rows(raw) if spread else raw
     return nan_to_null(raw) if nan == "null" else raw
 
 
+def spread_rows(scan: DataFrame) -> DataFrame:
+    """Give every core some rows when a plain read has fewer partitions than there are cores.
+
+    Meant for a few large row groups in front of costly per-row work such as parsing pages. A read that
+    already keeps the cores busy, as any large one does, is left as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _tsv(spark, path, **options):
     return read_csv(spark, path, sep="\t", **options)
 

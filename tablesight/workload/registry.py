@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablesight.sources.readers import read_parquet
 
-Tables = Callable[[str], DataFrame]
+Tables = Callable[..., DataFrame]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,8 @@ def query(name: str, sql: str | None = None):
 
     def register(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda table: read_parquet(spark, f"{sf_dir}/{table}.parquet", nan="keep"))
+            return build(lambda table, **options: read_parquet(
+                spark, f"{sf_dir}/{table}.parquet", nan="keep", **options))
 
         run.__name__ = name
         QUERIES[name] = run

@@ -37,12 +37,12 @@ _GAPS = """gaps AS (SELECT c_custkey, c_name, c_nationkey,
     UNION ALL SELECT 'o_orderdate', 'timestamp', count(try_cast(o_orderdate::VARCHAR AS TIMESTAMP)) / count(*) FROM orders
     UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority) / count(*) FROM orders""")
 def infer(t):
-    return decide_types(type_shares(as_text(t("orders")))).select("name", "type", "share")
+    return decide_types(type_shares(as_text(t("orders", spread=True)))).select("name", "type", "share")
 
 
 @query("infer_values", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def infer_values(t):
-    return infer_types(as_text(t("orders")))
+    return infer_types(as_text(t("orders", spread=True)))
 
 
 @query("infer_mixed", """
@@ -51,10 +51,10 @@ def infer_values(t):
            CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts::DATE::TIMESTAMP END AS mostly_date,
            event_id % 2 = 0 AS flag FROM events""")
 def infer_mixed(t):
-    mixed = t("events").select(
-        F.col("event_id").cast("string").alias("event_id"),
-        F.when(F.col("event_id") % 6 == 0, "n.a.").otherwise(F.col("value").cast("string")).alias("mostly_number"),
-        F.when(F.col("event_id") % 4 == 0, "none").otherwise(F.col("value").cast("string")).alias("often_text"),
+    mixed = t("events", spread=True).select(
+        F.col("event_id").cast("string", spread=True).alias("event_id"),
+        F.when(F.col("event_id") % 6 == 0, "n.a.").otherwise(F.col("value").cast("string", spread=True)).alias("mostly_number"),
+        F.when(F.col("event_id") % 4 == 0, "none").otherwise(F.col("value").cast("string", spread=True)).alias("often_text"),
         F.when(F.col("event_id") % 5 == 0, "unknown").otherwise(F.date_format("ts", "d/M/yyyy")).alias("mostly_date"),
         F.when(F.col("event_id") % 2 == 0, "True").otherwise("False").alias("flag"))
     # Days beyond the 12th settle which of day and month comes first.
@@ -163,7 +163,7 @@ def zscore(t):
 @query("normalise_text", r"""
     SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g'))) AS digest FROM documents""")
 def normalise_text(t):
-    return t("documents").select("doc_id", F.md5(features.normalise_text(F.col("text"))).alias("digest"))
+    return t("documents", spread=True).select("doc_id", F.md5(features.normalise_text(F.col("text"))).alias("digest"))
 
 
 @query("feature_catalog", """
@@ -268,7 +268,7 @@ def clean_issues(t):
     SELECT a.n AS records_before, b.n AS records_after, a.n - b.n AS records_removed,
            round((a.n - b.n) * 100 / a.n, 8) AS data_loss_percentage FROM a, b""")
 def clean_report(t):
-    docs = t("documents").select("text", "lang")
+    docs = t("documents", spread=True).select("text", "lang")
     return clean.lineage(docs, clean.clean(docs, "standard")).withColumn(
         "data_loss_percentage", F.round("data_loss_percentage", 8))
 

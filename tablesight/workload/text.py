@@ -17,7 +17,7 @@ _SPACE = SPACE_CLASS  # the same expression is valid in both engines
     c AS (SELECT doc, (start // 216)::INT AS chunk_no, array_to_string(words[start + 1 : start + 256], ' ') AS body FROM s)
     SELECT doc, doc || '_' || chunk_no AS chunk_id, chunk_no, md5(left(body, 2000)) AS chunk, md5(body) AS chunk_text FROM c""")
 def chunk_words(t):
-    return text.chunk(t("documents"), "doc_id", "text").withColumns({"chunk": F.md5("chunk"), "chunk_text": F.md5("chunk_text")})
+    return text.chunk(t("documents", spread=True), "doc_id", "text").withColumns({"chunk": F.md5("chunk"), "chunk_text": F.md5("chunk_text")})
 
 
 _PART_LINE = "concat_ws(' | ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)"
@@ -70,7 +70,7 @@ def token_cost(t):
     SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title,
            len(regexp_extract_all(html, '<meta [^>]*content="[^"]')) AS metas FROM pages""")
 def html_title_meta(t):
-    return html.page_parts(t("pages"), "page_id", "html").select(
+    return html.page_parts(t("pages", spread=True), "page_id", "html").select(
         "page_id", "title", F.size("meta").cast("bigint").alias("metas"))
 
 
@@ -78,12 +78,12 @@ def html_title_meta(t):
     SELECT page_id, replace(replace(replace(replace(trim(unnest(regexp_extract_all(html, '<h[1-6]>([^<]+)</h', 1))), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS heading
     FROM pages""")
 def html_headings(t):
-    return html.page_parts(t("pages"), "page_id", "html").select("page_id", F.explode("headings").alias("heading"))
+    return html.page_parts(t("pages", spread=True), "page_id", "html").select("page_id", F.explode("headings").alias("heading"))
 
 
 @query("html_text")
 def html_text(t):
-    return figures.extract_html(t("pages"), "page_id", "html")
+    return figures.extract_html(t("pages", spread=True), "page_id", "html")
 
 
 _FIGURE = ('{"data":[{"type":"bar","name":"', '","y":[1,2,3]},{"type":"line","x":[1,2]}],"layout":{"title":{"text":"Values of ',
@@ -96,7 +96,7 @@ _FIGURE = ('{"data":[{"type":"bar","name":"', '","y":[1,2,3]},{"type":"line","x"
 def figure_scripts(t):
     page = F.concat(F.lit('<html><script type="application/json">' + _FIGURE[0]), F.col("user_id").cast("string"),
                     F.lit(_FIGURE[1]), "event_type", F.lit(_FIGURE[2] + "</script></html>"))
-    return figures.extract_html(t("events").select("event_id", page.alias("html")), "event_id", "html")
+    return figures.extract_html(t("events", spread=True).select("event_id", page.alias("html")), "event_id", "html")
 
 
 @query("figure_calls", """
@@ -104,7 +104,7 @@ def figure_scripts(t):
 def figure_calls(t):
     page = F.concat(F.lit('<script>Plotly.newPlot("chart", [{"type":"scatter","x":[1,2]}], {"title":"'), "event_type",
                     F.lit('","yaxis":{"title":{"text":"amount"}}}, {"responsive":true})</script>'))
-    return t("events").select("event_id", figures.plot_call_summary(page).alias("summary"))
+    return t("events", spread=True).select("event_id", figures.plot_call_summary(page).alias("summary"))
 
 
 @query("figure_patterns", """
@@ -112,7 +112,7 @@ def figure_calls(t):
 def figure_patterns(t):
     page = F.concat(F.lit('var c={"title":"'), "event_type", F.lit('","xaxis":{"title":"when"},"type":"bar","other":1,"name":"s'),
                     F.col("user_id").cast("string"), F.lit('"}'))
-    return t("events").select("event_id", figures.pattern_summary(page).alias("summary"))
+    return t("events", spread=True).select("event_id", figures.pattern_summary(page).alias("summary"))
 
 
 @query("json_block", """
@@ -126,7 +126,7 @@ def json_block(t):
         F.when(F.col("event_type").isin("click", "error"), fenced)
         .when(F.col("event_type") == "view", F.concat(F.lit("Result "), body, F.lit(" end")))
         .when(F.col("event_type") == "signup", F.lit('{"value": 1}')).otherwise("{broken: [}"))
-    return records.json_blocks(t("events").select("event_id", reply.alias("reply")), "reply", ["value", "kind"]).drop("reply")
+    return records.json_blocks(t("events", spread=True).select("event_id", reply.alias("reply")), "reply", ["value", "kind"]).drop("reply")
 
 
 def _insight_documents(t):
@@ -138,7 +138,7 @@ def _insight_documents(t):
               '{"visualization_id": "second", "title": "Other chart", "primary_insight": "down", "caveats": ["c"]}, 5], '
               '"narrative_sections": [{"heading": "OTHER-chart!", "body": "About the other"}, {"heading": "Intro", "body": "Hello"}, '
               '{"heading": "End", "body": "Bye"}]}'))
-    return t("pages").select("page_id", body.alias("json"))
+    return t("pages", spread=True).select("page_id", body.alias("json"))
 
 
 @query("insight_records", """

@@ -60,11 +60,7 @@ def lsh_knn(t):
 @query("rag_retrieval")
 def rag_retrieval(t):
     """Chunks of all documents nearest to each benchmark text, by hashed TF-IDF vectors."""
-    chunks = chunk(t("documents"), "doc_id", "text").select("chunk_id", F.col("chunk_text").alias("text"))
-    asked = t("benchmark").select(F.concat(F.lit("question "), F.col("item_id").cast("string")).alias("chunk_id"), "text")
-    embedded = vectors.embed(chunks.unionByName(asked), "text", dimensions=128)
-    is_question = F.startswith("chunk_id", F.lit("question "))
-    asked = embedded.where(is_question).select(F.col("chunk_id").alias("question"), F.col("embedding").alias("q"))
-    return vectors.knn(embedded.where(~is_question), asked, "chunk_id", "embedding", "question", "q", 5)
-
-
+    chunks = chunk(t("documents", spread=True), "doc_id", "text")
+    model = vectors.TfIdf(chunks, dimensions=128)
+    asked = model.embed(t("benchmark"), "text", "question")
+    return vectors.knn(model.embed(chunks), asked, "chunk_id", "embedding", "item_id", "question", 5)
