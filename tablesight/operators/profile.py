@@ -34,33 +34,34 @@ def type_label(dtype: T.DataType) -> str:
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per column: ``name, type, sample_values, null_percentage, unique_count, rows``.
 
-    Samples are the smallest distinct values. With ``approx`` the distinct counts come from a sketch and
-    nothing but one row per task is shuffled for them.
+    Samples are the smallest distinct values. With ``approx`` the distinct counts come from a sketch, samples are the
+    least, the greatest and some other value, and one row per column and task is shuffled.
     """
     columns = profiled_columns(df) if columns is None else list(columns)
     cells = unpivot(df, columns, as_type="string", name="name")
-    # One row per distinct value and column, combined on the map side: hot values shuffle once per task.
-    distinct = cells.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    first = W.partitionBy("name").orderBy("value")
-    samples = (
-        (cells.select("name", "value") if approx else distinct).where(F.col("value").isNotNull())
-        .select("name", "value").distinct()
-        .withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= SAMPLE_VALUES)
-        .groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
-    )
     if approx:
+        v = F.col("value")
+        picks = F.array(F.min(v), F.max(v), F.min_by(v, F.when(v.isNotNull(), F.xxhash64(v))))
         counts = cells.groupBy("name").agg(
-            F.approx_count_distinct("value").alias("unique_count"),
-            F.count_if(F.col("value").isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows"))
+            F.approx_count_distinct(v).alias("unique_count"), F.count_if(v.isNull()).alias("nulls"),
+            F.count(F.lit(1)).alias("rows"), F.array_sort(F.array_distinct(F.array_compact(picks))).alias("sample_values"))
     else:
+        # One row per distinct value and column, combined on the map side: hot values shuffle once per task.
+        distinct = cells.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        first = W.partitionBy("name").orderBy("value")
+        samples = (
+            distinct.where(F.col("value").isNotNull()).withColumn("_rank", F.row_number().over(first))
+            .where(F.col("_rank") <= SAMPLE_VALUES)
+            .groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+        )
         counts = distinct.groupBy("name").agg(
             F.count("value").alias("unique_count"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.sum("n").alias("rows"))
+            F.sum("n").alias("rows")).join(samples, "name", "left")
     labels = F.create_map(*[F.lit(v) for c in columns for v in (c, type_label(df.schema[c].dataType))])
     label = labels[F.col("name")]
     is_category = F.col("unique_count") < CATEGORY_SHARE * (F.col("rows") - F.col("nulls"))
-    return counts.join(samples, "name", "left").select(
+    return counts.select(
         "name",
         F.when((label == "text") & is_category, "categorical").otherwise(label).alias("type"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),

@@ -73,20 +73,27 @@ def chunk(docs: DataFrame, name: str, text: str, size: int = CHUNK_WORDS, overla
 def with_offset(lines: DataFrame, order: str, amount: str, doc: Sequence[str] = ()) -> DataFrame:
     """Add ``offset``: the sum of ``amount`` over all earlier rows of the document.
 
-    ``order`` holds whole numbers that are unique in a document. Rows are summed in blocks of 65,536
-    numbers, then the block totals, so that no task sorts the rows of a whole document.
+    ``order`` holds whole numbers that are unique in a document. Sums run over blocks of 65,536 numbers and
+    over blocks of such blocks, so that no task sorts the rows of a whole document, even if numbers are far apart.
     """
     keys = [col(d) for d in doc]
+    large = F.shiftright("_block", _BLOCK_BITS).alias("_large")
+
+    def before(order_by, *partition):
+        return W.partitionBy(*keys, *partition).orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
+
+    def earlier(value, window):
+        return F.coalesce(F.sum(value).over(window), F.lit(0))
+
     base = lines.withColumn("_block", F.shiftright(col(order), _BLOCK_BITS))
-    totals = base.groupBy(*keys, "_block").agg(F.sum(col(amount)).alias("_total"))
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(*keys, F.col("_block"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
-    within = W.partitionBy(*keys, "_block").orderBy(col(order)).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        base.withColumn("_inner", F.coalesce(F.sum(col(amount)).over(within), F.lit(0)))
-        .join(starts, [*doc, "_block"])
-        .withColumn("offset", F.col("_start") + F.col("_inner")).drop("_block", "_start", "_inner")
-    )
+    totals = base.groupBy(*keys, "_block").agg(F.sum(col(amount)).alias("_total")).select("*", large)
+    sums = totals.groupBy(*keys, "_large").agg(F.sum("_total").alias("_sum"))
+    far = sums.select(*keys, "_large", earlier("_sum", before("_large")).alias("_far"))
+    near = totals.withColumn("_near", earlier("_total", before("_block", "_large"))).join(far, [*doc, "_large"])
+    starts = near.select(*keys, "_block", (F.col("_far") + F.col("_near")).alias("_start"))
+    within = base.withColumn("_inner", earlier(col(amount), before(col(order), "_block")))
+    return within.join(starts, [*doc, "_block"]).withColumn(
+        "offset", F.col("_start") + F.col("_inner")).drop("_block", "_start", "_inner")
 
 
 def chunk_lines(lines: DataFrame, name: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,

@@ -55,11 +55,21 @@ def embed(chunks: DataFrame, text: str = "chunk_text", name: str = "embedding",
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def score(batch: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(v, dtype="float32").tolist() for v in model(batch)])
+        return pd.Series([None if v is None else np.asarray(v, dtype="float32").tolist() for v in _scored(model, batch)])
 
     return chunks.withColumn(name, score(col(text))).where(col(name).isNotNull())
 
 
+def _scored(model: Callable, batch: pd.Series) -> list:
+    """Vectors of a batch; when the batch fails, its texts are tried one by one and the bad ones left out."""
+    try:
+        return list(model(batch))
+    except Exception:  # noqa: BLE001 - any text may be refused
+        if len(batch) == 1:
+            return [None]
+        return [_scored(model, batch.iloc[i:i + 1])[0] for i in range(len(batch))]
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two arrays, in double precision."""
     parts = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -108,16 +118,24 @@ def knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key:
     Every task keeps only ``k`` rows per question and batch, so what is shuffled does not depend on the
     length of the corpus' texts or vectors. Ties go to the smaller key.
     """
-    asked_bytes = queries.agg(F.coalesce(F.sum(F.size(col(query_vector))), F.lit(0)) * 8).first()[0]
-    out = T.StructType([
-        T.StructField(query_key, queries.schema[query_key].dataType),
-        T.StructField(key, corpus.schema[key].dataType),
-        T.StructField("distance", T.DoubleType())])
+    asked_bytes = _asked_bytes(queries, query_vector)
+    out = _result_type(corpus, queries, key, query_key)
     partial = (_knn_broadcast if asked_bytes <= broadcast_bytes else _knn_blocks)(corpus, queries, key, vector, query_key, query_vector, k, out)
     best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _asked_bytes(queries: DataFrame, query_vector: str) -> int:
+    return queries.agg(F.coalesce(F.sum(F.size(col(query_vector))), F.lit(0)) * 8).first()[0]
+
+
+def _result_type(corpus: DataFrame, queries: DataFrame, key: str, query_key: str) -> T.StructType:
+    return T.StructType([
+        T.StructField(query_key, queries.schema[query_key].dataType),
+        T.StructField(key, corpus.schema[key].dataType),
+        T.StructField("distance", T.DoubleType())])
+
+
 def _knn_broadcast(corpus, queries, key, vector, query_key, query_vector, k, out) -> DataFrame:
     asked = queries.select(col(query_key), col(query_vector).cast("array<double>").alias("_v")).toArrow()
     question_keys = asked.column(0).to_pylist()
@@ -174,22 +192,61 @@ def _knn_blocks(corpus, queries, key, vector, query_key, query_vector, k, out) -
 
 def approximate_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str,
                     k: int = K, bucket_length: float = 0.5, tables: int = 8, radius: float = 2.0,
-                    seed: int = SEED) -> DataFrame:
+                    seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Like ``knn`` but only rows that share a random-projection bucket with the question are compared.
 
-    Rows farther than ``radius`` are never returned; more tables find more of the true neighbours.
+    Rows farther than ``radius`` are never returned; more tables find more of the true neighbours. As in
+    ``knn`` a task passes on ``k`` rows per question and batch, however full a bucket is.
     """
     lsh = BucketedRandomProjectionLSH(inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed)
-    left = corpus.select(col(key), array_to_vector(col(vector).cast("array<double>")).alias("_features"))
-    right = queries.select(col(query_key), array_to_vector(col(query_vector).cast("array<double>")).alias("_features"))
-    near = lsh.fit(left).approxSimilarityJoin(left, right, radius, "_d").select(
-        F.col(f"datasetB.{query_key}").alias(query_key), F.col(f"datasetA.{key}").alias(key),
-        (F.col("_d") * F.col("_d")).alias("distance"))
+
+    def prepared(df, k_col, v_col):
+        known = df.where(col(v_col).isNotNull())
+        return known.select(col(k_col), array_to_vector(col(v_col).cast("array<double>")).alias("_features"))
+
+    left, right = prepared(corpus, key, vector), prepared(queries, query_key, query_vector)
+    model = lsh.fit(left)
+    if _asked_bytes(queries, query_vector) > broadcast_bytes:
+        near = model.approxSimilarityJoin(left, right, radius, "_d").select(
+            F.col(f"datasetB.{query_key}").alias(query_key), F.col(f"datasetA.{key}").alias(key),
+            (F.col("_d") * F.col("_d")).alias("distance"))
+    else:
+        near = _same_bucket(model, left, right, key, query_key, k, _result_type(corpus, queries, key, query_key))
+        near = near.where(F.col("distance") < radius * radius)
     best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _same_bucket(model, left, right, key, query_key, k, out) -> DataFrame:
+    def hashed(df, k_col):
+        return model.transform(df).select(
+            col(k_col), vector_to_array("_features").alias("_v"),
+            F.flatten(F.transform("_hashes", lambda h: vector_to_array(h))).alias("_h"))
+
+    asked = hashed(right, query_key).toArrow()
+    names = asked.column(0).to_pylist()
+    shared = left.sparkSession.sparkContext.broadcast(
+        (names, _matrix(asked.column(1)), _matrix(asked.column(2))) if names else (names, None, None))
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, questions, buckets = shared.value
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            keys, rows, own = np.asarray(batch.column(0).to_pylist()), _matrix(batch.column(1)), _matrix(batch.column(2))
+            for q, name in enumerate(names):
+                shares = np.flatnonzero((own == buckets[q]).any(axis=1))
+                if len(shares):
+                    found = list(_candidates(keys[shares], rows[shares], questions[q:q + 1], k))
+                    yield pa.RecordBatch.from_pydict({
+                        query_key: [name] * len(found), key: [x.item() for _, x, _ in found],
+                        "distance": [d for _, _, d in found]}, schema=arrow)
+
+    return hashed(left, key).mapInArrow(run, out)
+
+
 def recall(exact: DataFrame, approximate: DataFrame, query_key: str, key: str) -> DataFrame:
     """One row ``(wanted, found, recall)``: how many exact neighbours the approximate result holds."""
     hits = exact.join(approximate.select(col(query_key), col(key), F.lit(1).alias("_hit")), [query_key, key], "left")

@@ -188,7 +188,7 @@ def make_spec(raw: Mapping[str, Any], roles: SchemaRoles, aliases: Iterable[str]
         pivot=_pivot(raw.get("pivot"), r),
         sort_by=r.names(by), ascending=bool(sort.get("ascending", True)) if by else True,
         limit=int(raw["limit"]) if raw.get("limit") is not None else None,
-        nbins=int(raw.get("nbins") or 20), histfunc=raw.get("histfunc"),
+        nbins=int(raw.get("nbins") or 20), histfunc=raw.get("histfunc") or (_function(raw) or function if kind == "histogram" else None),
         trendline=bool(raw.get("trendline")),
     )
 
@@ -200,7 +200,9 @@ def _aggregate(raw, r: _Resolver, function: str | None, kind: str) -> Aggregate
         how = tuple(how) if isinstance(how, list) else how
         measures = given.get("measures") or ([given["measure"]] if given.get("measure") else [])
         return Aggregate(how, r.names(given.get("groupby")), r.names(measures))
-    how = raw.get("agg") or raw.get("Agg") or raw.get("AGG") or function
+    if kind == "histogram":
+        return None  # its function works per bin
+    how = _function(raw) or function
     by = r.names(raw.get("by"))
     measure = raw.get("measure") or raw.get("value") or raw.get("y")
     measure = r.name(measure) if measure not in (None, *AUTO) else None
@@ -210,6 +212,10 @@ def _aggregate(raw, r: _Resolver, function: str | None, kind: str) -> Aggregate
     return Aggregate(str(how).lower() if how else "sum", by, (measure,) if measure else ())
 
 
+def _function(raw) -> str | None:
+    return raw.get("agg") or raw.get("Agg") or raw.get("AGG")
+
+
 def _top_n(raw, r: _Resolver, y, color, x) -> TopN | None:
     given = raw.get("top_n")
     if given is None or given is False:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablesight.functions.nulls import col
 from tablesight.functions.text import file_name, suffix
@@ -30,7 +30,7 @@ def allowed_uploads(files: DataFrame, extensions: Sequence[str] = UPLOADS) -> Da
     return files.where(F.col("extension").isin(*extensions))
 
 
-def artifact_groups(files: DataFrame, by: Sequence[str] = (), base_url: str = "") -> DataFrame:
+def artifact_groups(files: DataFrame, base_url: str = "") -> DataFrame:
     """Adds ``kind`` (html, png, …, other) and, with a base address, ``public_url``."""
     kind = F.regexp_replace("extension", r"^\.", "")
     out = files.withColumn("kind", F.when(kind.isin(*ARTIFACTS), kind).otherwise("other"))
@@ -64,7 +64,3 @@ def latest(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
         F.max_by(F.struct(*[col(c) for c in rest]), col(order)).alias("_row"))
     return newest.select(*[col(c) if c in by else F.col("_row").getField(c).alias(c) for c in rows.columns])
 
-
-def numbered(rows: DataFrame, by: Sequence[str], order: str, name: str = "position") -> DataFrame:
-    """Position of each row in its session."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*[col(b) for b in by]).orderBy(col(order))))

@@ -94,6 +94,8 @@ def test_histogram_edge_cases(spark, df):
     assert charts.bins(spark.createDataFrame([(None,)], "v double"), "v", 4).count() == 0
     by_color = chart_data(df, {"type": "histogram", "x": "v", "color": "c", "nbins": 2})
     assert by_color.count() == 6 and by_color.agg(F.sum("value")).first()[0] == 5
+    top = chart_data(df, {"type": "histogram", "x": "v", "y": "max(_row_id)", "nbins": 2}).orderBy("bin").collect()
+    assert [r["value"] for r in top] == [5.0, 2.0]
     means = charts.bins(df, "v", 2, "_row_id", "avg").orderBy("bin").collect()
     assert [r["value"] for r in means] == [2.5, 2.0]
 

@@ -131,7 +131,7 @@ def test_catalog(spark, tmp_path):
     groups = catalog.artifact_groups(files, base_url=" https://h/ ")
     assert dict(values(groups, "name", "kind"))["x.unknown"] == "other"
     assert catalog.preferred_entry(files, ["session"]).first()["preferred_entry"].endswith("plotly_index.html")
-    chosen = catalog.choose_dataset(catalog.numbered(files, ["session"], "path"), ["session"], "path", "position")
+    chosen = catalog.choose_dataset(files, ["session"], "path", "name")
     assert chosen.first()["dataset"].endswith("b.csv")
 
 

@@ -43,9 +43,10 @@ def test_chunks_of_lines_equal_chunks_of_the_text(spark, lengths, size, overlap)
 
 
 def test_offsets_cross_blocks(spark):
-    df = spark.range(0, 400_000, 40_000).withColumn("n", F.lit(2))
-    out = text.with_offset(df, "id", "n").orderBy("id").collect()
-    assert [r["offset"] for r in out] == list(range(0, 20, 2))
+    for step in (40_000, 10**12):
+        df = spark.range(0, 10 * step, step).withColumn("n", F.lit(2))
+        out = text.with_offset(df, "id", "n").orderBy("id").collect()
+        assert [r["offset"] for r in out] == list(range(0, 20, 2))
 
 
 def test_table_lines_keep_missing_cells(spark):

@@ -45,8 +45,12 @@ def test_approximate_finds_most_and_measures_itself(spark, sf_dir):
     corpus = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = vectors.centroids(corpus, "label", "embedding")
     exact = vectors.knn(corpus, queries, "vec_id", "embedding", "label", "centroid")
-    near = vectors.approximate_knn(corpus, queries, "vec_id", "embedding", "label", "centroid", bucket_length=2.0)
-    assert vectors.recall(exact, near, "label", "vec_id").first()["recall"] > 0.8
+    found = []
+    for budget in (vectors.BROADCAST_BYTES, 0):
+        near = vectors.approximate_knn(corpus, queries, "vec_id", "embedding", "label", "centroid", bucket_length=2.0, broadcast_bytes=budget)
+        assert vectors.recall(exact, near, "label", "vec_id").first()["recall"] > 0.8
+        found.append(sorted((r["label"], r["vec_id"], r["rank"]) for r in near.collect()))
+    assert found[0] == found[1]
 
 
 def test_embedding_and_context(spark):
@@ -63,3 +67,10 @@ def test_own_model_skips_failures(spark):
     docs = spark.createDataFrame([("a", "one"), ("b", "two words")], "doc string, chunk_text string")
     out = vectors.embed(docs, model=lambda batch: [[float(len(t.split()))] if " " in t else None for t in batch])
     assert [(r["doc"], r["embedding"]) for r in out.collect()] == [("b", [2.0])]
+
+    def moody(batch):
+        if any(t == "one" for t in batch):
+            raise ValueError("refused")
+        return [[1.0] for _ in batch]
+
+    assert [r["doc"] for r in vectors.embed(docs.coalesce(1), model=moody).collect()] == ["b"]
