@@ -149,3 +149,15 @@ def issues_by_column(df: DataFrame, columns: Sequence[str] | None = None, high_n
     return rows.select(
         "name", "type", F.round(F.col("null_percentage") * F.col("rows") / 100).cast("bigint").alias("null_count"),
         "unique_count", F.array_compact(checks).alias("issues"))
+
+
+def analysis_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row that hands a table over to analysis: quality figures and the columns of each role."""
+    roles = column_roles(profile(df, columns))
+    named = roles.agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("name")))).alias(n)
+        for r, n in (("measure", "measures"), ("dimension", "dimensions"), ("time", "time_columns"))])
+    # Both sides have one row; the lists come along as values.
+    lists = named.select(F.struct("measures", "dimensions", "time_columns")).scalar()
+    return quality(df, columns).withColumn("_roles", lists).select(
+        "rows", "columns", "completeness", "consistency", "score", "_roles.measures", "_roles.dimensions", "_roles.time_columns")

@@ -15,6 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesight.functions.nulls import col, join_on
+from tablesight.functions.storage import store
 
 SKETCH_ACCURACY = 10_000
 # The sketch is off by at most 1/accuracy of the rows; the bracket leaves several times that.
@@ -49,6 +50,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         _bracket(i, j, p, len(probabilities)).alias(f"_t{i * len(probabilities) + j}")
         for i in range(len(columns)) for j, p in enumerate(map(float, probabilities))])
     if keys:
+        # Written once: it is read twice, and its size then tells the optimizer how to join it.
+        brackets = store(brackets)
+
         def attach(rows: DataFrame) -> DataFrame:
             return join_on(rows, brackets, keys, "inner")
 

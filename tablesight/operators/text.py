@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesight.functions.nulls import col
@@ -40,6 +42,22 @@ def row_json(df: DataFrame, columns: Sequence[str] | None = None, pretty: bool =
     return F.to_json(F.struct(*[col(c) for c in columns]), {"pretty": "true" if pretty else "false"})
 
 
+def indented_json(text: Column) -> Column:
+    """JSON text laid out over lines with an indent of two; NULL when it is not JSON."""
+    @F.pandas_udf("string")
+    def lay_out(batch: pd.Series) -> pd.Series:
+        return batch.map(_laid_out)
+
+    return lay_out(text)
+
+
+def _laid_out(text: str | None) -> str | None:
+    try:
+        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    except (TypeError, ValueError):
+        return None
+
+
 def check_chunking(size: int, overlap: int) -> int:
     """Words from one chunk start to the next."""
     if size > 0 and overlap >= size:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablesight.functions.text import file_name
 from tablesight.operators.figures import extract_html
 from tablesight.operators.html import blank_to_null
-from tablesight.operators.text import chunk
+from tablesight.operators.text import chunk, indented_json
 
 
 def read_documents(spark: SparkSession, path, pattern: str = "*.{txt,md,html,htm,json}") -> DataFrame:
@@ -28,9 +28,7 @@ def document_text(docs: DataFrame, page_kinds: Sequence[str] = ("html", "htm"))
     """Rows ``(doc, text)`` with markup and JSON turned into plain text; blank documents are dropped."""
     is_page = F.col("kind").isin(*page_kinds)
     pages = extract_html(docs.where(is_page), "path", "text").select(file_name(F.col("path")).alias("doc"), "text")
-    parsed = F.try_parse_json("text")
-    json = docs.where(F.col("kind") == "json").select(
-        "doc", F.when(parsed.isNotNull(), F.col("text")).alias("text"))
+    json = docs.where(F.col("kind") == "json").select("doc", indented_json(F.col("text")).alias("text"))
     plain = docs.where(~is_page & (F.col("kind") != "json")).select("doc", "text")
     every = reduce(DataFrame.unionByName, [pages, json, plain])
     return every.where(blank_to_null(F.col("text")).isNotNull())

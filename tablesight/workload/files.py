@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablesight.functions.storage import shared_folder
+from tablesight.functions.storage import shared_folder, with_global_rank
+from tablesight.operators.charts import run_report
 from tablesight.operators.vectors import nearest_to
-from tablesight.sources import catalog, readers, sinks
+from tablesight.sources import catalog, documents, readers, sinks
 from tablesight.workload.registry import query
 
 
@@ -77,3 +78,37 @@ def file_catalog(t):
     sinks.write_csv(regions, path)
     files = catalog.artifact_groups(catalog.list_files(regions.sparkSession, path, pattern="*.csv"))
     return files.select("kind", "extension", (F.col("size") > 0).alias("has_data")).distinct()
+
+
+@query("question_history", """
+    SELECT row_number() OVER (ORDER BY conv_id, turn) AS position, conv_id, turn FROM conversations WHERE role = 'user'""")
+def question_history(t):
+    asked = t("conversations").where("role = 'user'").select("conv_id", "turn", F.struct("conv_id", "turn").alias("asked_at"))
+    path = _folder(asked)
+    sinks.append_history(asked.where("turn = 0"), path)
+    sinks.append_history(asked.where("turn <> 0"), path)
+    history = sinks.read_history(asked.sparkSession, path)
+    return with_global_rank(history, [F.col("asked_at")], "position", start=1).select("position", "conv_id", "turn")
+
+
+@query("chart_store", """
+    SELECT 'status' AS chart, o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL
+    UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY ALL""")
+def chart_store(t):
+    orders = t("orders")
+    charts = run_report(orders, {"charts": [
+        {"name": "status", "type": "pie", "color": "o_orderstatus"}, {"name": "priority", "type": "pie", "color": "o_orderpriority"}]})
+    saved = {r["chart"]: r["path"] for r in sinks.save_charts(charts, _folder(orders)).collect()}
+    read = {name: orders.sparkSession.read.parquet(path) for name, path in saved.items()}
+    rows = [read[n].select(F.lit(n).alias("chart"), F.col(c).alias("label"), F.col("count").alias("n"))
+            for n, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("json_documents", """
+    SELECT 'doc_' || page_id || '.json' AS doc, 0 AS chunk_no, '{ "page": ' || page_id || ', "link": "' || url || '" }' AS chunk FROM pages""")
+def json_documents(t):
+    docs = t("pages").select(
+        F.concat(F.lit("doc_"), F.col("page_id").cast("string"), F.lit(".json")).alias("doc"), F.lit("").alias("path"), F.lit("json").alias("kind"),
+        F.to_json(F.struct(F.col("page_id").alias("page"), F.col("url").alias("link"))).alias("text"))
+    return documents.chunk_documents(docs).select("doc", "chunk_no", "chunk")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablesight.functions.nulls import na_tokens_to_null
-from tablesight.operators import clean, features, profile as profiles
+from tablesight.operators import clean, features, hooks, profile as profiles
 from tablesight.operators.quantiles import exact_quantiles
+from tablesight.operators.stages import aggregate
 from tablesight.operators.typing import decide_types, infer_types, type_shares
 from tablesight.workload.registry import query
 
@@ -282,3 +284,50 @@ def clean_report(t):
     WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
 def clean_aggressive(t):
     return clean.clean(t("events").select("user_id", "event_type", "value"), "aggressive", {"small": "value < 300"})
+
+
+@query("analysis_summary", """
+    SELECT count(*) AS rows, 6 AS columns, 1.0::DOUBLE AS completeness, 1.0::DOUBLE AS score, 'o_custkey,o_orderkey,o_totalprice' AS measures,
+           'o_orderpriority,o_orderstatus' AS dimensions, 'o_orderdate' AS time_columns FROM orders""")
+def analysis_summary(t):
+    out = profiles.analysis_summary(t("orders")).drop("consistency")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("measures", "dimensions", "time_columns")})
+
+
+@query("stage_chain", """
+    SELECT year(ts)::INT AS ts_year, month(ts)::INT AS ts_month, day(ts)::INT AS ts_day, event_type, round(sum(value), 2) AS value
+    FROM (SELECT DISTINCT user_id, ts, event_type, value FROM events) WHERE value > 1 GROUP BY ALL""")
+def stage_chain(t):
+    return hooks.chain(
+        t("events").select("user_id", "ts", "event_type", "value"), clean.drop_duplicates, lambda df: df.where("value > 1"),
+        features.date_parts, lambda df: aggregate(df, ["ts_year", "ts_month", "ts_day", "event_type"], ["value"]),
+    ).withColumn("value", F.round("value", 2))
+
+
+@query("first_success", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def first_success(t):
+    tried = hooks.first_success(t("lineitem"), {
+        "A": lambda df: df.groupBy("no_such_column").count(),
+        "B": lambda df: df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))})
+    return tried.result
+
+
+@query("user_sql", """
+    SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def user_sql(t):
+    orders = t("orders")
+    return hooks.run_sql(orders.sparkSession, """
+        SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total
+        FROM {orders} JOIN {customers} ON o_custkey = c_custkey GROUP BY c_mktsegment""", {"orders": orders, "customers": t("customer")})
+
+
+@query("user_function", "SELECT p_partkey, p_retailprice * 2 + p_size AS score FROM part")
+def user_function(t):
+    parts = t("part")
+
+    @F.pandas_udf("double")
+    def doubled(price: pd.Series) -> pd.Series:
+        return price * 2
+
+    hooks.register_function(parts.sparkSession, "doubled", doubled)
+    return features.derive(parts, {"score": "doubled(p_retailprice) + p_size"}).select("p_partkey", "score")

@@ -64,3 +64,10 @@ def rag_retrieval(t):
     model = vectors.TfIdf(chunks, dimensions=128)
     asked = model.embed(t("benchmark"), "text", "question")
     return vectors.knn(model.embed(chunks), asked, "chunk_id", "embedding", "item_id", "question", 5)
+
+
+@query("lsh_recall")
+def lsh_recall(t):
+    means = vectors.centroids(t("embeddings"), "label", "embedding")
+    found = vectors.approximate_knn(t("embeddings"), means, "vec_id", "embedding", "label", "centroid", 5)
+    return vectors.recall(nearest_to_means(t), found, "label", "vec_id")

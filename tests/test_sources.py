@@ -143,7 +143,7 @@ def test_documents(spark, tmp_path):
     write(tmp_path / "e.md", " \n ")
     write(tmp_path / "f.csv", "not a document")
     docs = documents.read_documents(spark, str(tmp_path))
-    assert values(documents.document_text(docs)) == [("a.html", "Hello\nyou"), ("b.txt", "plain é"), ("c.json", '{"k": 1}')]
+    assert values(documents.document_text(docs)) == [("a.html", "Hello\nyou"), ("b.txt", "plain é"), ("c.json", '{\n  "k": 1\n}')]
     chunks = documents.chunk_documents(docs)
     assert values(chunks, "chunk_id") == [("a_0",), ("b_0",), ("c_0",)]
     assert documents.chunk_all([chunks, chunks.drop("chunk")]).count() == 6
