@@ -41,8 +41,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     """
     keys = list(keys)
     key_columns = [col(k) for k in keys]
-    number = lambda c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
-    numbers = df.select(*key_columns, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    # NaN counts as missing. Only the sketch has to be told: NaN is above every bound compared with later.
+    numbers = df.select(*key_columns, *[col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
     # Target number k asks for one probability of one column.
     targets = [(i, float(p)) for i in range(len(columns)) for p in probabilities]
     sketches = numbers.groupBy(*key_columns).agg(*[x for i in range(len(columns)) for x in _sketch(i, probabilities)])
@@ -96,7 +96,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
 
 
 def _sketch(i: int, probabilities: Sequence[float]) -> list[Column]:
-    value = F.col(f"_v{i}")
+    value = F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}"))
     around = [max(0.0, p - _MARGIN) for p in probabilities] + [min(1.0, p + _MARGIN) for p in probabilities]
     return [F.count(value).alias(f"_n{i}"), F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}"),
             F.percentile_approx(value, around, SKETCH_ACCURACY).alias(f"_cuts{i}")]
