@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablesight.functions.nulls import col, join_on, sum_or_zero, try_double
 from tablesight.functions.storage import store
-from tablesight.operators.stages import (
-    add_computed, aggregate, aggregate_function, before_aggregate, filter_rows, plan_measures, run_stages, sort_rows)
+from tablesight.operators.stages import aggregate, aggregate_function, before_aggregate, run_stages, sort_rows
 from tablesight.plans import ChartSpec, Guide, SchemaRoles, SpecError, make_spec, schema_roles
 
 PREVIEW_ROWS = 50
@@ -302,9 +301,3 @@ def run_report(df: DataFrame, guide: Mapping[str, Any] | Guide, materialise: boo
         except Exception as err:  # noqa: BLE001 - one bad chart must not stop the report
             warnings.warn(f"chart {i} ({raw.get('name') or raw.get('title')}) skipped: {err}", stacklevel=2)
     return result
-
-
-__all__ = [
-    "add_computed", "aggregate", "bins", "chart_data", "collapse_bars", "filter_rows", "grid", "hierarchy",
-    "plan_measures", "preview", "run_report", "trend_line", "with_group_value", "with_share",
-]

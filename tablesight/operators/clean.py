@@ -215,9 +215,3 @@ def lineage(before: DataFrame, after: DataFrame) -> DataFrame:
     return counted.withColumn("records_after", kept).select(
         "records_before", "records_after", removed.alias("records_removed"),
         F.coalesce(F.try_divide(removed * 100.0, F.col("records_before")), F.lit(0.0)).alias("data_loss_percentage"))
-
-
-__all__ = [
-    "clean", "count_violations", "drop_duplicates", "drop_missing", "fences", "fill_unknown", "fill_values",
-    "flag_outliers", "impute", "issues", "lineage", "numbers_only", "severity", "standardise",
-]

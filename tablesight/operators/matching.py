@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesight.functions.nulls import col, join_on
-from tablesight.functions.text import file_name, letters_and_digits, stem, suffix
+from tablesight.functions.text import letters_and_digits, stem, suffix
 
 # File types of an insight's assets.
 ASSET_SUFFIXES = {"html_path": (".html",), "png_path": (".png", ".jpg", ".jpeg"), "svg_path": (".svg",)}
@@ -125,7 +125,3 @@ def availability(checked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def missing_formats(expected: Column, created: Column) -> Column:
     """Formats that were asked for and not made."""
     return F.array_except(expected, created)
-
-
-def short_name(path: Column) -> Column:
-    return file_name(path)

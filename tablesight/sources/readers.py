@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablesight.functions.nulls import col, na_tokens_to_null, nan_to_null
 from tablesight.operators.typing import ColumnType, apply_types, infer_types
@@ -164,8 +164,3 @@ def read_context(spark: SparkSession, context: Mapping[str, str], **options) ->
 def parse_dates(df: DataFrame, threshold: float = 0.6, columns: Sequence[str] = ()) -> DataFrame:
     """Read string columns as dates when enough of their values parse; named columns always."""
     return infer_types(df, date_threshold=threshold, date_columns=list(columns), numeric_threshold=1.0)
-
-
-def source_order() -> list[Column]:
-    """Sort key of rows as they stand in their files: file, then position of the split."""
-    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
