@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -12,16 +11,15 @@ SMALL_RANK_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a local session without one gets a folder of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-            shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
+    """A folder of this application that every executor can reach; it is removed when the application ends.
+
+    It lies in ``spark.checkpoint.dir``, or in the warehouse where that is unset.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored"
+    folder = f"{shared.rstrip('/')}/tablesight-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def store(df: DataFrame) -> DataFrame:
