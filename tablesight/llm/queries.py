@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import packing
+from tablesight.llm import mixing, packing, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,68 @@ def ranks_path() -> str:
 @query("op1_packing")
 def op1(read):
     return packing.pack(packing.tokenise(read("documents"), ranks_path()))
+
+
+@query("op4_mixing", r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars
+  FROM documents),
+keyed AS (
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+    / (1.0 / (1.0 + abs(chars / greatest(size, 1) - 6.0))) AS key
+  FROM sized),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size) * 2.0 AS cap,
+    list_value(5.0, 2.0, 1.0)[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM sources) * 1.5
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+chosen AS (SELECT level FROM levels WHERE level <= cap / weight ORDER BY cap / weight, level LIMIT 1),
+plan AS (
+  SELECT source, source_size, least(cap, coalesce(weight * (SELECT level FROM chosen), cap))::DOUBLE AS target,
+    CASE WHEN source_size > 0 THEN floor(least(cap, coalesce(weight * (SELECT level FROM chosen), cap)) / source_size) ELSE 0 END AS epochs
+  FROM levels),
+running AS (
+  SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS budget,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto,
+    sum(size) OVER (PARTITION BY k.source, key) AS own
+  FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (epochs + CASE WHEN budget > 0 AND (upto < budget OR (upto - own < budget AND upto - budget < budget - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM running""")
+def op4(read):
+    return mixing.mix(read("documents"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op5_urls", r"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, row_number() OVER () AS row, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
+parts AS (
+  SELECT page_id, row, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM raw)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+  arg_max(r_host || r_path, length(r_host || r_path)) AS rule, coalesce(arg_max(r_verdict, length(r_host || r_path)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+GROUP BY row, page_id""")
+def op5(read):
+    pages = read("pages")
+    return urls.judge(pages, pages.sparkSession.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+@query("op6_secrets")
+def op6(read):
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return secrets.scan(read("documents")).select(
+        "doc_id", *[count(kind) for kind in secrets.BASE_KINDS], "base_sha256",
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+        count("literal"))
