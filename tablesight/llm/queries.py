@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import mixing, packing, secrets, urls
+from tablesight.llm import mixing, packing, secrets, toxicity, urls
+from tablesight.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,10 @@ def op6(read):
         "doc_id", *[count(kind) for kind in secrets.BASE_KINDS], "base_sha256",
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
         count("literal"))
+
+
+@query("op8_toxicity")
+def op8(read):
+    docs = read("documents")
+    return toxicity.score(docs, toxicity.fit(docs, read("labels"))).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
