@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import mixing, packing, quality, secrets, toxicity, urls
+from tablesight.llm import jaccard, mixing, packing, quality, secrets, toxicity, urls
 from tablesight.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op10(read):
     docs = read("documents")
     return quality.score(docs, quality.fit(docs, read("labels"))).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_jaccard")
+def op9(read):
+    return jaccard.link(read("documents"))
