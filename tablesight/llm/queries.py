@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import jaccard, mixing, packing, quality, secrets, toxicity, urls
+from tablesight.llm import codes, jaccard, mixing, neighbours, packing, quality, secrets, toxicity, urls
 from tablesight.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,13 @@ def op10(read):
 @query("op9_jaccard")
 def op9(read):
     return jaccard.link(read("documents"))
+
+
+@query("op3_neighbours")
+def op3(read):
+    return neighbours.search(read("embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_codes")
+def op7(read):
+    return codes.link(read("embeddings"))
