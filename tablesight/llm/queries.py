@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import codes, jaccard, mixing, neighbours, packing, quality, secrets, toxicity, urls
+from tablesight.llm import codes, jaccard, mixing, neighbours, packing, quality, secrets, suffixes, toxicity, urls
 from tablesight.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op3(read):
 @query("op7_codes")
 def op7(read):
     return codes.link(read("embeddings"))
+
+
+@query("op2_suffixes")
+def op2(read):
+    return suffixes.remove_repeats(read("documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
