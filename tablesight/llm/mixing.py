@@ -20,6 +20,7 @@ MOST_EPOCHS = 2
 WEIGHTS = (5, 2, 1)
 # Cells per unit of ln(key) on the first level, and within each of those on the second.
 COARSE, FINE = 256, 4096
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -70,23 +71,38 @@ def _cut(cells: DataFrame, cell: str) -> DataFrame:
                 (F.col("at.sum_to") - F.col("at.words")).alias(f"before_{cell}"), F.col("at.sum_to").alias(f"to_{cell}")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
-    """``(id, size, source_size, target, taken)`` for every row; ``taken / size`` is how often the mix holds it.
+def _keyed(docs: DataFrame, identity_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` as one struct column, with size, source and key of each row."""
+    identity = F.concat_ws(":", F.coalesce(F.col("row")[identity_col].cast("string"), F.lit("")), F.col("size").cast("string"))
+    text = F.col("row")[text_col]
+    return (
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        .withColumn("source", F.col("row")[source_col].cast("string")).withColumn("size", word_count(text))
+        .withColumn("source_key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
+        .withColumn("key", -F.log(draw(identity)) / quality_weight(text, F.col("size"))))
+
+
+def _times(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add the columns of ``cuts``, and how often the mix holds each row.
+
+    The one row per source is repeated for every salt, so that a hot source meets it in many tasks.
+    """
+    salted = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    chosen = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.col("with_cut")), F.lit(True))
+    return (keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
+            .withColumn("times", (F.col("epochs") + F.when((F.col("budget") > 0) & chosen, 1).otherwise(0)).cast("int")))
 
-    No window spans a source: the running sum goes over cells of the keys (all documents of one coarse cell, then
-    those of one fine cell), and only the keys of a single fine cell are sorted. Statistics per source are one row each.
+
+def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most_epochs: float) -> DataFrame:
+    """Per source its size, target, complete epochs, the budget beyond them, and the key at which that is used up.
+
+    No window spans a source: the running sum goes over cells of the keys (all documents of one coarse cell, then those of
+    one fine cell), and only the keys of a single fine cell are sorted. Statistics per source are one row each.
     """
-    text = F.col("text")
     sized = store(
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text") if text_col == "text" else F.col(text_col).alias("text"),
-                    F.col(source_col).cast("string").alias("source"))
-        .withColumn("size", word_count(text)).withColumn("weight", quality_weight(text, F.col("size")))
-        .withColumn("source_key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
-        .withColumn("key", -F.log(draw(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string")))) / F.col("weight"))
-        .withColumn("scaled", F.log("key") * COARSE).withColumn("coarse", F.floor("scaled"))
+        sized.withColumn("scaled", F.log("key") * COARSE).withColumn("coarse", F.floor("scaled"))
         .withColumn("fine", F.floor((F.col("scaled") - F.col("coarse")) * FINE))
-        .select("doc_id", "source", "source_key", "size", "key", "coarse", "fine"))
+        .select("source", "source_key", "size", "key", "coarse", "fine"))
     per_source = targets(sized.groupBy("source", "source_key").agg(F.sum("size").alias("source_size")), weights, share, most_epochs)
     plan = store(
         per_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -96,17 +112,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     coarse = sized.groupBy("source_key", "coarse").agg(F.sum("size").alias("words"))
     coarse = _cut(coarse.join(budgets, "source_key").withColumn("skipped", F.lit(0)), "coarse")
-    inside = sized.join(coarse, "source_key").where(F.col("coarse") == F.col("cut_coarse"))
+    # Joined on source and cell: the rows of a hot source meet only at the cell that is cut.
+    inside = sized.join(coarse.withColumnRenamed("cut_coarse", "coarse"), ["source_key", "coarse"])
     fine = inside.groupBy("source_key", "fine").agg(F.sum("size").alias("words"), F.first("before_coarse").alias("skipped"))
     fine = _cut(fine.join(budgets, "source_key"), "fine")
-    last = inside.join(fine, "source_key").where(F.col("fine") == F.col("cut_fine"))
+    last = inside.join(fine.withColumnRenamed("cut_fine", "fine"), ["source_key", "fine"])
     keys = last.groupBy("source_key", "key").agg(F.sum("size").alias("words"), F.first("before_fine").alias("skipped"))
     cut = _cut(keys.join(budgets, "source_key"), "key")
     # The document at the cut is taken when that brings the sum nearer to the budget.
-    cuts = budgets.join(cut, "source_key", "left").select("source_key", "cut_key", (
-        F.col("to_key") - F.col("budget") < F.col("budget") - F.col("before_key")).alias("with_cut"))
-    chosen = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.col("with_cut")), F.lit(True))
-    return (
-        sized.join(plan.join(cuts, "source_key"), "source_key")
-        .select(F.col("doc_id").alias(id_col), "size", "source_size", "target",
-                (F.col("size") * (F.col("epochs") + F.when((F.col("budget") > 0) & chosen, 1).otherwise(0))).cast("long").alias("taken")))
+    return store(plan.join(cut, "source_key", "left").select(
+        "source_key", "source_size", "target", "epochs", "budget", "cut_key",
+        (F.col("to_key") - F.col("budget") < F.col("budget") - F.col("before_key")).alias("with_cut")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
+    """``(id, size, source_size, target, taken, times)`` for every row; ``times`` is how often the mix holds it."""
+    keyed = _keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
+    keyed = store(keyed.select(F.col("row")[id_col].alias(id_col), "source", "source_key", "size", "key"))
+    return (_times(keyed, _cuts(keyed, weights, share, most_epochs))
+            .select(id_col, "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
+    """The mix itself: the rows, with all their columns, each as often as it is taken."""
+    keyed = _keyed(docs, id_col, text_col, source_col)
+    cuts = _cuts(keyed.select("source", "source_key", "size", "key"), weights, share, most_epochs)
+    return _times(keyed, cuts).where(F.col("times") > 0).select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
