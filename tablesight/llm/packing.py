@@ -13,7 +13,6 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ _RUN = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks_path: str):
+def encoder(ranks_path: str):
+    """The tokenizer of a file of tokens and ranks."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -47,16 +46,15 @@ def _encoder(ranks_path: str):
                              special_tokens={SPECIAL: SPECIAL_ID})
 
 
-def token_ids(text: str, ranks_path: str) -> np.ndarray:
+def token_ids(text: str, tokenizer) -> np.ndarray:
     """Ids of a text, with the end token."""
-    encoder = _encoder(ranks_path)
     parts: list[np.ndarray] = []
     for k, plain in enumerate(text.split(SPECIAL)):
         if k:
             parts.append(np.array([SPECIAL_ID], "<u4"))
         for run in _RUN.split(plain):
             if run:
-                parts.append(np.asarray(encoder.encode_to_numpy(run, disallowed_special=()), "<u4"))
+                parts.append(np.asarray(tokenizer.encode_to_numpy(run, disallowed_special=()), "<u4"))
     parts.append(np.array([END_ID], "<u4"))
     return np.concatenate(parts)
 
@@ -66,10 +64,11 @@ def tokenise(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     """One row per piece. Only documents longer than ``capacity`` are cut; all pieces but their first are full."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = encoder(ranks_path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_ids(text.as_py() or "", ranks_path)
+                ids = token_ids(text.as_py() or "", tokenizer)
                 start, n = 0, len(ids)
                 while start < n:
                     end = n - (n - 1 - start) // capacity * capacity if start == 0 else start + capacity
