@@ -42,7 +42,7 @@ class Codes:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """One number per vector and part."""
-        bits = np.hstack([(unit - self.mean) @ r > m for r, m in zip(self.rotations, self.medians)])
+        bits = np.hstack([np.zeros((len(unit), 0), bool), *((unit - self.mean) @ r > m for r, m in zip(self.rotations, self.medians))])
         bits = bits[:, :self.width * self.parts].reshape(len(unit), self.parts, self.width)
         return bits @ (1 << np.arange(self.width, dtype=np.int64))
 
@@ -50,7 +50,7 @@ class Codes:
 def learn(unit: np.ndarray, most: int, cosine: float = COSINE, miss: float = MISS) -> Codes:
     """Codes from a sample of unit vectors, for labels of up to ``most`` vectors."""
     d = unit.shape[1]
-    width = min(max(round(math.log2(max(most, 1) / BUCKET)) if most > BUCKET else 1, 1), 24)
+    width = min(max(round(math.log2(max(most, 1) / BUCKET)), 0), 24)
     agree = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** width
     parts = max(1, math.ceil(math.log(miss) / math.log(1 - agree))) if agree < 1 else 1
     mean = unit.mean(0)

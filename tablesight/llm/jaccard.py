@@ -243,6 +243,14 @@ def _links(docs: DataFrame, members: DataFrame, ngram: int, percent: int) -> Dat
     return blocks.select(*key, "node", "side", "grams").mapInArrow(product, "a long, b long")
 
 
+def _cells(postings: DataFrame) -> DataFrame:
+    """``(node, n, doc, cell)``: the most frequent posting of the nodes that hold the node's own most frequent one."""
+    hubs = postings.groupBy("node").agg(F.first("n").alias("n"), F.first("doc").alias("doc"), F.max(F.struct("df", "gram")).alias("hub"))
+    hubs = store(hubs.select("node", "n", "doc", "hub", F.col("hub.gram").alias("gram")))
+    tops = postings.select("node", "gram").join(hubs.select("node", "hub"), "node").groupBy("gram").agg(F.max("hub").alias("top"))
+    return hubs.drop("hub").join(tops, "gram").select("node", "n", "doc", F.col("top.gram").alias("cell"))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row: its set's size and the smallest id that links reach.
 
@@ -256,11 +264,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
         nodes.select("node", "doc", "n", F.explode("first").alias("gram"))
         .withColumn("df", F.count(F.lit(1)).over(every)).where(F.col("df") > 1))
 
-    # The cell of a node: the most frequent posting of the nodes that hold the node's own most frequent one.
-    hubs = postings.groupBy("node").agg(F.first("n").alias("n"), F.first("doc").alias("doc"), F.max(F.struct("df", "gram")).alias("hub"))
-    hubs = store(hubs.select("node", "n", "doc", "hub", F.col("hub.gram").alias("gram")))
-    tops = postings.select("node", "gram").join(hubs.select("node", "hub"), "node").groupBy("gram").agg(F.max("hub").alias("top"))
-    cells = store(hubs.drop("hub").join(tops, "gram").select("node", "n", "doc", F.col("top.gram").alias("cell")))
+    cells = store(_cells(postings))
     sizes = cells.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1)
     parts = F.ceil(F.col("total") / BLOCK_NGRAMS).cast("int")
     members = (
