@@ -24,6 +24,20 @@ _QUOTED = "quoted__"
 _RENAMED = {"arctan2": "atan2", "arcsin": "asin", "arccos": "acos", "arctan": "atan", "log": "ln"}
 
 
+# What texts written by users or models may call: functions of values. None of them reaches files, classes or settings.
+ALLOWED = frozenset("""
+    abs acos add_months asin atan atan2 bround cbrt ceil ceiling char_length character_length coalesce concat concat_ws contains cos date_add
+    date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear degrees endswith exp expm1 floor greatest hour
+    hypot if ifnull initcap instr isnan isnotnull isnull last_day lcase least left length ln locate log log10 log1p log2 lower lpad ltrim
+    make_date minute mod month months_between nanvl negative nullif nvl nvl2 overlay pmod position positive pow power quarter radians
+    regexp_count regexp_extract regexp_like regexp_replace repeat replace reverse right rint round rpad rtrim second sign signum sin
+    split_part sqrt startswith substr substring substring_index tan to_date to_timestamp translate trim trunc try_add try_divide
+    try_mod try_multiply try_subtract try_to_timestamp ucase upper weekday weekofyear when width_bucket year
+""".split())
+# Functions that users have registered, by name.
+REGISTERED: set[str] = set()
+
+
 class ExpressionError(ValueError):
     """The expression uses something that has no column equivalent."""
 
@@ -184,7 +198,10 @@ class _Translator:
         args = [self._operand(a) for a in node.args]
         if isinstance(node.func, ast.Name):
             name = node.func.id
-            return F.call_function(_RENAMED.get(name, name), *args)
+            name = _RENAMED.get(name, name)
+            if name.lower() not in ALLOWED and name not in REGISTERED:
+                raise ExpressionError(f"function {name} is not allowed in {self.text!r}")
+            return F.call_function(name, *args)
         if isinstance(node.func, ast.Attribute):
             owner = node.func.value
             if isinstance(owner, ast.Attribute) and owner.attr == "str":

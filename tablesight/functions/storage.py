@@ -6,9 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-# Below this many rows one sort in one task is cheaper than a distributed numbering.
-SMALL_RANK_ROWS = 200_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application that every executor can reach; it is removed when the application ends.
@@ -32,17 +29,12 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_global_rank(df: DataFrame, order: list, name: str = "_row_id", start: int = 0,
-                     small_rows: int = SMALL_RANK_ROWS) -> DataFrame:
+def with_global_rank(df: DataFrame, order: list, name: str = "_row_id", start: int = 0) -> DataFrame:
     """Add consecutive numbers in the global order of ``order`` without sorting everything in one task.
 
     The sorted rows are written once; each sorted partition then only needs the row count of the
     partitions before it, a table with one row per partition.
     """
-    n = df.limit(small_rows + 1).count()
-    if n <= small_rows:
-        window = W.orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(window) - 1 + start).cast("bigint"))
     ranked = store(
         df.orderBy(*order)
         .withColumn("_mono", F.monotonically_increasing_id())

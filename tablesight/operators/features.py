@@ -31,16 +31,15 @@ def normalise_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def label_codes(df: DataFrame, column: str, small_rows: int | None = None) -> DataFrame:
+def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Rows ``(label, code)``: labels in alphabetical order, numbered from 0."""
     labels = df.where(col(column).isNotNull()).select(col(column).alias("label")).distinct()
-    limit = {} if small_rows is None else {"small_rows": small_rows}
-    return with_global_rank(labels, [F.col("label")], "code", **limit)
+    return with_global_rank(labels, [F.col("label")], "code")
 
 
-def label_encode(df: DataFrame, column: str, name: str | None = None, small_rows: int | None = None) -> DataFrame:
+def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Add the label's code; a missing label gets the code after the last one."""
-    codes = label_codes(df, column, small_rows)
+    codes = label_codes(df, column)
     after = codes.agg(F.coalesce(F.max("code") + 1, F.lit(0))).scalar()
     name = name or f"{column}_code"
     encoded = join_on(df, codes.select(F.col("label").alias(column), F.col("code").alias(name)), [column])

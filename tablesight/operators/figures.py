@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablesight.functions.nulls import col
 from tablesight.operators.html import blank_to_null, page_parts, page_text
 
-# Pages longer than this are searched with patterns only.
-LARGE_PAGE_CHARS = 500_000
-
 # How plot calls and their settings look in page source.
 PLOT_CALL = r"(?s)Plotly\.newPlot\s*\(\s*[^,]+,\s*(\[.*?\])\s*,\s*(\{.*?\})\s*[,\)]"
 TITLE_PATTERNS = (
@@ -103,10 +100,10 @@ def script_summary(scripts: Column) -> Column:
 
 
 def attribute_summary(figures: Column) -> Column:
-    """Description of figures in data attributes; short text that is not JSON is kept as it is."""
+    """Description of figures in data attributes; text that is not JSON is kept as it is."""
     def one(a: Column, f: Column) -> Column:
         title = F.concat(F.lit("Title: "), F.try_variant_get(f["v"], "$.title", "string"))
-        return F.when(f["v"].isNull(), F.when(F.length(a) < 200, a).otherwise("")).otherwise(
+        return F.when(f["v"].isNull(), a).otherwise(
             F.when(f["text"] != "", f["text"]).otherwise(F.coalesce(title, F.lit(""))))
     return _join_blocks(F.zip_with(figures, _figures(figures), one))
 
@@ -128,10 +125,9 @@ def pattern_summary(html: Column) -> Column:
 
 
 def figure_summary(html: Column) -> Column:
-    """What the page says about its charts: patterns for large pages, else calls, scripts, attributes."""
-    small = F.coalesce(blank_to_null(plot_call_summary(html)), blank_to_null(script_summary(F.col("scripts"))),
-                       attribute_summary(F.col("figures")))
-    return F.when(F.length(html) > LARGE_PAGE_CHARS, pattern_summary(html)).otherwise(small)
+    """What a page of any length says about its charts: calls, else scripts, else attributes, else patterns."""
+    return F.coalesce(blank_to_null(plot_call_summary(html)), blank_to_null(script_summary(F.col("scripts"))),
+                      blank_to_null(attribute_summary(F.col("figures"))), pattern_summary(html))
 
 
 def extract_html(pages: DataFrame, key: str, html: str) -> DataFrame:

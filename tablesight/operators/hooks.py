@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablesight.functions.expressions import REGISTERED
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -54,3 +56,4 @@ def _with_views(spark, text, tables):
 def register_function(spark: SparkSession, name: str, function, return_type=None) -> None:
     """Make a scalar function callable in compute and filter expressions. Prefer pandas functions."""
     spark.udf.register(name, function, return_type)
+    REGISTERED.add(name)

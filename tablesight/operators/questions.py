@@ -21,8 +21,6 @@ VERBS = (
 )
 # Words that say nothing about a column.
 STOP_WORDS = ("the", "is", "of", "for", "in", "what", "give", "me", "get", "show", "find", "calculate", "data")
-# Points of a column name.
-WORD_MATCH, NAME_IN_QUESTION, WORD_IN_QUESTION, BASE_IN_QUESTION, WORD_RESEMBLES = 15, 50, 10, 8, 5
 
 
 @dataclass(frozen=True)
@@ -44,41 +42,35 @@ def verb(question: str) -> str | None:
     return None
 
 
-def _base(word: str) -> str:
-    return word[:-1] if len(word) > 3 and word[-1] == "s" and word[-2] != "s" else word
+def _root(word: str) -> str:
+    """A word without plural or participle endings, at least three letters long."""
+    return re.sub(r"(?<=[a-z]{3})(?:ings?|ed|es|s)$", "", word)
 
 
-def _alike(a: str, b: str) -> bool:
-    if _base(a) == _base(b):
-        return True
-    short, long = sorted((a, b), key=len)
-    return len(short) >= 3 and (long.startswith(short) or (len(short) == 3 and short in long))
+def column_match(column: str, question: str) -> tuple[int, int]:
+    """The best kind of match of a column name with a question, and how many of its words take part.
 
-
-def column_score(column: str, question: str) -> int:
-    """How well a column name fits a question."""
-    text, name = question.lower(), column.lower()
-    asked = set(re.findall(r"\w+", text)) - set(STOP_WORDS)
-    own = set(re.findall(r"[a-z]+", name.replace("_", " ")))
-    score = WORD_MATCH * sum(_alike(a, w) for a in asked for w in own)
-    if name in text or name.replace("_", " ") in text:
-        score += NAME_IN_QUESTION
-    for word in own:
-        if len(word) < 3:
-            continue
-        if word in text:
-            score += WORD_IN_QUESTION
-        elif _base(word) in text:
-            score += BASE_IN_QUESTION
-        elif any(_alike(word, a) for a in asked):
-            score += WORD_RESEMBLES
-    return score
+    4: the whole name is a phrase of the question; 3: all its words occur; 2: some word occurs; 1: some word shares its
+    root, or abbreviates a word or the other way round; 0: none.
+    """
+    spoken = re.findall(r"[a-z0-9]+", question.lower())
+    asked = set(spoken) - set(STOP_WORDS)
+    own = re.findall(r"[a-z0-9]+", column.lower().replace("_", " "))
+    named = [w for w in own if len(w) > 1]
+    if f" {' '.join(own)} " in f" {' '.join(spoken)} ".replace("_", " ") or column.lower() in question.lower().split():
+        return 4, len(named)
+    exact = [w for w in named if w in asked]
+    if exact:
+        return (3 if len(exact) == len(named) else 2), len(exact)
+    near = [w for w in named if len(w) > 2 and any(
+        _root(w) == _root(a) or (min(len(a), len(w)) > 2 and (a.startswith(w) or w.startswith(a) or w.endswith(a))) for a in asked)]
+    return (1, len(near)) if near else (0, 0)
 
 
 def best_column(df: DataFrame, question: str) -> str | None:
-    """The numeric column that fits best: the first one on ties or when none fits at all."""
+    """The numeric column whose name matches best; the first in the schema on ties or when none matches."""
     numbers = [c for c in profiled_columns(df) if isinstance(df.schema[c].dataType, T.NumericType)]
-    return max(numbers, key=lambda c: column_score(c, question), default=None)
+    return max(numbers, key=lambda c: column_match(c, question), default=None)
 
 
 def find_filter(df: DataFrame, question: str) -> tuple[str | None, Any]:

@@ -12,11 +12,6 @@ from tablesight.functions.nulls import col, join_on, sum_or_zero
 from tablesight.operators.quantiles import exact_quantiles
 from tablesight.plans.spec import ChartSpec, SpecError
 
-# A winner table up to this many rows is small enough for every executor.
-BROADCAST_WINNERS = 100_000
-# Widest pivot that is still a table a person can read and Spark can plan.
-MAX_PIVOT_COLUMNS = 1_000
-
 _ANY_TYPE = ("count", "size", "min", "max", "nunique", "first", "last")
 
 
@@ -47,7 +42,7 @@ def top_n_overall(df: DataFrame, by: str, category: str, n: int) -> DataFrame:
         df.groupBy(col(category).alias("_winner")).agg(sum_or_zero(col(by)).alias("_total"))
         .orderBy(F.col("_total").desc(), F.col("_winner").asc_nulls_last()).limit(n).select("_winner")
     )
-    return _semi_join(df, winners, col(category).eqNullSafe(F.col("_winner")), n)
+    return df.join(winners, col(category).eqNullSafe(F.col("_winner")), "left_semi")
 
 
 def top_n_per_group(df: DataFrame, by: str, category: str, group: str, n: int) -> DataFrame:
@@ -64,11 +59,6 @@ def top_n_per_group(df: DataFrame, by: str, category: str, group: str, n: int) -
     return df.join(winners, (col(group) == F.col("_group")) & (col(category) == F.col("_winner")), "left_semi")
 
 
-def _semi_join(df, winners, condition, n) -> DataFrame:
-    side = F.broadcast(winners) if n <= BROADCAST_WINNERS else winners
-    return df.join(side, condition, "left_semi")
-
-
 def aggregate_function(name: str, value: Column, order: Column | None = None) -> Column:
     """One named aggregate of a column."""
     name = str(name).lower()
@@ -160,17 +150,18 @@ def _one_row(df: DataFrame, plan) -> DataFrame:
 
 
 def pivot(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "sum",
-          fill_value: Any = 0, max_columns: int = MAX_PIVOT_COLUMNS) -> DataFrame:
-    """Cross table. Null keys are dropped; every other observed key stays; empty cells get ``fill_value``."""
+          fill_value: Any = 0, heads: Sequence[Any] | None = None) -> DataFrame:
+    """Cross table. Null keys are dropped; every other observed key stays; empty cells get ``fill_value``.
+
+    The columns are ``heads``, or all observed keys: one per column of the result.
+    """
     kept = df.where(col(columns).isNotNull())
     for k in index:
         kept = kept.where(col(k).isNotNull())
     plan = [(values, aggfunc, values)]
     _check(df, [*index, columns], plan)
-    heads = kept.select(col(columns)).distinct().orderBy(col(columns)).limit(max_columns + 1).collect()
-    if len(heads) > max_columns:
-        raise SpecError(f"pivot on '{columns}' would need more than {max_columns} columns; use a heatmap grid")
-    heads = [h[0] for h in heads]
+    if heads is None:
+        heads = [h[0] for h in kept.select(col(columns)).distinct().orderBy(col(columns)).collect()]
     cell = aggregate_function(aggfunc, col(values)) if aggfunc != "sum" else F.sum(col(values))
     # Aggregating per (index, column) first keeps the pivot itself on the small result.
     cells = kept.groupBy(*[col(k) for k in index], col(columns)).agg(cell.alias("_cell"))
@@ -211,5 +202,5 @@ def run_stages(df: DataFrame, spec: ChartSpec) -> DataFrame:
         df = aggregate(df, a.groupby, [], a.how) if a.groupby else aggregate_all(df, [], a.how)
     if spec.pivot:
         p = spec.pivot
-        df = pivot(df, p["index"], p["columns"], p["values"], p["aggfunc"], p["fill_value"])
+        df = pivot(df, p["index"], p["columns"], p["values"], p["aggfunc"], p["fill_value"], p.get("heads"))
     return sort_rows(df, spec.sort_by, spec.ascending)

@@ -9,12 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesight.functions.nulls import col
-from tablesight.functions.text import file_name, stem, word_count, words
+from tablesight.functions.text import file_name, word_count, words
 
 CHUNK_WORDS = 256
 CHUNK_OVERLAP = 40
-# Longest chunk text that is stored next to a vector; the vector itself is made from the whole chunk.
-STORED_CHARS = 2000
 # Tokens per word and prices per token.
 TOKENS_PER_WORD = 1.5
 INPUT_PRICE = 0.00000015
@@ -65,12 +63,11 @@ def check_chunking(size: int, overlap: int) -> int:
     return size - overlap
 
 
-def chunk(docs: DataFrame, name: str, text: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,
-          stored: int = STORED_CHARS) -> DataFrame:
-    """Rows ``(doc, chunk_id, chunk_no, chunk, chunk_text)``: windows of ``size`` words per document.
+def chunk(docs: DataFrame, name: str, text: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Rows ``(doc, chunk_id, chunk_no, chunk_text)``: windows of ``size`` words per document.
 
-    ``chunk_text`` is the whole window, ``chunk`` the part stored with the vector. A document without
-    words has no chunk. A size of 0 keeps every text whole.
+    A document without words has no chunk. A size of 0 keeps every text whole. Ids hold the document's
+    whole name, so documents that differ in folder or extension do not share any.
     """
     step = check_chunking(size, overlap)
     base = docs.select(col(name).cast("string").alias("doc"), col(text).alias("_text"))
@@ -84,8 +81,7 @@ def chunk(docs: DataFrame, name: str, text: str, size: int = CHUNK_WORDS, overla
             starts, lambda s: F.array_join(F.slice("_words", s + 1, F.lit(size)), " ")))
         parts = split.select("doc", F.posexplode(cut).alias("chunk_no", "chunk_text"))
     return parts.select(
-        "doc", F.concat_ws("_", stem(F.col("doc")), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no",
-        F.left("chunk_text", F.lit(stored)).alias("chunk"), "chunk_text")
+        "doc", F.concat_ws("_", "doc", F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk_no", "chunk_text")
 
 
 def with_offset(lines: DataFrame, order: str, amount: str, doc: Sequence[str] = ()) -> DataFrame:
@@ -114,8 +110,7 @@ def with_offset(lines: DataFrame, order: str, amount: str, doc: Sequence[str] =
         "offset", F.col("_start") + F.col("_inner")).drop("_block", "_start", "_inner")
 
 
-def chunk_lines(lines: DataFrame, name: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP,
-                stored: int = STORED_CHARS) -> DataFrame:
+def chunk_lines(lines: DataFrame, name: str, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks of one long text given as rows ``(line_no, line)``, as ``chunk`` would cut the joined text.
 
     Each line's words get their position in the whole text and go to the chunks they lie in; a task holds
@@ -138,9 +133,8 @@ def chunk_lines(lines: DataFrame, name: str, size: int = CHUNK_WORDS, overlap: i
     text = F.array_join(F.transform("_parts", lambda p: p["_part"]), " ")
     return joined.select(
         F.lit(name).alias("doc"),
-        F.concat_ws("_", stem(F.lit(name)), F.col("chunk_no").cast("string")).alias("chunk_id"),
-        F.col("chunk_no").cast("int").alias("chunk_no"), text.alias("chunk_text"),
-    ).select("doc", "chunk_id", "chunk_no", F.left("chunk_text", F.lit(stored)).alias("chunk"), "chunk_text")
+        F.concat_ws("_", F.lit(name), F.col("chunk_no").cast("string")).alias("chunk_id"),
+        F.col("chunk_no").cast("int").alias("chunk_no"), text.alias("chunk_text"))
 
 
 # Fixed value: an image link in Markdown.

@@ -18,7 +18,7 @@ NUMERIC_THRESHOLD = 0.8
 DATE_THRESHOLD = 0.7
 
 _NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))$"
-_INTEGER = r"^[+-]?\d{1,18}$"
+_INTEGER = r"^[+-]?\d+$"
 _BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 # Accepted date spellings; on equal shares the earlier one wins.
@@ -92,14 +92,16 @@ def type_shares(df: DataFrame, columns: Sequence[str] | None = None, formats: Se
         df.sparkSession.createDataFrame([], "name string, text string"))
     text = F.trim("text")
     cells = cells.select("name", text.alias("text"), shape(text).alias("shape"))
+    whole = F.rlike("text", F.lit(_INTEGER))
     dates = [F.when(F.col("shape").isin(*format_shapes(f)), _read(F.col("text"), f)) for f in formats]
     counted = cells.groupBy("name").agg(
         F.count(F.lit(1)).alias("rows"), F.count("text").alias("known"),
         F.count(parse_number(F.col("text"))).alias("number"),
-        F.count_if(F.rlike("text", F.lit(_INTEGER))).alias("integer"),
+        F.count_if(whole & F.col("text").try_cast("bigint").isNotNull()).alias("integer"),
+        F.count_if(whole & F.col("text").try_cast("decimal(38,0)").isNotNull()).alias("whole"),
         F.count_if(F.col("text").isin(*_BOOLEANS)).alias("boolean"),
         *[F.count(d).alias(f"_d{i}") for i, d in enumerate(dates)])
-    return counted.select("name", "rows", "known", "number", "integer", "boolean",
+    return counted.select("name", "rows", "known", "number", "integer", "whole", "boolean",
                           F.array(*[F.col(f"_d{i}") for i in range(len(formats))]).alias("dates"))
 
 
@@ -123,13 +125,15 @@ def decide_types(shares: DataFrame, numeric_threshold: float = NUMERIC_THRESHOLD
         F.when(is_bool, "boolean")
         .when(F.col("name").isin(list(date_columns)), "timestamp")
         .when(is_number & all_known & (F.col("integer") == F.col("number")), "bigint")
+        # Identifiers beyond 64 bits keep all their digits.
+        .when(is_number & all_known & (F.col("whole") == F.col("number")), "decimal(38,0)")
         .when(is_number, "double")
         .when(is_date, "timestamp")
         .otherwise("string")
     )
     share = (
         F.when(kind == "boolean", F.col("boolean") / rows)
-        .when(kind.isin("bigint", "double"), number_share)
+        .when(kind.isin("bigint", "decimal(38,0)", "double"), number_share)
         .when(kind == "timestamp", date_share)
         .otherwise(F.col("known") / rows)
     )

@@ -254,7 +254,7 @@ def recall(exact: DataFrame, approximate: DataFrame, query_key: str, key: str) -
         "recall", F.try_divide("found", "wanted"))
 
 
-def context(neighbours: DataFrame, chunks: DataFrame, query_key: str, key: str, text: str = "chunk") -> DataFrame:
+def context(neighbours: DataFrame, chunks: DataFrame, query_key: str, key: str, text: str = "chunk_text") -> DataFrame:
     """Rows ``(query_key, context)``: the texts of a question's neighbours, nearest first."""
     texts = neighbours.join(chunks.select(col(key), col(text).alias("_text")), key)
     packed = F.array_sort(F.collect_list(F.struct("rank", "_text")))  # at most k rows per question

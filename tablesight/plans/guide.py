@@ -79,28 +79,25 @@ def build_guide(recommendations: Iterable[Mapping[str, Any]], generated: Iterabl
     return Guide(title, {name: name.replace("_", " ").title() for name in used}, tuple(charts))
 
 
+# Which columns of a specification an entry of each kind names; other kinds name all of them.
+_ALL_FIELDS = ("x", "y", "color", "size", "symbol", "facet_row", "facet_col", "animation_frame")
+_FIELDS = {"histogram": ("x",), "pie": ("x", "color")}
+
+
 def _chart_entry(made: Mapping[str, Any], spec: Mapping[str, Any]) -> dict[str, Any]:
-    kind = made.get("type", "chart")
-    title = made.get("title", made.get("id"))
-    chart: dict[str, Any] = {"name": title, "type": kind, "title": title}
-    function, y = parse_measure(spec.get("y"))
-    how = function or str(spec.get("aggregation") or "").lower()
-    x, color = spec.get("x"), spec.get("color")
-    if x:
-        chart["x"] = f"${x}"
-    if kind == "histogram":
-        return chart
+    """A guide entry from a specification: names, then each field that adds a column, then the function."""
+    kind, title = made.get("type", "chart"), made.get("title", made.get("id"))
+    function, measure = parse_measure(spec.get("y"))
+    columns = {name: spec.get(name) for name in _ALL_FIELDS} | {"y": measure}
     if kind == "pie":
-        if color or x:
-            chart["color"] = f"${color or x}"
-        return chart
-    if y:
-        chart["y"] = f"${y}"
-    if color and color != x:
-        chart["color"] = f"${color}"
-    for key in ("size", "symbol", "facet_row", "facet_col", "animation_frame"):
-        if spec.get(key) and spec[key] not in (x, y):
-            chart[key] = f"${spec[key]}"
-    if how and how != "none":
-        chart["agg"] = "avg" if how == "mean" else how
-    return chart
+        columns["color"] = columns["color"] or columns["x"]
+    # A second field on the same column adds nothing: color may repeat y, the others neither x nor y.
+    repeats = {"color": (columns["x"],) if kind != "pie" else ()} | {name: (columns["x"], measure) for name in _ALL_FIELDS[3:]}
+    entry = {"name": title, "type": kind, "title": title}
+    for name in _FIELDS.get(kind, _ALL_FIELDS):
+        if columns[name] and columns[name] not in repeats.get(name, ()):
+            entry[name] = f"${columns[name]}"
+    how = function or str(spec.get("aggregation") or "").lower()
+    if kind not in _FIELDS and how not in ("", "none"):
+        entry["agg"] = {"mean": "avg"}.get(how, how)
+    return entry

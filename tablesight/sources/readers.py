@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablesight.functions.nulls import col, na_tokens_to_null, nan_to_null
 from tablesight.operators.typing import ColumnType, apply_types, infer_types
@@ -17,13 +18,18 @@ _C1 = "".join(chr(b) for b in range(0x80, 0xA0))
 _CP1252 = "".join(bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
+def file_path() -> Column:
+    """The path of a row's file as it can be read again; Spark reports it encoded like a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def scan_text_files(spark: SparkSession, paths) -> DataFrame:
     """Rows ``(path, utf8, quoted_breaks)`` per text file.
 
     The files are read as raw lines in splits, so a huge file is checked by many tasks. A line with an
     odd number of quotes means that a quoted value runs over its end.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = spark.read.text(paths).select(file_path().alias("path"), "value")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("quoted_breaks"))
@@ -70,21 +76,47 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer: bool = True, scan
 
 
 def scan_json_files(spark: SparkSession, paths) -> DataFrame:
-    """Rows ``(path, lines)``: whether every non-blank line of the file is a JSON object of its own."""
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
+    """Rows ``(path, lines, bad)`` per JSON file: whether it holds one object per line, and how many lines are not.
+
+    A file is a document when it begins with ``[`` or when its lines are no objects of their own but begin one together;
+    a single bad line among good ones does not make it a document.
+    """
+    text = spark.read.text(paths).select(
+        file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.trim(F.regexp_replace("value", r"^\x{FEFF}", "")).alias("value")).where("value != ''")
     is_object = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull()
-    return text.where("value != ''").groupBy("path").agg(F.bool_and(is_object).alias("lines"))
+    found = text.groupBy("path").agg(
+        F.min_by("value", F.struct("block", "at")).alias("first"), F.count_if(is_object).alias("good"), F.count_if(~is_object).alias("bad"))
+    whole = F.startswith("first", F.lit("[")) | (F.col("first") == "{") | ((F.col("good") == 0) & F.startswith("first", F.lit("{")))
+    return found.select("path", (~whole).alias("lines"), F.when(whole, 0).otherwise(F.col("bad")).alias("bad"))
 
 
-def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool = True, **options) -> DataFrame:
-    """JSON files: one object per line, or one document per file, decided file by file when not told."""
+def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool = True, bad_lines: str = "drop", **options) -> DataFrame:
+    """JSON files: one object per line, or one document per file, decided file by file when not told.
+
+    Lines that are no JSON object are counted in a warning and dropped, or kept as text in the column
+    that ``bad_lines`` names.
+    """
     def load(paths, as_lines: bool) -> DataFrame:
-        return spark.read.options(**options).json(paths, multiLine=not as_lines)
+        if not as_lines:
+            return spark.read.options(**options).json(paths, multiLine=True)
+        keep = "_bad_line" if bad_lines == "drop" else bad_lines
+        raw = spark.read.options(**options).option("columnNameOfCorruptRecord", keep).json(paths)
+        if keep not in raw.columns:
+            return raw
+        # Read again as text: Spark answers no query on nothing but its own column of bad lines.
+        told = {**options, "columnNameOfCorruptRecord": keep}
+        parsed = spark.read.text(paths).where("trim(value) != ''").select(F.from_json("value", raw.schema, told).alias("_row")).select("_row.*")
+        return parsed.where(col(keep).isNull()).drop(keep) if bad_lines == "drop" else parsed
 
     if lines is None:
+        # One row per file, no more than the file listing that Spark keeps anyway.
         found = scan_json_files(spark, path).collect()
         documents = [r["path"] for r in found if not r["lines"]]
         records = [r["path"] for r in found if r["lines"]]
+        bad = {r["path"]: r["bad"] for r in found if r["bad"]}
+        if bad:
+            warnings.warn(f"lines that are no JSON object: {bad}", stacklevel=2)
         parts = [load(p, k) for p, k in ((records, True), (documents, False)) if p]
         if not parts:
             raise ValueError(f"no JSON content in {path}")

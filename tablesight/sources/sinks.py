@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesight.functions.nulls import col
 from tablesight.functions.text import slug
-from tablesight.sources.catalog import latest
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 
@@ -30,8 +29,10 @@ def append_results(results: DataFrame, path: str, session: str = "session_id", r
 
 
 def latest_results(spark: SparkSession, path: str, session: str = "session_id") -> DataFrame:
-    """Newest result of each session."""
-    return latest(spark.read.parquet(path), [session], "run_ts")
+    """All rows of the newest run of each session."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(col(session).alias("_session")).agg(F.max("run_ts").alias("_run"))
+    return rows.join(newest, col(session).eqNullSafe(F.col("_session")) & (F.col("run_ts") == F.col("_run")), "left_semi")
 
 
 def result_name(operation: Column, request: Column, run_at: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -49,14 +50,86 @@ def source_parquet(t):
     return readers.read_any(suppliers.sparkSession, path).where("s_acctbal > 1000")
 
 
+@query("source_json_document", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_json_document(t):
+    """One document over many lines per file, as other programs write them."""
+    nations = t("nation")
+    path = _folder(nations) + ".json"
+    rows = F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*nations.columns), {"pretty": "true"}))), ",\n")
+    nations.groupBy("n_regionkey").agg(F.concat(F.lit("[\n"), rows, F.lit("\n]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_any(nations.sparkSession, path).select(*nations.columns)
+
+
+@query("source_json_mixed", """
+    SELECT event_id, event_type, NULL AS bad FROM events UNION ALL SELECT NULL, NULL, '{"event_id": ' FROM events WHERE event_id % 1000 = 0""")
+def source_json_mixed(t):
+    """Lines of which some are cut off, beside a document: good lines stay, bad ones are told."""
+    events = t("events").select("event_id", "event_type")
+    path = _folder(events) + " of events.json"
+    line = F.to_json(F.struct("event_id", "event_type"))
+    good = F.when(F.col("event_id") % 2 == 0, line).otherwise(F.concat(F.lit(" "), line))
+    lines = F.when(F.col("event_id") % 1000 == 0, F.concat(good, F.lit('\n{"event_id": '))).otherwise(good)
+    document = F.concat(F.lit("[\n"), F.array_join(F.collect_list(line), ",\n"), F.lit("]"))
+    early = F.col("event_id") % 1000 < 20
+    events.where(~early | (F.col("event_id") % 1000 == 0)).select(lines.alias("value")).write.text(path)
+    events.where(early & (F.col("event_id") % 1000 != 0)).groupBy("event_type").agg(document.alias("value")).select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return readers.read_json(events.sparkSession, path, bad_lines="bad").select("event_id", "event_type", "bad")
+
+
+@query("source_csv_mixed", """
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '"x"' ELSE c_name || 'é' END AS name FROM customer""")
+def source_csv_mixed(t):
+    """UTF-8, Latin-1 and quoted line breaks in files whose names hold blanks."""
+    customers = t("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\n"x"'))).otherwise(
+        F.concat("c_name", F.lit("é"))).alias("name"))
+    path = _folder(customers) + " of customers.csv"
+    for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1"), (2, "UTF-8")):
+        customers.where(F.col("c_custkey") % 3 == rest).write.mode("append").option("header", True).option("escape", '"').option(
+            "encoding", encoding).csv(path)
+    return readers.read_any(customers.sparkSession, path)
+
+
+@query("source_long_ids", """
+    SELECT (1234567890123456789 + o_orderkey)::BIGINT AS id, ('98765432109876543210' || lpad(o_orderkey::VARCHAR, 10, '0')) AS long_id FROM orders""")
+def source_long_ids(t):
+    """Identifiers of 19 and of 30 digits keep them all."""
+    orders = t("orders").select(
+        (F.lit(1234567890123456789) + F.col("o_orderkey")).alias("id"),
+        F.concat(F.lit("98765432109876543210"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("long_id"))
+    path = _folder(orders) + ".csv"
+    sinks.write_csv(orders, path)
+    return readers.read_any(orders.sparkSession, path).select("id", F.col("long_id").cast("string").alias("long_id"))
+
+
+@query("documents_index", """
+    SELECT 'md' AS kind, doc_id, 0 AS chunk_no, 'note ' || doc_id AS chunk_text FROM documents
+    UNION ALL SELECT 'json', doc_id, 0, '{ "doc": ' || doc_id || ' }' FROM documents
+    UNION ALL SELECT 'html', doc_id, 0, 'page ' || doc_id FROM documents""")
+def documents_index(t):
+    """Files of several kinds with the same names: one index of all their chunks, each with its own id."""
+    docs = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("k"))
+    kinds = {"md": F.concat(F.lit("note "), "k"), "json": F.concat(F.lit('{"doc": '), "k", F.lit("}")),
+             "html": F.concat(F.lit("<p>page</p> "), "k")}
+    parts = [docs.select("doc_id", F.lit(kind).alias("kind"), F.concat(F.lit(f"/{kind}/"), "k", F.lit(f"/note.{kind}")).alias("doc"),
+                         text.alias("text"), F.lit("").alias("path")) for kind, text in kinds.items()]
+    files = documents.chunk_all(parts)
+    chunks = documents.chunk_documents(files)
+    per_id = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("doc").alias("doc"), F.first("chunk_no").alias("chunk_no"),
+                                            F.first("chunk_text").alias("chunk_text")).where("n = 1")
+    return per_id.select(F.regexp_extract("doc", r"^/(\w+)/", 1).alias("kind"), F.regexp_extract("doc", r"/(\d+)/", 1).cast("bigint").alias("doc_id"),
+                         "chunk_no", F.regexp_replace("chunk_text", r"\s+", " ").alias("chunk_text"))
+
+
 @query("session_results", """
-    SELECT lang AS session_id, max(doc_id) AS doc_id FROM documents GROUP BY 1""")
+    SELECT lang AS session_id, doc_id FROM documents WHERE doc_id % 2 = 1""")
 def session_results(t):
+    """Two runs of many rows per session; all rows of the newer one come back."""
     docs = t("documents").select(F.col("lang").alias("session_id"), "doc_id")
     path = _folder(docs)
-    runs = docs.groupBy("session_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    sinks.append_results(runs.select("session_id", F.col("first").alias("doc_id")), path, run_at=F.lit("2024-01-01").cast("timestamp"))
-    sinks.append_results(runs.select("session_id", F.col("last").alias("doc_id")), path, run_at=F.lit("2024-01-02").cast("timestamp"))
+    for rest in (0, 1):
+        sinks.append_results(docs.where(F.col("doc_id") % 2 == rest), path, run_at=F.lit(f"2024-01-0{rest + 1}").cast("timestamp"))
     return sinks.latest_results(docs.sparkSession, path).select("session_id", "doc_id")
 
 
@@ -106,9 +179,9 @@ def chart_store(t):
 
 
 @query("json_documents", """
-    SELECT 'doc_' || page_id || '.json' AS doc, 0 AS chunk_no, '{ "page": ' || page_id || ', "link": "' || url || '" }' AS chunk FROM pages""")
+    SELECT 'doc_' || page_id || '.json' AS doc, 0 AS chunk_no, '{ "page": ' || page_id || ', "link": "' || url || '" }' AS chunk_text FROM pages""")
 def json_documents(t):
     docs = t("pages").select(
         F.concat(F.lit("doc_"), F.col("page_id").cast("string"), F.lit(".json")).alias("doc"), F.lit("").alias("path"), F.lit("json").alias("kind"),
         F.to_json(F.struct(F.col("page_id").alias("page"), F.col("url").alias("link"))).alias("text"))
-    return documents.chunk_documents(docs).select("doc", "chunk_no", "chunk")
+    return documents.chunk_documents(docs).select("doc", "chunk_no", "chunk_text")

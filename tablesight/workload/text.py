@@ -15,9 +15,9 @@ _SPACE = SPACE_CLASS  # the same expression is valid in both engines
     WITH w AS (SELECT doc_id::VARCHAR AS doc, list_filter(string_split_regex(text, '{_SPACE}'), lambda x: x <> '') AS words FROM documents),
     s AS (SELECT doc, words, unnest(range(0, len(words), 216)) AS start FROM w WHERE len(words) > 0),
     c AS (SELECT doc, (start // 216)::INT AS chunk_no, array_to_string(words[start + 1 : start + 256], ' ') AS body FROM s)
-    SELECT doc, doc || '_' || chunk_no AS chunk_id, chunk_no, md5(left(body, 2000)) AS chunk, md5(body) AS chunk_text FROM c""")
+    SELECT doc, doc || '_' || chunk_no AS chunk_id, chunk_no, md5(body) AS chunk_text FROM c""")
 def chunk_words(t):
-    return text.chunk(t("documents", spread=True), "doc_id", "text").withColumns({"chunk": F.md5("chunk"), "chunk_text": F.md5("chunk_text")})
+    return text.chunk(t("documents", spread=True), "doc_id", "text").withColumn("chunk_text", F.md5("chunk_text"))
 
 
 _PART_LINE = "concat_ws(' | ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)"
@@ -36,7 +36,7 @@ def table_lines(t):
     w AS (SELECT string_split_regex(string_agg(line, chr(10) ORDER BY n), '{_SPACE}') AS words FROM l),
     s AS (SELECT words, unnest(range(0, len(words), 216)) AS start FROM w),
     c AS (SELECT (start // 216)::INT AS chunk_no, array_to_string(words[start + 1 : start + 256], ' ') AS body FROM s)
-    SELECT 'part.csv' AS doc, 'part_' || chunk_no AS chunk_id, chunk_no, left(body, 2000) AS chunk, body AS chunk_text FROM c""")
+    SELECT 'part.csv' AS doc, 'part.csv_' || chunk_no AS chunk_id, chunk_no, body AS chunk_text FROM c""")
 def chunk_table(t):
     return text.chunk_lines(text.table_lines(t("part"), "p_partkey"), "part.csv")
 

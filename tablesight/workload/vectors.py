@@ -47,7 +47,7 @@ def centroids(t):
 @query("rag_context", f"""
     WITH {_NEAREST} SELECT label, string_agg('vector ' || vec_id, chr(10) || chr(10) ORDER BY d, vec_id) AS context FROM near GROUP BY 1""")
 def rag_context(t):
-    chunks = t("embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("chunk"))
+    chunks = t("embeddings").select("vec_id", F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("chunk_text"))
     return vectors.context(nearest_to_means(t), chunks, "label", "vec_id")
 
 

@@ -1,4 +1,6 @@
 import pytest
+
+from tablesight.functions import expressions
 from conftest import values
 from pyspark.sql import functions as F
 
@@ -81,3 +83,10 @@ def test_registered_function(spark, df):
     register_function(spark, "twice", twice)
     out = df.withColumn("c", compute("twice(v) + 1", df.schema))
     assert values(out, "id", "c") == [(1, 21.0), (2, 1.0), (3, None), (4, -14.0)]
+
+
+@pytest.mark.parametrize("call", ["reflect('java.lang.System', 'getProperty', 'user.home')", "java_method('a', 'b')", "input_file_name()",
+                                  "from_json('1', 'int')", "assert_true(1 > 2)", "raise_error('x')", "current_user()"])
+def test_only_functions_of_values_may_be_called(spark, call):
+    with pytest.raises(expressions.ExpressionError, match="not allowed"):
+        expressions.compute(call, spark.range(1).schema)

@@ -143,10 +143,15 @@ def test_documents(spark, tmp_path):
     write(tmp_path / "e.md", " \n ")
     write(tmp_path / "f.csv", "not a document")
     docs = documents.read_documents(spark, str(tmp_path))
-    assert values(documents.document_text(docs)) == [("a.html", "Hello\nyou"), ("b.txt", "plain é"), ("c.json", '{\n  "k": 1\n}')]
+    (tmp_path / "in here").mkdir()
+    write(tmp_path / "in here" / "b.txt", "other")
+    docs = documents.read_documents(spark, str(tmp_path))
+    named = documents.document_text(docs).withColumn("doc", F.regexp_extract("doc", "([^/]*/[^/]*)$", 1))
+    at = tmp_path.name
+    assert values(named) == sorted([(f"{at}/a.html", "Hello\nyou"), (f"{at}/b.txt", "plain é"), (f"{at}/c.json", '{\n  "k": 1\n}'), ("in here/b.txt", "other")])
     chunks = documents.chunk_documents(docs)
-    assert values(chunks, "chunk_id") == [("a_0",), ("b_0",), ("c_0",)]
-    assert documents.chunk_all([chunks, chunks.drop("chunk")]).count() == 6
+    assert chunks.select("chunk_id").distinct().count() == 4
+    assert documents.chunk_all([chunks, chunks.drop("chunk_no")]).count() == 8
 
 
 def test_synthetic_table(spark):
@@ -197,3 +202,34 @@ def test_hooks(spark):
         first_success(df, {"A": fails})
     assert run_sql(spark, "SELECT sum(id) AS s FROM t", {"t": df}).first()["s"] == 3
     assert run_sql(spark, "SELECT sum(id) AS s FROM {t}", {"t": df}).first()["s"] == 3
+
+
+def test_bad_lines_do_not_make_a_document(spark, tmp_path):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    write(folder / "lines.json", "\n".join(f'{{"a": {i}}}' for i in range(2000)) + "\n{broken\n")
+    write(folder / "document.json", '{\n "a": 7000\n}')
+    write(folder / "list.json", '[{"a": 8000},\n {"a": 9000}]')
+    with pytest.warns(UserWarning, match="no JSON object"):
+        rows = readers.read_json(spark, str(folder))
+    assert rows.columns == ["a"] and values(rows) == [(i,) for i in sorted([*range(2000), 7000, 8000, 9000], key=lambda x: repr((x,)))]
+    with pytest.warns(UserWarning):
+        kept = readers.read_json(spark, str(folder), bad_lines="bad")
+    assert values(kept.where("bad IS NOT NULL"), "bad") == [("{broken",)]
+
+
+def test_encoded_paths(spark, tmp_path):
+    for folder in ("c x", "c+y%"):
+        (tmp_path / folder).mkdir()
+    write(tmp_path / "c x" / "one.csv", "a,b\n1,é\n")
+    write(tmp_path / "c x" / "two.csv", "a,b\n2,é\n", "latin-1")
+    write(tmp_path / "c+y%" / "three.csv", 'a,b\n3,"x\ny"\n')
+    rows = readers.read_csv(spark, [str(tmp_path / "c x"), str(tmp_path / "c+y%")])
+    assert values(rows, "a", "b") == [(1, "é"), (2, "é"), (3, "x\ny")]
+
+
+def test_all_rows_of_the_newest_run(spark, tmp_path):
+    for day, n in ((1, 3), (2, 5)):
+        rows = spark.range(n).withColumn("session_id", F.lit("s"))
+        sinks.append_results(rows, str(tmp_path / "r"), run_at=F.lit(f"2024-01-0{day}").cast("timestamp"))
+    assert sinks.latest_results(spark, str(tmp_path / "r")).count() == 5

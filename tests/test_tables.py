@@ -95,10 +95,9 @@ def test_date_parts_skip_what_exists(spark):
     assert (row["d_year"], row["d_month"], row["d_quarter"], row["d_day_of_week"]) == (1, 1, 1, 6)
 
 
-@pytest.mark.parametrize("small_rows", [None, 2])
-def test_label_codes(spark, small_rows):
+def test_label_codes(spark):
     df = spark.createDataFrame([(w,) for w in ["pear", "fig", "apple", "fig", None, "kiwi", "date"]], "w string")
-    out = {r["w"]: r["w_code"] for r in features.label_encode(df, "w", small_rows=small_rows).collect()}
+    out = {r["w"]: r["w_code"] for r in features.label_encode(df, "w").collect()}
     assert out == {"apple": 0, "date": 1, "fig": 2, "kiwi": 3, "pear": 4, None: 5}
 
 

@@ -34,7 +34,7 @@ def test_missing_values_do_not_stop_a_clean_number_column(spark):
 @pytest.mark.parametrize("texts, expected", [
     (["1", "2"], "bigint"), (["1", "2.0"], "double"), (["1e3", "-.5"], "double"), (["inf", "1"], "double"),
     (["1,234", "5,678"], "string"), (["1.5d", "2.5d"], "string"), (["True", "false"], "boolean"),
-    (["True", None], "string"), (["0x1A", "0x1B"], "string"), (["12345678901234567890", "1"], "double"),
+    (["True", None], "string"), (["0x1A", "0x1B"], "string"), (["12345678901234567890", "1"], "decimal(38,0)"), (["1234567890123456789", "1"], "bigint"), (["9" * 39, "1"], "double"),
     (["", " "], "string"), ([None, None], "double"),
 ])
 def test_types(spark, texts, expected):
