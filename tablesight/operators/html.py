@@ -24,38 +24,62 @@ _LISTS = ("meta", "headings", "visible", "alts", "arias", "titles", "data", "tab
 PAGE_SCHEMA = "title string, " + ", ".join(f"{n} array<string>" for n in _LISTS) + ", source string"
 
 
+# What a start tag ends when the page leaves the end tag out: the open element of these kinds, unless one of the
+# others was opened within it since.
+_BLOCKS = ("table", "td", "th", "caption", "button", "div", "section", "article", "blockquote", "ul", "ol", "li", "form")
+_ENDS = {
+    **{tag: (("td", "th"), ("table",)) for tag in ("td", "th")}, "tr": (("tr",), ("table",)), "li": (("li",), ("ul", "ol", "table")),
+    **{tag: (_HEADINGS, _BLOCKS) for tag in _HEADINGS}, "p": (("p",), _BLOCKS), "option": (("option",), ("select",)),
+    **{tag: (("dt", "dd"), ("dl",)) for tag in ("dt", "dd")},
+}
+
+
 class _Page(HTMLParser):
-    """Collects the parts of one page. Unclosed tags stay open until an outer one closes."""
+    """Collects the parts of one page in time linear in its length. Tags that may be left out are implied."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title: str | None = None
         self.parts: dict[str, list] = {n: [] for n in _LISTS}
         self.open: list[tuple[str, list | None]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.hidden = 0
         self.script_type: str | None = None
 
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         self._attributes(tag, [(k, v or "") for k, v in attrs])
         if tag in _VOID:
             return
+        if tag in _ENDS:
+            ended, within = _ENDS[tag]
+            place = self._last(ended)
+            if place > self._last(within if tag != "tr" else ("table",)) or (tag in ("td", "th") and place > self._last(("table",))):
+                self._close(place)
+        # Headings and cells are ranges of the visible texts; rows and tables hold what is in them.
         collected: list | None = None
+        here = len(self.parts["visible"])
         if tag in _HEADINGS:
-            collected = []
+            collected = [here, None]
             self.parts["headings"].append(collected)
         elif tag == "table":
             collected = []
             self.parts["tables"].append(collected)
-        elif tag == "tr" and (table := self._inside("table")) is not None:
-            collected = []
-            table.append(collected)
-        elif tag in ("td", "th") and (row := self._inside("tr")) is not None:
+        elif tag == "tr" and (place := self._last(("table",))) >= 0:
             collected = []
-            row.append(collected)
+            self.open[place][1].append(collected)
+        elif tag in ("td", "th") and (place := self._last(("tr",))) > self._last(("table",)) and self.open[place][1] is not None:
+            collected = [here, None]
+            self.open[place][1].append(collected)
         elif tag == "title" and self.title is None:
             self.title = ""
         elif tag == "script":
             self.script_type = dict(attrs).get("type") or ""
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, collected))
+        self.hidden += tag in _HIDDEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -63,29 +87,29 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
+
+    def _close(self, place: int) -> None:
+        """Close the element at ``place`` and all that are open within it."""
+        for tag, collected in reversed(self.open[place:]):
+            self.places[tag].pop()
+            self.hidden -= tag in _HIDDEN
+            if collected is not None and tag not in ("table", "tr"):
+                collected[1] = len(self.parts["visible"])
+        del self.open[place:]
 
     def handle_data(self, data):
         inner = self.open[-1][0] if self.open else ""
-        if any(t in _HIDDEN for t, _ in self.open):
-            if inner == "script" and data.strip():
-                self.parts["scripts"].append(f"{self.script_type}\n{data.strip()}")
-            return
-        if inner == "title" and self.title == "":
-            self.title = data.strip()
         text = data.strip()
-        if not text:
+        if self.hidden:
+            if inner == "script" and text:
+                self.parts["scripts"].append(f"{self.script_type}\n{text}")
             return
-        self.parts["visible"].append(text)
-        for tag, collected in self.open:
-            if collected is not None and (tag in _HEADINGS or tag in ("td", "th")):
-                collected.append(text)
-
-    def _inside(self, tag):
-        return next((c for t, c in reversed(self.open) if t == tag), None)
+        if inner == "title" and self.title == "":
+            self.title = text
+        if text:
+            self.parts["visible"].append(text)
 
     def _attributes(self, tag, attrs):
         for name, value in attrs:
@@ -106,9 +130,11 @@ class _Page(HTMLParser):
                     self.parts["figures"].append(value)
 
     def result(self) -> list:
+        self._close(0)
         p = self.parts
-        p["headings"] = [" ".join(h) for h in p["headings"] if h]
-        tables = [[" | ".join(" ".join(c) for c in row) for row in t if row] for t in p["tables"]]
+        joined = lambda span: " ".join(p["visible"][span[0]:span[1]])
+        p["headings"] = [h for h in map(joined, p["headings"]) if h]
+        tables = [[" | ".join(map(joined, row)) for row in t if row] for t in p["tables"]]
         p["tables"] = ["\n".join(rows) for rows in tables if rows]
         return [self.title, *[p[n] for n in _LISTS]]
 

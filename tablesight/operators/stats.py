@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tablesight.functions.nulls import col, join_on
 from tablesight.operators.charts import bins
@@ -200,16 +201,52 @@ def segments(df: DataFrame, rules: Mapping[str, str], measures: Sequence[str], d
     return sizes.withColumn("percentage", F.col("size") * 100.0 / total)
 
 
-def _normal_two_sided(z: Column) -> Column:
-    """Two-sided tail probability of a standard normal value (Abramowitz & Stegun 7.1.26)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return poly * F.exp(-x * x)
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, value, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(2_000):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + term * d) or tiny)
+        c = (1 + term / c) or tiny
+        value *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    return front * (value - 1)
+
+
+@F.udf(T.DoubleType())
+def _f_tail(f, between, within):
+    """Probability of an F value at least this large. Called on results of one row."""
+    if f is None or not between or not within or within <= 0:
+        return None
+    return _beta_share(within / 2, between / 2, within / (within + between * f))
+
+
+@F.udf(T.DoubleType())
+def _t_quantile(probability, dof):
+    """The t value that two-sided lies in ``1 - probability``, by bisection."""
+    if probability is None or dof is None or dof <= 0:
+        return None
+    low, high = 0.0, 1e8
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _beta_share(dof / 2, 0.5, dof / (dof + middle * middle)) > probability else (low, middle)
+    return (low + high) / 2
 
 
 def welch_test(df: DataFrame, measure: str, group: str, a, b) -> DataFrame:
-    """One row: means, t, degrees of freedom, Cohen's d and a normal-approximation p for two groups."""
+    """One row: means, t, degrees of freedom, Cohen's d, p and a 95 % interval of the difference, by Student's t."""
     side = lambda v: F.when(col(group) == v, col(measure).cast("double"))
     m = df.agg(*[x for n, v in (("a", a), ("b", b)) for x in (
         F.count(side(v)).alias(f"n_{n}"), F.avg(side(v)).alias(f"mean_{n}"), F.var_samp(side(v)).alias(f"var_{n}"))])
@@ -217,25 +254,32 @@ def welch_test(df: DataFrame, measure: str, group: str, a, b) -> DataFrame:
     pooled = F.sqrt((F.col("var_a") + F.col("var_b")) / 2)
     dof = F.try_divide((sa + sb) * (sa + sb), sa * sa / (F.col("n_a") - 1) + sb * sb / (F.col("n_b") - 1))
     t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(sa + sb))
+    half = _t_quantile(F.lit(0.05), dof) * F.sqrt(sa + sb)
     return m.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t"), dof.alias("df"),
                     F.try_divide(F.col("mean_a") - F.col("mean_b"), pooled).alias("effect_size"),
-                    _normal_two_sided(t).alias("p_value"))
+                    _f_tail(t * t, F.lit(1.0), dof).alias("p_value"),
+                    (F.col("mean_a") - F.col("mean_b") - half).alias("low"), (F.col("mean_a") - F.col("mean_b") + half).alias("high"))
 
 
 def anova(df: DataFrame, measure: str, group: str) -> DataFrame:
-    """One row ``(groups, n, f, df_between, df_within, eta_squared)`` from the moments of each group."""
+    """One row ``(groups, n, f, df_between, df_within, eta_squared, p_value)`` from the moments of each group.
+
+    Group means are compared with the overall mean, so a common offset of all values changes nothing.
+    """
     moments = df.where(col(measure).isNotNull() & col(group).isNotNull()).groupBy(col(group)).agg(
         F.count(F.lit(1)).alias("n"), F.avg(col(measure)).alias("m"), F.var_pop(col(measure)).alias("v"))
+    first = moments.agg(F.min("m")).scalar()
+    mean = moments.agg(F.try_divide(F.sum(F.col("n") * (F.col("m") - first)), F.sum("n"))).scalar()
+    away = F.col("m") - first - mean
     s = moments.agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"),
-        F.sum(F.col("n") * F.col("m")).alias("nm"))
-    between = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("n")
+        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * away * away).alias("between"))
     dfb, dfw = F.col("groups") - 1, F.col("n") - F.col("groups")
+    f = F.try_divide(F.try_divide(F.col("between"), dfb), F.try_divide(F.col("within"), dfw))
     return s.select(
-        "groups", "n", F.try_divide(F.try_divide(between, dfb), F.try_divide(F.col("within"), dfw)).alias("f"),
-        dfb.alias("df_between"), dfw.alias("df_within"),
-        F.try_divide(between, between + F.col("within")).alias("eta_squared"))
+        "groups", "n", f.alias("f"), dfb.alias("df_between"), dfw.alias("df_within"),
+        F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"),
+        _f_tail(f, dfb.cast("double"), dfw.cast("double")).alias("p_value"))
 
 
 def recommend_charts(profile_rows: DataFrame) -> DataFrame:

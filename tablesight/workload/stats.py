@@ -131,7 +131,7 @@ def segments(t):
            round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS df,
            round((ma - mb) / sqrt((va + vb) / 2), 6) AS effect_size FROM m""")
 def welch_test(t):
-    out = stats.welch_test(t("events"), "value", "event_type", "click", "view").drop("p_value")
+    out = stats.welch_test(t("events"), "value", "event_type", "click", "view").drop("p_value", "low", "high")
     return rounded(out, 6, "mean_a", "mean_b", "t", "effect_size").withColumn("df", F.round("df", 4))
 
 
@@ -141,7 +141,7 @@ def welch_test(t):
     SELECT k AS groups, n, round((b / (k - 1)) / (w / (n - k)), 5) AS f, k - 1 AS df_between, n - k AS df_within,
            round(b / (b + w), 8) AS eta_squared FROM s""")
 def anova(t):
-    out = stats.anova(t("events"), "value", "event_type")
+    out = stats.anova(t("events"), "value", "event_type").drop("p_value")
     return out.withColumns({"f": F.round("f", 5), "eta_squared": F.round("eta_squared", 8)})
 
 

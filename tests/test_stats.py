@@ -58,10 +58,9 @@ def test_segments_take_the_first_rule(spark):
     assert rows == {"big": (2, 50.0), "mid": (1, 25.0), "other": (1, 25.0)}
 
 
-def test_p_values(spark):
-    for z in (0.0, 0.5, 1.96, 3.0):
-        p = spark.range(1).select(stats._normal_two_sided(F.lit(z))).first()[0]
-        assert p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-7)
+def test_p_values():
+    for z in (0.0, 0.5, 1.96, 3.0):  # with very many degrees of freedom, the normal distribution
+        assert stats._beta_share(5e6, 0.5, 1e7 / (1e7 + z * z)) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
 
 
 def test_anomalies(spark):
@@ -76,3 +75,30 @@ def test_clusters_find_separate_groups(spark):
     assert pairs == 2
     assert ml.explained_variance(df, ["a", "b"], 2).agg(F.sum("explained_variance")).first()[0] == pytest.approx(1.0)
     assert ml.principal_components(df, ["a", "b"], 1).first()["components"] is not None
+
+
+def test_p_values_of_known_groups(spark):
+    rows = [("a", x) for x in (27.5, 21.0, 19.0, 23.6, 17.0, 17.9, 16.9, 20.1, 21.9, 22.6, 23.1, 19.6, 19.0, 21.7, 21.4)] + [
+        ("b", x) for x in (27.1, 22.0, 20.8, 23.4, 23.4, 23.5, 25.8, 22.0, 24.8, 20.2, 21.9, 22.1, 22.9, 30.5, 24.4)]
+    w = stats.welch_test(spark.createDataFrame(rows, "g string, v double"), "v", "g", "a", "b").first()
+    a, b = (np.array([x for g, x in rows if g == k]) for k in "ab")
+    va, vb = a.var(ddof=1) / 15, b.var(ddof=1) / 15
+    t, dof = (a.mean() - b.mean()) / math.sqrt(va + vb), (va + vb) ** 2 / (va * va / 14 + vb * vb / 14)
+    x = np.linspace(abs(t), 200, 2_000_001)  # the tail of the density, integrated
+    density = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi) * (1 + x * x / dof) ** (-(dof + 1) / 2)
+    assert w["t"] == pytest.approx(t) and w["df"] == pytest.approx(dof) and w["p_value"] == pytest.approx(2 * np.trapezoid(density, x), rel=1e-4)
+    assert w["low"] < a.mean() - b.mean() < w["high"] < 0 and w["low"] + w["high"] == pytest.approx(2 * (a.mean() - b.mean()))
+
+
+def test_anova_is_stable_and_has_a_p_value(spark):
+    values_ = [("a", 6.0), ("a", 8.0), ("a", 4.0), ("a", 5.0), ("a", 3.0), ("a", 4.0), ("b", 8.0), ("b", 12.0), ("b", 9.0), ("b", 11.0), ("b", 6.0), ("b", 8.0),
+               ("c", 13.0), ("c", 9.0), ("c", 11.0), ("c", 8.0), ("c", 7.0), ("c", 12.0)]
+    for offset in (0.0, 1e9):
+        row = stats.anova(spark.createDataFrame([(g, v + offset) for g, v in values_], "g string, v double"), "v", "g").first()
+        assert row["f"] == pytest.approx(9.2647, rel=1e-4) and row["eta_squared"] == pytest.approx(0.5526, rel=1e-3)
+        assert row["p_value"] == pytest.approx(0.0023988, rel=1e-3)
+
+
+@pytest.mark.parametrize("t, dof, p", [(2.228138851964939, 10, 0.05), (12.706204736432095, 1, 0.05), (1.959963984540054, 1e7, 0.05), (-1.92, 7.1, 0.0957), (0.0, 5, 1.0)])
+def test_tails_of_student(t, dof, p):
+    assert stats._beta_share(dof / 2, 0.5, dof / (dof + t * t)) == pytest.approx(p, abs=2e-4)

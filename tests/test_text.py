@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import values
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -118,3 +120,29 @@ def test_large_pages_use_patterns_over_the_whole_source(spark):
 def test_attribute_figures(spark):
     df = spark.createDataFrame([(['{"data":[{"name":"s"}],"layout":{"title":"A"}}', "short text", "x" * 300, '{"title":"Only"}'],)], "f array<string>")
     assert df.select(figures.attribute_summary(F.col("f"))).first()[0] == "Title: A\nTrace 1, name=s\n\nshort text\n\n" + "x" * 300 + "\n\nTitle: Only"
+
+
+@pytest.mark.parametrize("page, tables", [
+    ("<table><tr><td>a<td>b<tr><td>c<td>d</table>", ["a | b\nc | d"]),
+    ("<table><tr><th>h</th><td>1</td></tr></table><table><tr><td>2", ["h | 1", "2"]),
+    ("<table><tr><td>x<table><tr><td>in<td>ner</table>y<td>z</table>", ["x in ner y | z", "in | ner"]),
+    ("<table><tr><td><p>a<p>b<td><ul><li>c<li>d</ul></table>", ["a b | c d"]),
+])
+def test_omitted_end_tags(page, tables):
+    assert html._parse(page)[8] == tables
+
+
+def test_headings_and_items_end_at_the_next():
+    title, meta, headings, visible, *_ = html._parse("<h1>one<h2>two</h2><p>text<ul><li>a<li>b</ul>")
+    assert headings == ["one", "two"] and visible == ["one", "two", "text", "a", "b"]
+
+
+@pytest.mark.parametrize("piece", ["<p>x ", "<div>x ", "<span>x ", "<table><tr><td>x ", "<b>x</i> "])
+def test_unclosed_tags_take_linear_time(piece):
+    def seconds(n):
+        start = time.perf_counter()
+        html._parse(piece * n) if "table" not in piece else html._Page().feed(piece * n)
+        return time.perf_counter() - start
+
+    seconds(200)
+    assert seconds(40_000) < 12 * max(seconds(8_000), 0.02)
