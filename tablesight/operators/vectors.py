@@ -9,10 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablesight.functions.nulls import col
+from tablesight.functions.storage import store
 from tablesight.functions.text import words
 
 K = 5
@@ -20,6 +22,7 @@ SEED = 7
 # Questions up to this many bytes of vectors go to every executor; more are joined block by block.
 BROADCAST_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4_096
+SALTS = 16
 QUESTIONS_AT_ONCE = 256
 
 
@@ -118,6 +121,7 @@ def knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key:
     Every task keeps only ``k`` rows per question and batch, so what is shuffled does not depend on the
     length of the corpus' texts or vectors. Ties go to the smaller key.
     """
+    queries = queries.where(col(query_vector).isNotNull())
     asked_bytes = _asked_bytes(queries, query_vector)
     out = _result_type(corpus, queries, key, query_key)
     partial = (_knn_broadcast if asked_bytes <= broadcast_bytes else _knn_blocks)(corpus, queries, key, vector, query_key, query_vector, k, out)
@@ -159,7 +163,7 @@ def _knn_broadcast(corpus, queries, key, vector, query_key, query_vector, k, out
 
 
 def _knn_blocks(corpus, queries, key, vector, query_key, query_vector, k, out) -> DataFrame:
-    """Both sides packed into blocks; each pair of blocks is one row, matched on the question block."""
+    """Both sides packed into blocks; every pair of a question block and a row block is a key of its own."""
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.lit(1)).cast("int")
 
     def pack(df, k_col, v_col, name):
@@ -191,60 +195,71 @@ def _knn_blocks(corpus, queries, key, vector, query_key, query_vector, k, out) -
 
 
 def approximate_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str,
-                    k: int = K, bucket_length: float = 0.5, tables: int = 8, radius: float = 2.0,
-                    seed: int = SEED, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                    k: int = K, bucket_length: float = 2.0, tables: int = 8, seed: int = SEED) -> DataFrame:
     """Like ``knn`` but only rows that share a random-projection bucket with the question are compared.
 
-    Rows farther than ``radius`` are never returned; more tables find more of the true neighbours. As in
-    ``knn`` a task passes on ``k`` rows per question and batch, however full a bucket is.
+    Questions and rows meet in an equi-join on table, bucket and a salt that spreads full buckets over many tasks; each task passes
+    on ``k`` rows per question. A question that shares buckets with fewer than ``k`` rows is compared with all rows, so every question
+    gets as many rows as ``knn`` gives it. More tables find more of the true neighbours.
     """
     lsh = BucketedRandomProjectionLSH(inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed)
+    out = _result_type(corpus, queries, key, query_key)
 
-    def prepared(df, k_col, v_col):
-        known = df.where(col(v_col).isNotNull())
-        return known.select(col(k_col), array_to_vector(col(v_col).cast("array<double>")).alias("_features"))
-
-    left, right = prepared(corpus, key, vector), prepared(queries, query_key, query_vector)
-    model = lsh.fit(left)
-    if _asked_bytes(queries, query_vector) > broadcast_bytes:
-        near = model.approxSimilarityJoin(left, right, radius, "_d").select(
-            F.col(f"datasetB.{query_key}").alias(query_key), F.col(f"datasetA.{key}").alias(key),
-            (F.col("_d") * F.col("_d")).alias("distance"))
-    else:
-        near = _same_bucket(model, left, right, key, query_key, k, _result_type(corpus, queries, key, query_key))
-        near = near.where(F.col("distance") < radius * radius)
-    best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _same_bucket(model, left, right, key, query_key, k, out) -> DataFrame:
-    def hashed(df, k_col):
-        return model.transform(df).select(
+    def hashed(df, k_col, v_col, model):
+        known = df.where(col(v_col).isNotNull()).select(
+            col(k_col), array_to_vector(col(v_col).cast("array<double>")).alias("_features"))
+        if model is None:
+            return known
+        return model.transform(known).select(
             col(k_col), vector_to_array("_features").alias("_v"),
-            F.flatten(F.transform("_hashes", lambda h: vector_to_array(h))).alias("_h"))
-
-    asked = hashed(right, query_key).toArrow()
-    names = asked.column(0).to_pylist()
-    shared = left.sparkSession.sparkContext.broadcast(
-        (names, _matrix(asked.column(1)), _matrix(asked.column(2))) if names else (names, None, None))
+            F.posexplode(F.transform("_hashes", lambda h: vector_to_array(h)[0])).alias("_table", "_bucket"))
+
+    model = lsh.fit(hashed(corpus, key, vector, None))
+    rows = hashed(corpus, key, vector, model).withColumn("_salt", F.pmod(F.xxhash64(col(key)), F.lit(SALTS)).cast("int"))
+    asked = hashed(queries, query_key, query_vector, model).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    place = ["_table", "_bucket", "_salt"]
+    both = (
+        rows.select(*place, F.lit(0).alias("_asks"), col(key).alias("_key"), F.lit(None).cast(out[0].dataType).alias("_name"), "_v")
+        .unionByName(asked.select(*place, F.lit(1).alias("_asks"), F.lit(None).cast(out[1].dataType).alias("_key"), col(query_key).alias("_name"), "_v"))
+        .repartition(*place).sortWithinPartitions(*place, "_asks"))
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, questions, buckets = shared.value
-        for batch in batches:
-            if not batch.num_rows or not names:
-                continue
-            keys, rows, own = np.asarray(batch.column(0).to_pylist()), _matrix(batch.column(1)), _matrix(batch.column(2))
-            for q, name in enumerate(names):
-                shares = np.flatnonzero((own == buckets[q]).any(axis=1))
-                if len(shares):
-                    found = list(_candidates(keys[shares], rows[shares], questions[q:q + 1], k))
-                    yield pa.RecordBatch.from_pydict({
-                        query_key: [name] * len(found), key: [x.item() for _, x, _ in found],
-                        "distance": [d for _, _, d in found]}, schema=arrow)
+        at, held, names, questions = None, [], [], []
+
+        def found() -> Iterator[tuple]:
+            if held and names:
+                for start in range(0, len(held), BLOCK_ROWS):  # rows of a bucket in blocks, k per question and block
+                    part = held[start:start + BLOCK_ROWS]
+                    keys, vectors = np.asarray([x for x, _ in part]), np.array([v for _, v in part])
+                    yield from ((names[q], x.item(), d) for q, x, d in _candidates(keys, vectors, np.array(questions), k))
 
-    return hashed(left, key).mapInArrow(run, out)
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            names_, keys_, distances = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_pydict({query_key: names_, key: keys_, "distance": distances}, schema=arrow)
+
+        for batch in batches:
+            ready: list[tuple] = []
+            vectors = _matrix(batch.column(6)) if batch.num_rows else []
+            for i, (*where, asks, row_key, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)))):
+                if where != at:
+                    ready += found()
+                    at, held, names, questions = where, [], [], []
+                if asks:
+                    names.append(name)
+                    questions.append(vectors[i])
+                else:
+                    held.append((row_key, vectors[i]))
+            yield packed(ready)
+        yield packed(list(found()))
+
+    near = store(both.mapInArrow(run, out).distinct())  # read three times
+    enough = near.groupBy(col(query_key)).count().where(F.col("count") >= k).select(col(query_key))
+    rest = queries.join(enough, query_key, "left_anti")
+    every = near.unionByName(knn(corpus, rest, key, vector, query_key, query_vector, k).drop("rank")).distinct()
+    best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, query_key: str, key: str) -> DataFrame:
@@ -263,8 +278,6 @@ def context(neighbours: DataFrame, chunks: DataFrame, query_key: str, key: str,
 
 
 def centroids(df: DataFrame, group: str, vector: str, name: str = "centroid") -> DataFrame:
-    """Mean vector of each group, averaged per position."""
-    cells = df.where(col(vector).isNotNull()).select(col(group), F.posexplode(col(vector)).alias("_i", "_x"))
-    means = cells.groupBy(col(group), "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_m")))
-    return means.groupBy(col(group)).agg(F.transform(ordered, lambda e: e["_m"]).alias(name))
+    """Mean vector of each group."""
+    known = df.where(col(vector).isNotNull()).select(col(group), array_to_vector(col(vector).cast("array<double>")).alias("_x"))
+    return known.groupBy(col(group)).agg(vector_to_array(Summarizer.mean(F.col("_x"))).alias(name))

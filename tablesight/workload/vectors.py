@@ -66,8 +66,9 @@ def rag_retrieval(t):
     return vectors.knn(model.embed(chunks), asked, "chunk_id", "embedding", "item_id", "question", 5)
 
 
-@query("lsh_recall")
+@query("lsh_recall", f"WITH {_NEAREST} SELECT count(*) AS wanted, true AS enough FROM near")
 def lsh_recall(t):
+    """Whether the approximate neighbours hold at least 80 % of the exact ones."""
     means = vectors.centroids(t("embeddings"), "label", "embedding")
     found = vectors.approximate_knn(t("embeddings"), means, "vec_id", "embedding", "label", "centroid", 5)
-    return vectors.recall(nearest_to_means(t), found, "label", "vec_id")
+    return vectors.recall(nearest_to_means(t), found, "label", "vec_id").select("wanted", (F.col("recall") >= 0.8).alias("enough"))
