@@ -2,9 +2,9 @@
 
 A document is the set of digests of its n-grams. Equal sets are one node. Two sets with the wanted similarity must share an
 n-gram among the first of both in any common order (rare n-grams first), so only these postings are
-shuffled. Every node goes with its whole set to one cell, that of the most frequent posting around it; within a
-cell the product of document by n-gram incidence is computed block by block, counts are accumulated,
-and documents and pairs that cannot reach the count that their sizes ask for are discarded. Pairs that share
+shuffled. Every node goes to one cell, that of the most frequent posting around it. In a cell, documents whose
+sizes and signatures allow no link are discarded; of the others the whole sets are fetched, the product of document by n-gram
+incidence is computed block by block, counts are accumulated, and pairs below the count that their sizes ask for are discarded. Pairs that share
 a posting but neither cell nor component are counted and verified at the end, so no link is lost.
 
 Digests have 64 bits. Defined results: null and empty texts have an empty set and link with nothing;
@@ -28,7 +28,8 @@ NGRAM, PERCENT = 4, 85
 SKETCH_BITS = 22  # places of the table of approximate n-gram counts; it is broadcast as 4 MB
 FILTER_BITS = 24  # of the filter of wanted documents, broadcast as 2 MB
 BLOCK_NGRAMS = 300_000  # of one side of a block
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
+TEXTS_AT_ONCE = 128  # whose words are held as objects
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53,
                  0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], "<u8")
 
@@ -43,28 +44,54 @@ class Grams:
     """Digests of word n-grams. Words are cut at ASCII white space; only A-Z are lower-cased."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The sorted set; of fewer words than ``n``, the digest of all of them."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.array([], "<u8")
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known, digests = self.known, []
-        for w in words:
-            d = known.get(w)
-            if d is None:
-                d = known[w] = xxhash.xxh3_64_intdigest(w)
-            digests.append(d)
-        h = np.array(digests, "<u8")
-        if len(h) < self.n:
-            return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], "<u8")
-        total = np.zeros(len(h) - self.n + 1, "<u8")
+        self.n = n
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = _Numbered()
+        self.parts = [np.zeros(0, "<u8") for _ in range(self.n)]  # what a word adds to an n-gram, by its place in that
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The sorted set of each text; of fewer words than ``n``, the digest of all of them."""
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            yield from self._some(texts.slice(start, TEXTS_AT_ONCE))
+
+    def _some(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
+        split = [(t.as_py() or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        sizes = np.array([len(words) for words in split], np.int64)
+        number = self.words.__getitem__
+        ids = np.fromiter((i for words in split for i in map(number, words)), np.int64, int(sizes.sum()))
+        if self.words.new:
+            digests = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.new], "<u8")
+            self.parts = [np.concatenate([part, _spread(digests + _MIX[k % 8] * np.uint64(k + 1)) * _MIX[(k + 3) % 8]])
+                          for k, part in enumerate(self.parts)]
+            self.words.new.clear()
+        grams = np.zeros(max(len(ids) - self.n + 1, 0), "<u8")
         for k in range(self.n):
-            total += _spread(h[k:len(h) - self.n + 1 + k] + _MIX[k % 8] * np.uint64(k + 1)) * _MIX[(k + 3) % 8]
-        return np.unique(_spread(total))
+            grams += self.parts[k][ids[k:len(grams) + k]]
+        grams = _spread(grams)
+        found, at = [], 0
+        for n in sizes.tolist():
+            if n >= self.n:
+                found.append(np.unique(grams[at:at + n - self.n + 1]))
+            else:
+                found.append(np.array([xxhash.xxh3_64_intdigest(self.parts[0][ids[at:at + n]].tobytes(), seed=n)], "<u8")[:n])
+            at += n
+        return found
+
+
+class _Numbered(dict):
+    """Words by number; a missing one gets the next."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
 
 def needed(n: int, percent: int) -> int:
@@ -86,8 +113,7 @@ def _frequent(docs: DataFrame, ngram: int) -> np.ndarray:
         grams, seen = Grams(ngram), set()
         table = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                found = grams.of(text.as_py())
+            for found in grams.of(batch.column(0)):
                 if len(found) and (node := _node(found)) not in seen:
                     seen.add(node)
                     table[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
@@ -102,24 +128,33 @@ def _frequent(docs: DataFrame, ngram: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """``(doc_id, n, node, first)``: the size and digest of each set, and its postings: the first n-grams in order of frequency."""
+    """``(doc_id, n, node, signature, first)``: the size and digest of each set, how many of its n-grams fall in each
+    range of digests, and its postings: the first n-grams in order of frequency.
+    """
     levels = _frequent(docs, ngram)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(ngram)
         for batch in batches:
-            sizes, nodes, firsts = [], [], []
-            for text in batch.column(1):
-                found = grams.of(text.as_py())
-                sizes.append(len(found))
-                nodes.append(_node(found) if len(found) else None)
+            sets = list(grams.of(batch.column(1)))
+            firsts = []
+            for found in sets:
                 order = np.lexsort((found, levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 firsts.append(found[order[:len(found) - needed(len(found), percent) + 1]].view("<i8"))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "first"])
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "node", "signature", "first"])
+
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, node long, signature binary, first array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, node long, first array<long>")
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Number of n-grams per range of digests, with about four per range. Sets share at most the sum of the smaller numbers."""
+    bits = max(3, (len(grams) // 4).bit_length())
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    # Beyond a byte, nothing is claimed: 255 everywhere allows any overlap that the other set's numbers allow.
+    return (counts if counts.max() < 256 else np.full(1 << bits, 255)).astype("u1")
 
 
 def _place(doc_id: Column) -> Column:
@@ -144,13 +179,11 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
         grams, sent, passes = Grams(ngram), set(), np.unpackbits(packed)
         for batch in batches:
             nodes, out = [], []
-            for text, place in zip(batch.column(0), batch.column(1).to_pylist()):
-                if passes[place]:
-                    found = grams.of(text.as_py())
-                    if len(found) and (node := _node(found)) not in sent:
-                        sent.add(node)
-                        nodes.append(node)
-                        out.append(found.tobytes())
+            for found in grams.of(batch.column(0).filter(pa.array(passes[batch.column(1).to_numpy()] > 0))):
+                if len(found) and (node := _node(found)) not in sent:
+                    sent.add(node)
+                    nodes.append(node)
+                    out.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "grams"])
 
     return docs.select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(build, "node long, grams binary")
@@ -211,10 +244,77 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list
     return links
 
 
+def may_link(sizes: np.ndarray, sides: np.ndarray, signatures: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each set has another (of the other side, if there are two) that it may link with, by their sizes and signatures."""
+    order = np.argsort(sizes, kind="stable")
+    cross = len(set(sides.tolist())) > 1
+    bits = np.array([len(s).bit_length() for s in signatures])
+    may = np.zeros(len(sizes), bool)
+    tables = {}
+    for b in set(bits.tolist()):  # per length, the sets with that length and, folded, the next
+        at = [i for i in order.tolist() if bits[i] in (b, b + 1)]
+        rows = np.array([signatures[i] if bits[i] == b else signatures[i].reshape(-1, 2).sum(1) for i in at])
+        tables[b] = (np.array(at), rows, sizes[at])
+    for x in order.tolist():
+        at, rows, n = tables[bits[x]]
+        low, high = np.searchsorted(n, [sizes[x], sizes[x] * 100 // percent + 1])
+        near = slice(low, high)
+        shared = np.minimum(rows[near], signatures[x]).sum(1)
+        close = (100 + percent) * shared >= percent * (n[near] + sizes[x])
+        close &= at[near] != x
+        if cross:
+            close &= sides[at[near]] != sides[x]
+        if close.any():
+            may[x] = True
+            may[at[near][close]] = True
+    return may
+
+
+def _members(cells: DataFrame, block: int) -> DataFrame:
+    """``cells(node, n, cell, ...)`` of cells with several nodes, each node once for every block it is compared in.
+
+    A cell with more than ``block`` n-grams is cut into parts; each pair of parts is a block ``(cell, low, high)``.
+    """
+    sizes = cells.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1)
+    return (
+        cells.join(sizes.select("cell", F.ceil(F.col("total") / block).cast("int").alias("parts")), "cell")
+        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "parts"))
+
+
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """``(node)``: those of ``members`` that may link with another one in a block, by signatures."""
+    key = ["cell", "low", "high"]
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def passed() -> list[int]:
+            if len(held) < 2:
+                return []
+            node, n, side, sigs = zip(*held)
+            may = may_link(np.array(n), np.array(side), [np.frombuffer(s, "u1").astype("i2") for s in sigs], percent)
+            return [node[i] for i in np.flatnonzero(may)]
+
+        for batch in batches:
+            out: list[int] = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if row[:3] != at:
+                    out += passed()
+                    at, held = row[:3], []
+                held.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["node"])
+        yield pa.RecordBatch.from_arrays([pa.array(passed(), pa.int64())], names=["node"])
+
+    return (members.select(*key, "node", "n", "side", "signature").repartition(*key).sortWithinPartitions(*key)
+            .mapInArrow(test, "node long").distinct())
+
+
 def _links(docs: DataFrame, members: DataFrame, ngram: int, percent: int) -> DataFrame:
     """``(a, b)``: links within each block ``(cell, low, high)`` of ``members(node, doc, cell, low, high, side)``."""
     key = ["cell", "low", "high"]
-    blocks = (_whole_sets(docs, members, ngram).join(members.drop("doc"), "node")
+    blocks = (_whole_sets(docs, members, ngram).join(members.select(*key, "node", "side"), "node")
               .repartition(*key).sortWithinPartitions(*key, "node"))
 
     def solve(node: list[int], side: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -258,21 +358,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = store(_sets(docs, ngram, percent))
-    nodes = sets.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("first").alias("first"))
+    nodes = sets.where(F.col("n") > 0).groupBy("node").agg(
+        F.first("n").alias("n"), F.min("doc_id").alias("doc"), F.first("first").alias("first"))
     every = W.partitionBy("gram")
     postings = store(
         nodes.select("node", "doc", "n", F.explode("first").alias("gram"))
         .withColumn("df", F.count(F.lit(1)).over(every)).where(F.col("df") > 1))
 
     cells = store(_cells(postings))
-    sizes = cells.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1)
-    parts = F.ceil(F.col("total") / BLOCK_NGRAMS).cast("int")
-    members = (
-        cells.join(sizes.select("cell", parts.alias("parts")), "cell")
-        .withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", "doc", "cell", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side"))
-    links = store(_links(docs, store(members), ngram, percent))
+    signatures = sets.where(F.col("n") > 0).groupBy("node").agg(F.first("signature").alias("signature"))
+    alive = store(_candidates(_members(cells.join(signatures, "node"), 4 * BLOCK_NGRAMS), percent))
+    links = store(_links(docs, store(_members(cells.join(alive, "node", "left_semi"), BLOCK_NGRAMS)), ngram, percent))
     named = components(links)
 
     # Pairs that share a posting, but neither cell nor component.
