@@ -105,3 +105,20 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert result(QUERIES["op9_jaccard"](spark, sf_dir)) == expected(rows)
+
+
+def test_signatures_never_discard_a_link():
+    random_ = np.random.default_rng(1)
+    sets = []
+    for n in (3, 40, 300, 300, 3000):
+        base = random_.integers(0, 1 << 64, n, dtype=np.uint64)
+        for share in (0, 0.02, 0.05, 0.3):
+            sets.append(np.unique(np.where(random_.random(n) < share, random_.integers(0, 1 << 64, n, dtype=np.uint64), base)))
+    sets += [s[: int(len(s) * 0.86)] for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    may = jaccard.may_link(sizes, np.zeros(len(sets), int), [jaccard.signature(s).astype("i2") for s in sets], 85)
+    for a, x in enumerate(sets):
+        if any(b != a and 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for b, y in enumerate(sets)):
+            assert may[a]
+    alone = [np.unique(random_.integers(0, 1 << 64, 400, dtype=np.uint64)) for _ in range(20)]
+    assert not jaccard.may_link(np.array([len(s) for s in alone]), np.zeros(20, int), [jaccard.signature(s).astype("i2") for s in alone], 85).any()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tablesight.llm import mixing
 from tablesight.llm.queries import ORACLES, QUERIES
-from test_links import shingles
+
+from .test_links import shingles
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
