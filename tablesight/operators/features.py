@@ -63,13 +63,19 @@ def derive(df: DataFrame, metrics: Mapping[str, str], params=None) -> DataFrame:
 
 
 def feature_catalog(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows ``(feature, type, source, method)`` for the columns that ``after`` has beyond ``before``."""
-    spark = after.sparkSession
+    """Rows ``(feature, type, source, method, known, missing)`` for the columns that ``after`` has beyond ``before``.
+
+    One aggregate over ``after`` counts the values of all features.
+    """
     rows = []
     for f in after.schema:
         if f.name in before.columns:
             continue
         source = max((c for c in before.columns if f.name.startswith(f"{c}_")), key=len, default=None)
         method = f.name[len(source) + 1:] if source else "expression"
-        rows.append((f.name, f.dataType.simpleString(), source, method))
-    return spark.createDataFrame(rows, "feature string, type string, source string, method string")
+        rows.append(F.struct(
+            F.lit(f.name).alias("feature"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(source).cast("string").alias("source"),
+            F.lit(method).alias("method"), F.count(col(f.name)).alias("known"), F.count_if(col(f.name).isNull()).alias("missing")))
+    if not rows:
+        return after.sparkSession.createDataFrame([], "feature string, type string, source string, method string, known long, missing long")
+    return after.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows"))

@@ -29,9 +29,10 @@ def describe(t):
 @query("distribution", """
     WITH m AS (SELECT avg(value) AS mu, stddev_pop(value) AS s FROM events)
     SELECT 'value' AS "column", round(avg(((value - mu) / s) ** 3), 6) AS skewness, round(avg(((value - mu) / s) ** 4) - 3, 6) AS kurtosis,
-           'skewed' AS label FROM events, m""")
+           CASE WHEN abs(avg(((value - mu) / s) ** 3)) > 0.5 THEN 'skewed' ELSE 'not skewed' END AS label FROM events, m""")
 def distribution(t):
-    return rounded(stats.distribution(t("events"), "value"), 6, "skewness", "kurtosis").drop("peaks")
+    out = rounded(stats.distribution(t("events"), "value"), 6, "skewness", "kurtosis").drop("peaks")
+    return out.withColumn("label", F.when(F.col("label") == "skewed", "skewed").otherwise("not skewed"))
 
 
 @query("corr_matrix", " UNION ALL ".join(

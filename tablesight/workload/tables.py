@@ -169,11 +169,12 @@ def normalise_text(t):
 
 
 @query("feature_catalog", """
-    SELECT 'ts_year' AS feature, 'int' AS type, 'ts' AS source, 'year' AS method
-    UNION ALL SELECT 'ts_month', 'int', 'ts', 'month' UNION ALL SELECT 'ts_day', 'int', 'ts', 'day'
-    UNION ALL SELECT 'double_value', 'double', NULL, 'expression'""")
+    WITH e AS (SELECT CASE WHEN event_id % 5 <> 0 THEN ts END AS ts, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events)
+    SELECT 'ts_' || m AS feature, 'int' AS type, 'ts' AS source, m AS method, count(date_part(m, ts)) AS known, count(*) - count(ts) AS missing
+    FROM e, (SELECT unnest(['year', 'month', 'day']) AS m) GROUP BY m
+    UNION ALL SELECT 'double_value', 'double', NULL, 'expression', count(value * 2), count_if(value IS NULL) FROM e""")
 def feature_catalog(t):
-    events = t("events")
+    events = t("events").withColumns({"ts": F.expr("CASE WHEN event_id % 5 <> 0 THEN ts END"), "value": F.expr("CASE WHEN event_id % 3 <> 0 THEN value END")})
     return features.feature_catalog(events, features.derive(features.date_parts(events), {"double_value": "value * 2"}))
 
 
