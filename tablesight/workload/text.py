@@ -86,6 +86,44 @@ def html_text(t):
     return figures.extract_html(t("pages", spread=True), "page_id", "html")
 
 
+@query("html_tables", """
+    SELECT c_custkey, 0 AS position, CASE c_custkey % 3 WHEN 2 THEN c_custkey || ' ' || c_name || ' | end' ELSE c_custkey || ' | ' || c_name || chr(10) || 'second' END AS rows FROM customer
+    UNION ALL SELECT c_custkey, 1, c_name FROM customer WHERE c_custkey % 3 = 2""")
+def html_tables(t):
+    """Tables with all end tags, without them, and within each other."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    page = (
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("<table><tr><td>"), key, F.lit("</td><td>"), name, F.lit("</td></tr><tr><td>second</td></tr></table>")))
+        .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("<table><tr><td>"), key, F.lit("<td><p>"), name, F.lit("<tr><td>second")))
+        .otherwise(F.concat(F.lit("<table><tr><td>"), key, F.lit("<table><tr><td>"), name, F.lit("</table><td>end</table>"))))
+    parts = html.page_parts(t("customer", spread=True).select("c_custkey", page.alias("html")), "c_custkey", "html")
+    return parts.select("c_custkey", F.posexplode("tables").alias("position", "rows"))
+
+
+@query("html_attributes", """
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Title: About ' || c_name || chr(10) || 'Trace 1, type=bar, name=s' || c_custkey || ', points=2'
+        ELSE c_name || repeat(' and more', 40) END AS summary FROM customer""")
+def html_attributes(t):
+    """Figures in data attributes, and attributes of any length that are no figure."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    figure = F.concat(F.lit('{"data":[{"type":"bar","name":"s'), key, F.lit('","y":[1,2]}],"layout":{"title":"About '), name, F.lit('"}}'))
+    value = F.when(F.col("c_custkey") % 2 == 0, figure).otherwise(F.concat(name, F.repeat(F.lit(" and more"), 40)))
+    page = F.concat(F.lit("<div data-chart='"), value, F.lit("'></div>"))
+    parts = html.page_parts(t("customer", spread=True).select("c_custkey", page.alias("html")), "c_custkey", "html")
+    return parts.select("c_custkey", figures.attribute_summary(F.col("figures")).alias("summary"))
+
+
+@query("page_ladder", """
+    SELECT c_custkey, 'Title: Balance' || chr(10) || 'Trace 1, type=pie, name=s' || c_custkey AS summary FROM customer""")
+def page_ladder(t):
+    """Short and very long pages go through the same steps."""
+    pad = F.when(F.col("c_custkey") % 50 == 0, F.repeat(F.lit("<!-- long -->"), 50_000)).otherwise("")
+    page = F.concat(F.lit("<html>"), pad, F.lit('<script type="application/json">{"data":[{"type":"pie","name":"s'), F.col("c_custkey").cast("string"),
+                    F.lit('"}],"layout":{"title":"Balance"}}</script></html>'))
+    pages = t("customer", spread=True).select("c_custkey", page.alias("html"))
+    return figures.extract_html(pages, "c_custkey", "html").select("c_custkey", F.col("text").alias("summary"))
+
+
 _FIGURE = ('{"data":[{"type":"bar","name":"', '","y":[1,2,3]},{"type":"line","x":[1,2]}],"layout":{"title":{"text":"Values of ',
            '"},"xaxis":{"title":"day"}}}')
 
