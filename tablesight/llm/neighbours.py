@@ -2,7 +2,8 @@
 
 One more dimension makes the largest inner product the smallest distance. Vectors are dealt to lists by
 centroids, rotated at random, and scanned in blocks of columns: after each block a hypothesis test on the partial distance
-abandons candidates that are too far from the current k-th. Scores are computed on the original vectors.
+abandons candidates that are too far. What is too far is known before the scan: the sample's own k-th in the lists
+that the query probes. Scores are computed on the original vectors.
 
 Centroids are fitted on a bounded sample, which also shows how many lists a query must probe. Defined results: vectors that cannot be used (see
 ``vectors.usable``), have another length than most or a null id take no part; repeated rows count once; of equal
@@ -27,7 +28,7 @@ LIST_ROWS, MOST_LISTS = 2_048, 1_024
 BLOCK_ROWS = 4_096  # candidates of a list that a task holds
 COLUMNS = 16  # dimensions that are added before the next test
 STRICTNESS = 2.1  # standard deviations that a partial distance must exceed to be abandoned
-CHUNK = 256  # candidates between updates of the k-th distance
+QUERIES_AT_ONCE = 256
 RECALL = 0.98  # share of the sample's neighbours that lie in the probed lists
 SEED = 3
 
@@ -38,12 +39,23 @@ class Index:
     rotation: np.ndarray
     largest: float  # squared length
     probes: int
+    sample: np.ndarray | None = None
+    near: np.ndarray | None = None  # the list of each sampled vector
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         """With one more dimension, in which queries are 0 and candidates fill up to the largest length."""
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.largest - (x * x).sum(1), 0))
         return np.hstack([x, more[:, None]])
 
+    def limits(self, x: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+        """Per query, the squared distance within which the sample alone has ``k`` other vectors in the probed lists."""
+        probed = np.zeros((len(x), len(self.centroids)), bool)
+        np.put_along_axis(probed, order[:, :self.probes], True, axis=1)
+        scores = np.where(probed[:, self.near], x @ self.sample.T, -np.inf)
+        best = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] if scores.shape[1] > k else np.full(len(x), -np.inf)
+        own = (x * x).sum(1)
+        return np.where(best > -np.inf, np.maximum(own + self.largest - 2 * best, 0) + 1e-9 * (own + self.largest), np.inf)
+
     def distances(self, lifted: np.ndarray) -> np.ndarray:
         return (self.centroids ** 2).sum(1) - 2 * lifted @ self.centroids.T
 
@@ -54,6 +66,7 @@ def fit(x: np.ndarray, largest: float, rows: int, k: int = K, recall: float = RE
     d = x.shape[1] + 1
     index = Index(np.zeros((1, d)), np.linalg.qr(random.normal(size=(d, d)))[0], largest, 1)
     lifted = index.lifted(x, False)
+    index.sample = x
     lists = int(min(max(rows // LIST_ROWS, 1), MOST_LISTS, len(x)))
     index.centroids = lifted[random.permutation(len(x))[:lists]]
     for _ in range(10):
@@ -62,7 +75,7 @@ def fit(x: np.ndarray, largest: float, rows: int, k: int = K, recall: float = RE
         np.add.at(sums, near, lifted)
         n = np.bincount(near, minlength=lists)
         index.centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], index.centroids)
-    near = index.distances(lifted).argmin(1)
+    near = index.near = index.distances(lifted).argmin(1)
     asked = x[:200]
     scores = asked @ x.T
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
@@ -73,27 +86,32 @@ def fit(x: np.ndarray, largest: float, rows: int, k: int = K, recall: float = RE
     return index
 
 
-def scan(query: np.ndarray, rotated: np.ndarray, k: int) -> np.ndarray:
-    """Candidates that may be among the ``k`` nearest: those that no test abandoned, nearest ``k`` per chunk and so far."""
-    d = rotated.shape[1]
-    kept_at, kept = np.zeros(0, np.int64), np.zeros(0)
-    for start in range(0, len(rotated), CHUNK):
-        alive = np.arange(start, min(start + CHUNK, len(rotated)))
-        limit = kept.max() if len(kept) >= k else np.inf
-        partial = np.zeros(len(alive))
-        for column in range(0, d, COLUMNS):
-            end = min(column + COLUMNS, d)
-            difference = rotated[alive, column:end] - query[column:end]
-            partial = partial + np.einsum("ij,ij->i", difference, difference)
-            factor = 1.0 if end == d else end / d * (1 + STRICTNESS / math.sqrt(end)) ** 2
-            stay = partial <= limit * factor * (1 + 1e-9) if limit < np.inf else np.ones(len(alive), bool)
-            alive, partial = alive[stay], partial[stay]
-        kept_at, kept = np.concatenate([kept_at, alive]), np.concatenate([kept, partial])
-        if len(kept) > k:
-            edge = np.partition(kept, k - 1)[k - 1]
-            inside = kept <= edge * (1 + 1e-9) + 1e-12
-            kept_at, kept = kept_at[inside], kept[inside]
-    return kept_at
+def in_columns(rotated: np.ndarray) -> list[np.ndarray]:
+    """Vectors as blocks of columns, each contiguous."""
+    return [np.ascontiguousarray(rotated[:, c:c + COLUMNS]) for c in range(0, rotated.shape[1], COLUMNS)]
+
+
+def scan(query: np.ndarray, blocks: list[np.ndarray], k: int, limit: float = np.inf) -> np.ndarray:
+    """Candidates that may be among the ``k`` nearest and within the squared distance ``limit``.
+
+    After each block of columns a candidate is abandoned when its partial distance is too large, by
+    ``STRICTNESS``, for a random rotation of a vector within the limit.
+    """
+    d, end = sum(b.shape[1] for b in blocks), 0
+    alive, partial = None, np.zeros(len(blocks[0]))
+    for block in blocks:
+        begin, end = end, end + block.shape[1]
+        difference = (block if alive is None else block[alive]) - query[begin:end]
+        partial = partial + np.einsum("ij,ij->i", difference, difference)
+        factor = 1.0 if end == d else end / d * (1 + STRICTNESS / math.sqrt(end)) ** 2
+        if limit < np.inf:
+            stay = np.flatnonzero(partial <= limit * factor * (1 + 1e-9) + 1e-12)
+            alive, partial = stay if alive is None else alive[stay], partial[stay]
+    alive = np.arange(len(partial)) if alive is None else alive
+    if len(alive) > k:
+        inside = partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + 1e-12
+        alive = alive[inside]
+    return alive
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
@@ -122,29 +140,26 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     blocks = -(-counts // BLOCK_ROWS)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = index.distances(index.lifted(matrix(batch.column(1)), True)).argsort(1)
-            # As many lists as the sample asks for, and more while they hold too few candidates.
-            enough = np.cumsum(counts[order], axis=1) >= 2 * (k + 1)
-            n = np.maximum(index.probes, np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1]))
-            at, lists, parts = [], [], []
-            for i in range(batch.num_rows):
-                for probed in order[i, :n[i]].tolist():
-                    for part in range(blocks[probed]):
-                        at.append(i)
-                        lists.append(probed)
-                        parts.append(part)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(parts, pa.int64()), taken.column(0), taken.column(1)],
-                                             names=["list", "block", "id", "vector"])
-
-    queries = valid.where("asks").select("id", "vector").mapInArrow(probe, "list long, block long, id long, vector array<double>")
+        for whole in batches:
+            for batch in (whole.slice(s, QUERIES_AT_ONCE) for s in range(0, whole.num_rows, QUERIES_AT_ONCE)):
+                x = matrix(batch.column(1))
+                order = index.distances(index.lifted(x, True)).argsort(1)
+                limits = index.limits(x, order, k)
+                # Without a limit from the sample, a query goes to more lists while they hold too few candidates.
+                enough = np.cumsum(counts[order], axis=1) >= 2 * (k + 1)
+                few = np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1])
+                n = np.where(limits < np.inf, index.probes, np.maximum(index.probes, few))
+                rows = [(i, probed, part) for i in range(len(x)) for probed in order[i, :n[i]].tolist() for part in range(blocks[probed])]
+                at, lists, parts = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))
+                taken = batch.take(at)
+                yield pa.RecordBatch.from_arrays([lists, parts, taken.column(0), taken.column(1), pa.array(limits).take(at)],
+                                                 names=["list", "block", "id", "vector", "limit"])
+
+    queries = valid.where("asks").select("id", "vector").mapInArrow(probe, "list long, block long, id long, vector array<double>, limit double")
     sizes = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), (F.col("list") + 1).cast("int"))
     held = dealt.withColumn("block", F.pmod(F.xxhash64("id"), sizes).cast("long"))
-    both = (held.select("list", "block", F.lit(0).alias("kind"), "id", "vector")
-            .unionByName(queries.select("list", "block", F.lit(1).alias("kind"), "id", "vector"))
+    both = (held.select("list", "block", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("limit"))
+            .unionByName(queries.select("list", "block", F.lit(1).alias("kind"), "id", "vector", "limit"))
             .repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +167,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         for batch in batches:
             out: list[tuple] = []
             x = matrix(batch.column(4))
-            for i, (probed, block, kind, row_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            for i, (probed, block, kind, row_id, limit) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)))):
                 if (probed, block) != at:
                     at, ids, original, rotated = (probed, block), [], [], None
                 if kind == 0:
@@ -163,9 +178,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                     continue
                 if rotated is None:
                     held_ids, plain = np.array(ids), np.array(original)
-                    rotated = index.lifted(plain, False) @ index.rotation
+                    rotated = in_columns(index.lifted(plain, False) @ index.rotation)
                 query = (index.lifted(x[i:i + 1], True) @ index.rotation)[0]
-                found = scan(query, rotated, k + 1)
+                found = scan(query, rotated, k + 1, limit)
                 found = found[held_ids[found] != row_id]
                 scores = (plain[found] * x[i]).sum(1)
                 for j in np.lexsort((held_ids[found], -scores))[:k].tolist():
