@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import ChiSquareTest, KolmogorovSmirnovTest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.stat import KolmogorovSmirnovTest
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablesight.functions.nulls import col
-from tablesight.operators.features import label_codes
 
 SEED = 7
 
@@ -44,16 +44,55 @@ def explained_variance(df: DataFrame, columns: Sequence[str] | str, k: int) -> D
     return df.sparkSession.createDataFrame(rows, "component int, explained_variance double")
 
 
+def _gamma_tail(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function, by its series or its continued fraction."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for n in range(1, 10_000):
+            term *= x / (a + n)
+            total += term
+            if term < total * 1e-16:
+                break
+        return 1 - front * total
+    b, c = x + 1 - a, 1e300
+    d = value = 1 / b
+    for n in range(1, 10_000):
+        b += 2
+        d = 1 / (b - n * (n - a) * d)
+        c = b - n * (n - a) / c
+        value *= c * d
+        if abs(c * d - 1) < 1e-16:
+            break
+    return front * value
+
+
+@F.udf(T.DoubleType())
+def _chi_square_tail(statistic, dof):
+    """Probability of a value at least this large. Called on a result of one row."""
+    return None if statistic is None or not dof else _gamma_tail(dof / 2, max(statistic, 0.0) / 2)
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row ``(statistic, df, p_value)``: are two categorical columns independent?"""
-    data = df
-    for i, c in enumerate((a, b)):
-        codes = label_codes(df.withColumn(c, col(c).cast("string")), c)
-        codes = codes.select(F.col("label").alias(f"_label{i}"), F.col("code").cast("double").alias(f"_code{i}"))
-        data = data.join(codes, col(c).cast("string") == F.col(f"_label{i}"))
-    assembled = with_vector(data, ["_code0"])
-    return ChiSquareTest.test(assembled, "_features", "_code1", flatten=True).select(
-        F.col("statistic"), F.col("degreesOfFreedom").alias("df"), F.col("pValue").alias("p_value"))
+    """One row ``(statistic, df, p_value)``: are two categorical columns independent?
+
+    One grouping gives the observed cells. Cells that do not occur add what is expected of them: all rows
+    less what is expected of the observed ones. Rows without either value are left out.
+    """
+    cells = (df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b"))
+             .agg(F.count(F.lit(1)).cast("double").alias("o")))
+    rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
+    columns = cells.groupBy("b").agg(F.sum("o").alias("c"))
+    total = cells.agg(F.sum("o")).scalar()
+    e = F.col("r") * F.col("c") / total
+    sums = cells.join(rows, "a").join(columns, "b").withColumn("e", e).agg(
+        F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("seen"), F.sum("e").alias("expected"),
+        F.sum("o").alias("n"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
+    found = sums.select((F.col("seen") + F.col("n") - F.col("expected")).alias("statistic"),
+                        ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"))
+    return found.select("statistic", "df", _chi_square_tail("statistic", F.col("df").cast("double")).alias("p_value"))
 
 
 def normality(df: DataFrame, measure: str) -> DataFrame:

@@ -102,3 +102,17 @@ def test_anova_is_stable_and_has_a_p_value(spark):
 @pytest.mark.parametrize("t, dof, p", [(2.228138851964939, 10, 0.05), (12.706204736432095, 1, 0.05), (1.959963984540054, 1e7, 0.05), (-1.92, 7.1, 0.0957), (0.0, 5, 1.0)])
 def test_tails_of_student(t, dof, p):
     assert stats._beta_share(dof / 2, 0.5, dof / (dof + t * t)) == pytest.approx(p, abs=2e-4)
+
+
+def test_chi_square_of_a_known_table(spark):
+    table = {("x", "p"): 20, ("x", "q"): 30, ("y", "p"): 30, ("y", "q"): 20, ("z", "p"): 7}
+    rows = [key for key, n in table.items() for _ in range(n)] + [(None, "p"), ("x", None)]
+    row = ml.chi_square(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
+    p, q, n = 57, 50, 107
+    want = sum((table.get((a, b), 0) - r * c / n) ** 2 / (r * c / n) for a, r in (("x", 50), ("y", 50), ("z", 7)) for b, c in (("p", p), ("q", q)))
+    assert row["statistic"] == pytest.approx(want) and row["df"] == 2 and row["p_value"] == pytest.approx(math.exp(-want / 2))
+
+
+@pytest.mark.parametrize("x, dof, p", [(3.841458820694124, 1, 0.05), (18.307038053275146, 10, 0.05), (1.0, 10, 0.99982788), (0.0, 3, 1.0)])
+def test_tails_of_chi_square(x, dof, p):
+    assert ml._gamma_tail(dof / 2, x / 2) == pytest.approx(p, abs=1e-7)
