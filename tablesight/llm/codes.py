@@ -3,7 +3,8 @@
 A rotation is learned on a bounded sample so that the signs of the rotated vectors, cut at their medians, are balanced
 codes that keep neighbours together. The code is cut into parts; vectors that agree in one part meet in a bucket, are compared as
 original vectors in double precision, and count as linked from the wanted cosine on. The part length follows the number of
-vectors, so that buckets stay small, and the number of parts follows from it, so that the chance to meet stays the same.
+vectors, so that buckets stay small. Parts are added until pairs at the wanted cosine, made from the sample, meet as often as wanted
+in the learned codes: a mean that the vectors share makes such pairs differ in more bits than their angle says.
 
 Equal vectors are one class. Defined results: vectors that cannot be used (see ``vectors.usable``), have another
 length than most, a null label or a null id link with nothing; repeated rows are copies of each other;
@@ -29,6 +30,7 @@ MISS = 0.01  # chance that a pair at the wanted cosine meets in no bucket
 BUCKET = 32  # vectors of a label per bucket, on average
 BLOCK = 2_048  # vectors of one side of a block
 ROUNDS = 30
+PAIRS = 4_000  # made at the wanted cosine to measure how often they meet
 
 
 @dataclass
@@ -47,18 +49,42 @@ class Codes:
         return bits @ (1 << np.arange(self.width, dtype=np.int64))
 
 
+def pairs_at(unit: np.ndarray, cosine: float, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled vectors with the same turned to the wanted cosine: once towards other sampled vectors, once in any direction."""
+    made = []
+    for towards in (unit[random.integers(0, len(unit), PAIRS)], random.normal(size=(PAIRS, unit.shape[1]))):
+        one = unit[random.integers(0, len(unit), PAIRS)]
+        across = towards - (towards * one).sum(1, keepdims=True) * one
+        length = np.linalg.norm(across, axis=1)
+        one, across = one[length > 1e-6], (across / np.maximum(length, 1e-6)[:, None])[length > 1e-6]
+        if len(one):
+            made.append((one, cosine * one + math.sqrt(1 - cosine * cosine) * across))
+    return made
+
+
+def parts_for(meet: float, miss: float) -> int:
+    """How many parts leave a chance of ``miss``, when a pair meets in each with the chance ``meet``."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-meet))) if meet < 1 else 1
+
+
 def learn(unit: np.ndarray, most: int, cosine: float = COSINE, miss: float = MISS) -> Codes:
-    """Codes from a sample of unit vectors, for labels of up to ``most`` vectors."""
+    """Codes from a sample of unit vectors, for labels of up to ``most`` vectors.
+
+    Parts are as many as the angle asks for, and more until no kind of made pairs is missed too often. If further bits do not
+    help, parts get shorter; without bits all vectors of a label are compared.
+    """
     d = unit.shape[1]
-    width = min(max(round(math.log2(max(most, 1) / BUCKET)), 0), 24)
-    agree = (1 - math.acos(min(cosine, 1.0)) / math.pi) ** width
-    parts = max(1, math.ceil(math.log(miss) / math.log(1 - agree))) if agree < 1 else 1
+    widest = min(max(round(math.log2(max(most, 1) / BUCKET)), 0), 24)
+    cosine = min(cosine, 1.0)
     mean = unit.mean(0)
     centred = unit - mean
     random = np.random.default_rng(5)
     _, axes = np.linalg.eigh(centred.T @ centred)
+    pairs = pairs_at(unit, cosine, np.random.default_rng(6))
     rotations, medians = [], []
-    while sum(r.shape[1] for r in rotations) < width * parts:
+    same = [np.ones((len(one), 0), bool) for one, _ in pairs]
+
+    def more_bits() -> None:
         projected = centred @ axes[:, ::-1]
         turn = np.linalg.qr(random.normal(size=(d, d)))[0]
         for _ in range(ROUNDS):  # signs for the rotation, then the rotation that fits the signs best
@@ -67,7 +93,34 @@ def learn(unit: np.ndarray, most: int, cosine: float = COSINE, miss: float = MIS
             turn = (left @ right).T
         rotations.append(axes[:, ::-1] @ turn)
         medians.append(np.median(centred @ rotations[-1], axis=0))
-    return Codes(mean, rotations, medians, width, parts)
+        for i, (one, other) in enumerate(pairs):
+            bits, turned = ((x - mean) @ rotations[-1] > medians[-1] for x in (one, other))
+            same[i] = np.hstack([same[i], bits == turned])
+
+    def enough(width: int, expected: int) -> int:
+        """The number of parts with which pairs meet as often as wanted, 0 if far more than expected do not suffice."""
+        least = parts_for((1 - math.acos(cosine) / math.pi) ** width, miss)
+        missed = [np.ones(len(one), bool) for one, _ in pairs]
+        for parts in range(1, 4 * max(expected, least) + 1):
+            while len(rotations) * d < width * parts:
+                more_bits()
+            for m, s in zip(missed, same):
+                m &= ~s[:, width * (parts - 1):width * parts].all(1)
+            if parts >= least and max(m.mean() for m in missed) <= miss:
+                return parts
+        return 0
+
+    if widest and pairs:
+        more_bits()
+        agree = min(float(s.mean()) for s in same)
+        # Shorter parts ask for fewer of them, but their buckets are larger: a row costs about as much as BUCKET comparisons.
+        expected = [parts_for(agree ** w, miss) for w in range(widest + 1)]
+        width = min(range(widest + 1), key=lambda w: expected[w] * (1 + most / 2 ** w / BUCKET))
+        for width in range(width, 0, -1):
+            if parts := enough(width, expected[width]):
+                used = -(-width * parts // d)
+                return Codes(mean, rotations[:used], medians[:used], width, parts)
+    return Codes(mean, [], [], 0, 1)
 
 
 def block_links(unit: np.ndarray, keys: np.ndarray, part: int, sides: np.ndarray, copies: np.ndarray,

@@ -87,6 +87,35 @@ def test_links(vectors, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_links_of_vectors_with_a_common_mean(vectors):
+    random = np.random.default_rng(4)
+    n, d, mean, cosine = 3_000, 32, 0.7, 0.94
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    one = unit(random.normal(size=(n, d)))
+    across = random.normal(size=(n, d))
+    across = unit(across - (across * one).sum(1, keepdims=True) * one)
+    turn = (cosine - mean) / (1 - mean)
+    rest = np.vstack([one, turn * one + np.sqrt(1 - turn * turn) * across])
+    x = unit(np.hstack([np.full((2 * n, 1), np.sqrt(mean)), np.sqrt(1 - mean) * rest]))
+    unit_x = x.astype("float32").astype(float)
+    all_of = sum(int((unit(unit_x[i:i + 500]) @ unit(unit_x).T >= codes.COSINE).sum()) for i in range(0, 2 * n, 500)) - 2 * n
+    found = sum(r.n_links for r in codes.link(vectors([(i, v.tolist(), 1) for i, v in enumerate(x)])).collect())
+    assert all_of >= 2 * n and 0.985 * all_of <= found <= all_of
+
+
+def test_codes_of_vectors_on_few_axes():
+    random = np.random.default_rng(2)
+    for x in (np.eye(8)[[0, 1] * 300], np.eye(8)[[0]], np.hstack([random.normal(size=(500, 2)), np.zeros((500, 6))]), random.normal(size=(9, 1))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        learnt = codes.learn(x, 4_000)
+        assert learnt.keys(x).shape == (len(x), learnt.parts)
+        for one, other in codes.pairs_at(x, codes.COSINE, np.random.default_rng(1)):
+            assert (learnt.keys(one) == learnt.keys(other)).any(1).mean() >= 0.97
+
+
 def test_repeated_rows_and_empty_table(vectors):
     assert codes.link(vectors([])).count() == 0
     got = codes.link(vectors([(4, [1, 0], 1), (4, [1, 0], 1), (9, [1, 0.01], 1), (8, [0, 1], 1)])).collect()
