@@ -21,9 +21,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group that shares at least 80 % of its five-word shingles: the smallest id.
 
-    Rows are known by their place in the stored table, so null and repeated ids are no exception.
+    Rows are known by a number that is stored with them, so null and repeated ids are no exception, and all
+    jobs see the same numbers however the files are split.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = jaccard.link(rows, id_col="_row", ngram=5, percent=80)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     stays = (rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))

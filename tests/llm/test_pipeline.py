@@ -103,6 +103,29 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted({root(i) if x else i for i, x in rows})
 
 
+def test_numbers_of_rows_outlive_another_split(spark, documents, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    words = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(60)]
+    documents([(i, words[i % 60], "a") for i in range(240)]).repartition(8, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, link, size = spark.read.parquet(f"{tmp_path}/documents.parquet"), corpus_pipeline.jaccard.link, "spark.sql.files.maxPartitionBytes"
+
+    def link_and_split_anew(rows, **options):  # as when executors come or go between two jobs
+        groups = _stored(link(rows, **options))
+        spark.conf.set(size, "2k")
+        return groups
+
+    monkeypatch.setattr(corpus_pipeline.jaccard, "link", link_and_split_anew)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1g")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect())
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert kept == list(range(60))
+
+
 def test_secrets_are_masked(stages):
     from tablesight.llm import secrets
 
