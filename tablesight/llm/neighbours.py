@@ -3,7 +3,8 @@
 One more dimension makes the largest inner product the smallest distance. Vectors are dealt to lists by
 centroids, rotated at random, and scanned in blocks of columns: after each block a hypothesis test on the partial distance
 abandons candidates that are too far. What is too far is known before the scan: the sample's own k-th in the lists
-that the query probes. Scores are computed on the original vectors.
+that the query probes. Queries that come back with fewer candidates than there are scan all lists again without a limit. Scores are
+computed on the original vectors.
 
 Centroids are fitted on a bounded sample, which also shows how many lists a query must probe. Defined results: vectors that cannot be used (see
 ``vectors.usable``), have another length than most or a null id take no part; repeated rows count once; of equal
@@ -139,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         counts[row["list"]] = row["count"]
     blocks = -(-counts // BLOCK_ROWS)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], everywhere: bool = False) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(s, QUERIES_AT_ONCE) for s in range(0, whole.num_rows, QUERIES_AT_ONCE)):
                 x = matrix(batch.column(1))
@@ -149,18 +150,17 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 enough = np.cumsum(counts[order], axis=1) >= 2 * (k + 1)
                 few = np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1])
                 n = np.where(limits < np.inf, index.probes, np.maximum(index.probes, few))
+                if everywhere:
+                    limits, n = np.full(len(x), np.inf), np.full(len(x), order.shape[1])
                 rows = [(i, probed, part) for i in range(len(x)) for probed in order[i, :n[i]].tolist() for part in range(blocks[probed])]
                 at, lists, parts = (pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))
                 taken = batch.take(at)
                 yield pa.RecordBatch.from_arrays([lists, parts, taken.column(0), taken.column(1), pa.array(limits).take(at)],
                                                  names=["list", "block", "id", "vector", "limit"])
 
-    queries = valid.where("asks").select("id", "vector").mapInArrow(probe, "list long, block long, id long, vector array<double>, limit double")
+    asking = valid.where("asks").select("id", "vector")
     sizes = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), (F.col("list") + 1).cast("int"))
     held = dealt.withColumn("block", F.pmod(F.xxhash64("id"), sizes).cast("long"))
-    both = (held.select("list", "block", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("limit"))
-            .unionByName(queries.select("list", "block", F.lit(1).alias("kind"), "id", "vector", "limit"))
-            .repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, original, rotated = None, [], [], None
@@ -189,6 +189,19 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                 a, b, c = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "score"])
 
-    found = both.mapInArrow(nearest, "query_id long, id long, score double").dropDuplicates(["query_id", "id", "score"])
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def scanned(asked: DataFrame, everywhere: bool = False) -> DataFrame:
+        queries = asked.mapInArrow(lambda batches: probe(batches, everywhere), "list long, block long, id long, vector array<double>, limit double")
+        both = (held.select("list", "block", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("limit"))
+                .unionByName(queries.select("list", "block", F.lit(1).alias("kind"), "id", "vector", "limit"))
+                .repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id"))
+        found = both.mapInArrow(nearest, "query_id long, id long, score double").dropDuplicates(["query_id", "id", "score"])
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    first = store(scanned(asking))
+    full = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = store(asking.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return first
+    again = scanned(short, True)
+    return first.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(again.columns).unionByName(again)

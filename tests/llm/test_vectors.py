@@ -43,6 +43,22 @@ def test_nearest_are_found(vectors):
     assert hits >= 0.95 * 300 and {r.query_id for r in got} == set(range(0, 600, 20))
 
 
+def test_queries_that_abandon_too_much_scan_again(vectors, monkeypatch):
+    x, fit = clustered(600, seed=3), neighbours.fit
+
+    def strict(*args):  # limits as if the sample held nearer vectors
+        index = fit(*args)
+        index.sample = 1.3 * index.sample
+        return index
+
+    monkeypatch.setattr(neighbours, "fit", strict)
+    got = neighbours.search(vectors([(i, v.tolist(), 1) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, k=10).collect()
+    assert all([r["rank"] for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == list(range(1, 11)) for q in range(0, 600, 20))
+    scores = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(scores, -np.inf)
+    assert sum(r.vec_id in np.argsort(-scores[r.query_id])[:10] for r in got) >= 0.95 * 300
+
+
 def test_few_vectors(vectors):
     assert neighbours.search(vectors([]), F.lit(True)).count() == 0
     assert neighbours.search(vectors(awkward()[:4]), F.lit(True)).count() == 0
