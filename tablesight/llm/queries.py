@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesight.llm import codes, jaccard, mixing, neighbours, packing, quality, secrets, suffixes, toxicity, urls
+from tablesight.functions.storage import shared_folder
+from tablesight.llm import (codes, collocations, jaccard, mixing, neighbours, packing, quality, secrets, suffixes, token_counts,
+                            toxicity, urls, whitening)
 from tablesight.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +141,47 @@ def op7(read):
 def op2(read):
     return suffixes.remove_repeats(read("documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM worded, (VALUES (1), (2), (3), (4)) sizes(m)),
+counted AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + t - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(2, m)) AS t FROM candidates), unnest(range(1, m - t + 2)) starts(s) GROUP BY ALL),
+best AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score
+  FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN sizes USING (lang) WHERE rank <= 2000""")
+def op11(read):
+    return collocations.mine(read("documents")).drop("left", "right")
+
+
+@query("op12_whitening")
+def op12(read):
+    return whitening.whiten(read("embeddings"))
+
+
+@query("op13_token_counts")
+def op13(read):
+    """The cache begins empty, so that every run encodes all distinct texts of its table."""
+    import public_tokenizers
+
+    docs = read("documents")
+    cache = f"{shared_folder(docs.sparkSession)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
