@@ -15,7 +15,6 @@ other columns are ignored. A text without any white space is encoded in one piec
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from importlib.metadata import version
@@ -29,7 +28,7 @@ LIMIT = 1_024
 HOT_SHARE = 1_000  # a digest with more than this part of all rows is joined by broadcast
 FEW_MISSES = 1_000_000  # up to so many missing digests (32 bytes each) are broadcast to filter texts before they move
 WINDOW = 1 << 20  # characters whose chunks are held at once
-MEMO = 400_000  # chunks whose counts a task remembers
+MEMO = 200_000  # chunks whose counts a task remembers
 
 CACHE = "content binary, n_tokens long"
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -49,24 +48,35 @@ def splits_at_spaces(tokenizer) -> bool:
 
     So it is where nothing but the byte-level pattern looks at a text first: it never joins a character to white space behind it.
     """
-    rules = json.loads(tokenizer.to_str())
-    first = rules["pre_tokenizer"] or {}
-    plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules["added_tokens"])
-    return (plain and rules["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex", True)
-            and not first.get("add_prefix_space"))
+    first = tokenizer.pre_tokenizer
+    added = tokenizer.get_added_tokens_decoder().values()
+    plain = all(not re.search(r"\s", t.content) and not (t.lstrip or t.rstrip or t.single_word) for t in added)
+    return plain and tokenizer.normalizer is None and type(first).__name__ == "ByteLevel" and first.use_regex and not first.add_prefix_space
+
+
+class Memo(dict):
+    """Counts of chunks, each encoded when it is first asked for."""
+
+    def __init__(self, length):
+        self.length = length
+
+    def __missing__(self, chunk: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[chunk] = n = self.length(chunk)
+        return n
 
 
 class Counter:
     """Counts tokens as the library of a tokenizer's file does, without begin, end and added special tokens."""
 
     def __init__(self, path: str):
-        self.memo: dict[str, int] = {}
         self.by_chunk = False
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.lengths = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+            self.length = lambda text: len(model.encode(text))
         else:
             from tokenizers import Tokenizer
 
@@ -74,28 +84,19 @@ class Counter:
             model.no_truncation()
             model.no_padding()
             self.by_chunk = splits_at_spaces(model)
-            self.lengths = lambda texts: [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def sum_of_chunks(self, chunks: list[str]) -> int:
-        memo = self.memo
-        missing = list({c for c in chunks if c not in memo})
-        if len(memo) + len(missing) > MEMO:
-            memo.clear()
-            missing = list(set(chunks))
-        if missing:
-            memo.update(zip(missing, self.lengths(missing)))
-        return sum(map(memo.__getitem__, chunks))
+            self.length = lambda text: len(model.encode(text, add_special_tokens=False))
+        self.memo = Memo(self.length)
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         if not self.by_chunk or _ONLY_PYTHON_SPACE.search(text):
-            return self.lengths([text])[0]
+            return self.length(text)
         n, start = 0, 0
         while start < len(text):
             cut = _CUT.search(text, start + WINDOW) if len(text) - start > WINDOW else None
             end = cut.start() if cut else len(text)
-            n += self.sum_of_chunks(_CHUNK.findall(text, start, end))
+            n += sum(map(self.memo.__getitem__, _CHUNK.findall(text, start, end)))
             start = end
         return n
 
