@@ -63,7 +63,16 @@ class Shard:
         if len(self.numbers) == 1:
             return None
         counts = np.bincount(codes, minlength=len(self.numbers))[1:]
-        return {"shard": shard, "lang": lang, "words": list(self.numbers)[1:], "counts": counts.tolist(), "codes": codes.tobytes()}
+        return {"shard": shard, "lang": lang, "words": list(self.numbers)[1:], "counts": counts.tolist(), "codes": packed(codes)}
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: a sequence is shuffled and stored more than once."""
+    return pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True) + len(codes).to_bytes(8, "little")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[:-8], 4 * int.from_bytes(data[-8:], "little"), codec="zstd"), np.int32)
 
 
 def one_separator(codes: np.ndarray) -> np.ndarray:
@@ -150,11 +159,10 @@ class Pairs:
 
 
 def phrases_of(codes: np.ndarray, pairs: Pairs, longest: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(phrases, counts)`` of two words and more, all of whose neighbouring words are among ``pairs``."""
+    """``(phrases, counts)`` of three words and more, all of whose neighbouring words are among ``pairs``."""
     index = Index(codes, longest)
     found = index.extend(index.single(), left=False)
     found = keep(found, pairs.of(found[0][:, 0], found[0][:, 1]) > 0)
-    yield found[0], found[3]
     for length in range(3, longest + 1):
         left = length % 2 == 1
         found = index.extend(found, left)
@@ -195,11 +203,11 @@ def with_totals(left: pa.Table, right: pa.Table) -> pa.Table:
     rows = []
     if left.num_rows and right.num_rows:
         place = right.column("place").to_numpy()
-        codes = np.frombuffer(left.column("codes")[0].as_py(), np.int32)
+        codes = unpacked(left.column("codes")[0].as_py())
         anew = np.zeros(max(int(codes.max()), int(place.max())) + 1, np.int32)
         anew[place] = np.arange(1, len(place) + 1)
         rows = [{"shard": left.column("shard")[0].as_py(), "lang": left.column("lang")[0].as_py(), "words": right.column("word").to_pylist(),
-                 "ids": right.column("id").to_pylist(), "totals": right.column("total").to_pylist(), "codes": one_separator(anew[codes]).tobytes()}]
+                 "ids": right.column("id").to_pylist(), "totals": right.column("total").to_pylist(), "codes": packed(one_separator(anew[codes]))}]
     return pa.Table.from_pylist(rows, schema)
 
 
@@ -208,7 +216,7 @@ def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             ids = batch.column("ids")[k].values.to_numpy()
-            index = Index(np.frombuffer(batch.column("codes")[k].as_py(), np.int32), 2)
+            index = Index(unpacked(batch.column("codes")[k].as_py()), 2)
             pairs, _, _, counts = index.extend(index.single(), left=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(counts), batch.column("shard")[k].as_py())), pa.array(ids[pairs[:, 0] - 1]), pa.array(ids[pairs[:, 1] - 1]), pa.array(counts)],
@@ -228,12 +236,17 @@ def phrase_counts(left: pa.Table, right: pa.Table) -> pa.Table:
     words = left.column("words")[0].values
     order = np.argsort(ids)
     a, b = (order[np.searchsorted(ids, right.column(c).to_numpy(), sorter=order)] + 1 for c in ("a", "b"))
-    pairs = Pairs(a, b, right.column("total").to_numpy(), len(ids))
+    total = right.column("total").to_numpy()
+    pairs = Pairs(a, b, total, len(ids))
+    tells = right.column("tells").to_numpy(zero_copy_only=False)
+    lang = left.column("lang")[0].as_py()
     tables = []
-    for phrases, counts in phrases_of(np.frombuffer(left.column("codes")[0].as_py(), np.int32), pairs):
+    # The total of a pair is known; one of its shards tells it.
+    told = (np.stack([a[tells], b[tells]], axis=1), total[tells])
+    for phrases, counts in (told, *phrases_of(unpacked(left.column("codes")[0].as_py()), pairs)):
         text = pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in phrases.T], pa.scalar(b" ", pa.binary()))
         tables.append(pa.Table.from_arrays([
-            pa.array([left.column("lang")[0].as_py()] * len(counts), pa.string()), pa.array(np.full(len(counts), phrases.shape[1], np.int32)), text, pa.array(counts),
+            pa.array([lang] * len(counts), pa.string()), pa.array(np.full(len(counts), phrases.shape[1], np.int32)), text, pa.array(counts),
             pa.array(totals[phrases[:, 0] - 1]), pa.array(totals[phrases[:, -1] - 1]),
             pa.array(pairs.of(phrases[:, 0], phrases[:, 1])), pa.array(pairs.of(phrases[:, -2], phrases[:, -1]))], schema=schema))
     return pa.concat_tables(tables)
@@ -242,18 +255,19 @@ def phrase_counts(left: pa.Table, right: pa.Table) -> pa.Table:
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """``(lang, size, phrase, a, first, last, head, tail)`` of all phrases of two to four words that occur at least ``least`` times, and ``(lang, n)``."""
     held = store(shards(docs, text_col, lang_col, shard_words))
+    sizes = held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
     vocabulary = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select(
         "shard", "lang", (F.col("pos") + 1).cast("long").alias("place"), F.col("col.words").alias("word"), F.col("col.counts").alias("count"))
-    sizes = vocabulary.groupBy("lang").agg(F.sum("count").alias("n"))
-    frequent = store(vocabulary.groupBy("lang", "word").agg(F.sum("count").alias("total")).where(F.col("total") >= least)
-                     .withColumn("id", F.monotonically_increasing_id()))
-    totals = vocabulary.join(frequent, ["lang", "word"]).select(F.col("shard").alias("owner"), "place", "word", "id", "total")
+    # Every shard has a word or pair once, so a common one has as many rows as there are shards.
+    frequent = store(vocabulary.withColumn("total", F.sum("count").over(W.partitionBy("lang", "word"))).where(F.col("total") >= least).drop("count"))
+    ids = store(frequent.select("lang", "word").distinct().withColumn("id", F.monotonically_increasing_id()))
+    totals = frequent.join(ids, ["lang", "word"]).select(F.col("shard").alias("owner"), "place", "word", "id", "total")
     known = store(held.select("shard", "lang", "codes").groupBy("shard").cogroup(totals.groupBy("owner")).applyInArrow(with_totals, KNOWN))
 
-    # Every shard has a pair once, so a common pair has as many rows as there are shards.
     each = known.select("shard", "ids", "codes").mapInArrow(pair_counts, "shard long, a long, b long, n long")
-    pairs = (each.withColumn("total", F.sum("n").over(W.partitionBy("a", "b"))).where(F.col("total") >= least)
-             .select(F.col("shard").alias("owner"), "a", "b", "total"))
+    same = W.partitionBy("a", "b")
+    pairs = (each.withColumns({"total": F.sum("n").over(same), "teller": F.min("shard").over(same)}).where(F.col("total") >= least)
+             .select(F.col("shard").alias("owner"), "a", "b", "total", (F.col("shard") == F.col("teller")).alias("tells")))
     counted = known.groupBy("shard").cogroup(pairs.groupBy("owner")).applyInArrow(phrase_counts, COUNTED)
     phrases = (counted.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("n").alias("a"), *[F.max(c).alias(c) for c in ("first", "last", "head", "tail")])
                .where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string")))
