@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesight.functions.nulls import col, join_on
@@ -12,20 +14,62 @@ from tablesight.functions.text import letters_and_digits, stem, suffix
 # File types of an insight's assets.
 ASSET_SUFFIXES = {"html_path": (".html",), "png_path": (".png", ".jpg", ".jpeg"), "svg_path": (".svg",)}
 
+# Needles of up to this size, with what a node takes, become one automaton in every executor.
+AUTOMATON_BYTES = 16 * 1024 * 1024
+NODE_BYTES = 64
+GRAM = 3
 
-def containing(hay: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs of rows in which the needle occurs in the text, as an equi join.
 
-    Every substring of the text that is as long as some needle becomes a join key, so no row is compared
-    with every needle. Both columns are compared as they are; fold case before. Needles must be distinct.
+def containing(hay: DataFrame, text: str, needles: DataFrame, needle: str, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """Pairs of rows in which the needle occurs in the text. Needles must be distinct; null and empty ones match nothing.
+
+    Up to ``automaton_bytes`` of needles go to every executor as one automaton, which finds all of them in a single pass over
+    a text; nothing but the pairs is shuffled. More needles are found by their rarest substring of three characters. Both columns are compared as
+    they are; fold case before.
     """
-    lengths = needles.agg(F.collect_set(F.length(col(needle)))).scalar()  # one entry per length, not per needle
-    size = F.length(col(text))
-    keys = hay.withColumn("_len", F.explode(lengths)).where((F.col("_len") > 0) & (F.col("_len") <= size))
-    starts = F.sequence(F.lit(1), size - F.col("_len") + 1)
-    substrings = F.array_distinct(F.transform(starts, lambda i: F.substring(col(text), i, F.col("_len"))))
-    keys = keys.withColumn("_key", F.explode(substrings)).drop("_len")
-    return keys.join(needles, F.col("_key") == col(needle)).drop("_key")
+    known = needles.where(F.length(col(needle)) > 0)
+    size = known.agg(F.coalesce(F.sum(F.octet_length(col(needle)) + NODE_BYTES), F.lit(0))).first()[0]
+    return (_by_automaton if size <= automaton_bytes else _by_rare_gram)(hay, text, known, needle)
+
+
+def _by_automaton(hay: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    # At most ``automaton_bytes`` of text, as just measured.
+    shared = hay.sparkSession.sparkContext.broadcast([r[0] for r in needles.select(col(needle)).collect()])
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word in shared.value:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        some = len(automaton) > 0
+        for batch in batches:
+            yield pd.Series([sorted({word for _, word in automaton.iter(t)}) if some and t else [] for t in batch], dtype=object)
+
+    hits = hay.withColumn("_key", F.explode(found(col(text))))
+    if needles.columns == [needle]:
+        return hits.withColumnRenamed("_key", needle)
+    return hits.join(needles, F.col("_key") == col(needle)).drop("_key")
+
+
+def _by_rare_gram(hay: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Every needle is looked for where its rarest gram occurs; a needle with a gram that no text holds is nowhere."""
+
+    def grams(df: DataFrame, name: str, lengths) -> DataFrame:
+        starts = lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(col(name)) - n + 1), lambda i: F.substring(col(name), i, n))
+        sizes = df.withColumn("_n", F.explode(lengths)).where(F.length(col(name)) >= F.col("_n"))
+        return sizes.withColumn("_gram", F.explode(F.array_distinct(starts(F.col("_n"))))).drop("_n")
+
+    # Shorter needles are grams themselves, so there are at most three lengths.
+    of_needle = F.least(F.length(col(needle)), F.lit(GRAM))
+    lengths = needles.agg(F.collect_set(of_needle)).scalar()
+    keys = grams(needles, needle, F.array(of_needle))
+    in_texts = grams(hay.select(col(text)), text, lengths).groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    chosen = (keys.select(col(needle).alias("_needle"), "_gram").join(in_texts, "_gram", "left").groupBy("_needle")
+              .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram")))
+    wanted = needles.join(chosen, col(needle) == F.col("_needle")).drop("_needle")
+    return grams(hay, text, lengths).join(wanted, "_gram").where(F.contains(col(text), col(needle))).drop("_gram")
 
 
 def with_results(charts: DataFrame, results: DataFrame, key: str) -> DataFrame:

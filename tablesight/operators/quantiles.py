@@ -4,6 +4,9 @@
 with a mergeable sketch, a narrow bracket of values around each wanted rank; the second pass counts what
 lies below the bracket and only the values inside it, pre-aggregated on the map side. The bracket's
 width follows from the sketch's error bound, and a rank outside it would fail the query, not change it.
+
+Brackets that still hold many values are narrowed by rounds of histograms: values are counted per bin, and the bin that holds the rank is the next
+bracket. Only when a bounded number of values is left they are put in order, so no window sorts a group.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesight.functions.nulls import col, join_on
 from tablesight.functions.storage import store
@@ -22,6 +25,9 @@ SKETCH_ACCURACY = 10_000
 _MARGIN = 4.0 / SKETCH_ACCURACY
 # Up to this many rows the bracket is the whole group: there the margin would be only a few ranks wide.
 _SMALL_GROUP = 5 * SKETCH_ACCURACY
+# Up to this many values of a bracket are put in order at once; more are first divided into bins.
+SORTED_VALUES = 65_536
+BINS = 1_024
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), as_type: str = "double",
@@ -80,21 +86,75 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     # In a large group nearly every row is dropped before it is unfolded.
     inside = attached.where(reduce(or_, hits)).select(*key_columns, F.inline(entries)).where("_k IS NOT NULL")
     counted = inside.groupBy(*key_columns, "_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    running = W.partitionBy(*key_columns, "_k").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = join_on(counted.withColumn("_upto", F.sum("_c").over(running)), wanted, [*keys, "_k"], "inner")
-
-    # First value whose running count passes the rank.
-    position, reached = F.col("_position"), F.col("_below") + F.col("_upto")
-    value_at = lambda rank: F.min(F.when(reached > rank, F.col("_v")))
+    # Quantiles lie between the values at two neighbouring ranks: one search for each.
+    ranks = F.array(*[F.struct(F.lit(i).alias("_side"), (f("_position") - F.col("_below")).cast("long").alias("_rank")) for i, f in ((0, F.floor), (1, F.ceil))])
+    wanted = wanted.withColumn("_at", F.explode(ranks)).select("*", "_at.*").drop("_at")
+    found = _values_at(counted, wanted, keys)
+    # A target without values before its rank is missing here or NULL.
     names = [*key_columns, F.col("column"), F.col("probability")]
-    out = ranked.groupBy(*names, "_position", "_below").agg(
-        value_at(F.floor(position)).alias("_a"), value_at(F.ceil(position)).alias("_z"))
-    covered = (F.col("_below") <= F.floor(position)) & F.col("_a").isNotNull() & F.col("_z").isNotNull()
-    part = position - F.floor(position)
+    out = found.groupBy(*names, "_position").agg(*[F.max(F.when(F.col("_side") == i, F.col("_value"))).alias(n) for i, n in ((0, "_a"), (1, "_z"))])
+    covered = F.col("_a").isNotNull() & F.col("_z").isNotNull()
+    part = F.col("_position") - F.floor("_position")
     return out.select(*names, F.when(covered, F.col("_a") + (F.col("_z") - F.col("_a")) * part).otherwise(
         F.raise_error(F.lit("quantile rank outside its bracket"))).alias("quantile"))
 
 
+def _values_at(counted: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``wanted`` with ``_value``: of the counted values of its group and target, the one at ``_rank`` in ascending order.
+
+    NULL where the values end before that rank. Every round divides the range of values by ``BINS``.
+    """
+    target = [*keys, "_k"]
+    columns = [col(k) for k in target]
+    counted = store(counted)
+    size = counted.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if _many(size):
+        state = store(join_on(wanted, size, target, "inner"))
+        while _many(state):
+            state = store(_narrowed(counted, state, target))
+        left = join_on(counted, state, target, "inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    else:
+        left = join_on(counted, wanted, target, "inner")
+    # At most SORTED_VALUES entries.
+    known = [*columns, "_side", "_rank", "column", "probability", "_position"]
+    ordered = left.groupBy(*known).agg(F.array_sort(F.collect_list(F.struct("_v", F.col("_c").alias("c")))).alias("_values"))
+    return ordered.withColumn("_value", _entry_at(F.col("_values"), F.col("_rank"))["found"]["_v"])
+
+
+def _narrowed(counted: DataFrame, state: DataFrame, target: Sequence[str]) -> DataFrame:
+    """``state`` after one more round: the bin that holds the rank, and the rank within it."""
+    columns = [col(k) for k in target]
+    large = state.where(F.col("_n") > SORTED_VALUES).select(*columns, "_side", "_rank", "_lo", "_hi")
+    values = join_on(counted, large, target, "inner").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    # Halves before the difference: the range of two finite values need not be finite. Infinite bounds give the first or the last bin.
+    place = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    place = F.when(F.col("_v") == F.col("_lo"), 0.0).when(F.col("_v") == F.col("_hi"), 1.0).when(F.isnan(place), 0.5).otherwise(place)
+    bins = values.groupBy(*columns, "_side", "_rank", F.least(F.floor(place * BINS), F.lit(BINS)).alias("_bin")).agg(
+        F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # At most BINS + 1 entries.
+    ordered = bins.groupBy(*columns, "_side", "_rank").agg(F.array_sort(F.collect_list(F.struct("_bin", "c", "n", "lo", "hi"))).alias("_bins"))
+    entry = ordered.withColumn("_entry", _entry_at(F.col("_bins"), F.col("_rank"))).select(
+        *columns, "_side", F.col("_entry.passed").alias("_passed"), *[F.col(f"_entry.found.{c}").alias(f"_{c}2") for c in ("n", "lo", "hi")])
+    again = join_on(state, entry, [*target, "_side"])
+    # A rank beyond all values keeps no value.
+    gone = F.col("_passed").isNotNull() & F.col("_n2").isNull()
+    new = {"_n": F.when(gone, 0).otherwise(F.coalesce("_n2", "_n")), "_rank": F.col("_rank") - F.coalesce("_passed", F.lit(0)),
+           "_lo": F.when(~gone, F.coalesce("_lo2", "_lo")), "_hi": F.when(~gone, F.coalesce("_hi2", "_hi"))}
+    return again.select(*[new[c].alias(c) if c in new else col(c) for c in state.columns])
+
+
+def _many(state: DataFrame) -> bool:
+    return (state.agg(F.max("_n")).first()[0] or 0) > SORTED_VALUES
+
+
+def _entry_at(entries: Column, rank: Column) -> Column:
+    """Of entries with counts ``c``, the one whose running count first exceeds the rank, and what the ones before it sum up to."""
+    start = F.struct(F.lit(0).cast("long").alias("passed"), F.get(entries, F.lit(-1)).alias("found"))
+    return F.aggregate(entries, start, lambda a, e: F.when(a["found"].isNotNull() | (rank < 0), a).when(
+        a["passed"] + e["c"] > rank, F.struct(a["passed"].alias("passed"), e.alias("found"))).otherwise(
+        F.struct((a["passed"] + e["c"]).alias("passed"), a["found"].alias("found"))))
+
+
 def _sketch(i: int, probabilities: Sequence[float]) -> list[Column]:
     value = F.when(~F.isnan(f"_v{i}"), F.col(f"_v{i}"))
     around = [max(0.0, p - _MARGIN) for p in probabilities] + [min(1.0, p + _MARGIN) for p in probabilities]

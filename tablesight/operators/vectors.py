@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tablesight.functions.nulls import col
 from tablesight.functions.storage import store
 from tablesight.functions.text import words
+from tablesight.operators import hashing
 
 K = 5
 SEED = 7
@@ -24,6 +25,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4_096
 SALTS = 16
 QUESTIONS_AT_ONCE = 256
+# Share of the true neighbours that an approximate search must find, and what its tables are chosen on.
+RECALL = 0.9
+SAMPLED_ROWS, SAMPLED_QUESTIONS = 5_000, 128
 
 
 class TfIdf:
@@ -195,29 +199,87 @@ def _knn_blocks(corpus, queries, key, vector, query_key, query_vector, k, out) -
 
 
 def approximate_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str,
-                    k: int = K, bucket_length: float = 2.0, tables: int = 8, seed: int = SEED) -> DataFrame:
-    """Like ``knn`` but only rows that share a random-projection bucket with the question are compared.
+                    k: int = K, wanted: float = RECALL, broadcast_bytes: int = BROADCAST_BYTES, seed: int = SEED) -> DataFrame:
+    """Like ``knn`` but only rows in buckets that a question looks into are compared; see ``hashing``.
 
-    Questions and rows meet in an equi-join on table, bucket and a salt that spreads full buckets over many tasks; each task passes
-    on ``k`` rows per question. A question that shares buckets with fewer than ``k`` rows is compared with all rows, so every question
-    gets as many rows as ``knn`` gives it. More tables find more of the true neighbours.
+    Tables and probes are chosen on a bounded sample so that a share of ``wanted`` of the true neighbours is found; where no choice beats
+    comparing all rows, that is done. The buckets of all questions go to every executor while they are small, and rows of
+    other buckets are dropped where they are read; else questions and rows meet in an equi-join on table, bucket and a salt that spreads full
+    buckets over many tasks. A question with fewer than ``k`` rows found is compared with all rows.
     """
-    lsh = BucketedRandomProjectionLSH(inputCol="_features", outputCol="_hashes", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed)
+    queries = queries.where(col(query_vector).isNotNull())
+    known = corpus.where(col(vector).isNotNull())
+    rows = known.count()
+    hashes = hashing.tune(_sample(known, key, vector, SAMPLED_ROWS), _sample(queries, query_key, query_vector, SAMPLED_QUESTIONS), k, rows, wanted, seed)
+    if hashes is None:
+        return knn(corpus, queries, key, vector, query_key, query_vector, k, broadcast_bytes)
     out = _result_type(corpus, queries, key, query_key)
+    asked_bytes = queries.count() * len(hashes.directions) * (hashes.probes + 1) * 24 + _asked_bytes(queries, query_vector)
+    found = (_probe_broadcast if asked_bytes <= broadcast_bytes else _probe_join)(known, queries, key, vector, query_key, query_vector, k, out, hashes)
+    near = store(found.distinct())  # read three times
+    enough = near.groupBy(col(query_key)).count().where(F.col("count") >= k).select(col(query_key))
+    rest = queries.join(enough, query_key, "left_anti")
+    every = near.unionByName(knn(corpus, rest, key, vector, query_key, query_vector, k).drop("rank")).distinct()
+    best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    def hashed(df, k_col, v_col, model):
-        known = df.where(col(v_col).isNotNull()).select(
-            col(k_col), array_to_vector(col(v_col).cast("array<double>")).alias("_features"))
-        if model is None:
-            return known
-        return model.transform(known).select(
-            col(k_col), vector_to_array("_features").alias("_v"),
-            F.posexplode(F.transform("_hashes", lambda h: vector_to_array(h)[0])).alias("_table", "_bucket"))
-
-    model = lsh.fit(hashed(corpus, key, vector, None))
-    rows = hashed(corpus, key, vector, model).withColumn("_salt", F.pmod(F.xxhash64(col(key)), F.lit(SALTS)).cast("int"))
-    asked = hashed(queries, query_key, query_vector, model).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+def _sample(df: DataFrame, key: str, vector: str, rows: int) -> np.ndarray:
+    """At most ``rows`` vectors, those with the smallest hashes of their keys."""
+    taken = df.select(col(vector).cast("array<double>").alias("_v"), F.xxhash64(col(key)).alias("_h")).orderBy("_h").limit(rows).select("_v").toArrow()
+    return _matrix(taken.column(0)) if taken.num_rows else np.zeros((0, 1))
+
+
+def _probe_broadcast(corpus, queries, key, vector, query_key, query_vector, k, out, hashes) -> DataFrame:
+    asked = queries.select(col(query_key), col(query_vector).cast("array<double>").alias("_v")).toArrow()
+    names, questions = asked.column(0).to_pylist(), _matrix(asked.column(1)) if asked.num_rows else np.zeros((0, 1))
+    per_table = []
+    for keys in np.moveaxis(hashes.probe_keys(questions), 1, 0) if names else []:
+        order = np.argsort(keys, axis=None)
+        per_table.append((keys.ravel()[order], order // keys.shape[1]))
+    shared = corpus.sparkSession.sparkContext.broadcast((names, questions, per_table))
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, questions, per_table = shared.value
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            vectors = _matrix(batch.column(1))
+            pairs = []
+            for keys, (probed, question) in zip(hashes.keys(vectors).T, per_table):
+                low, high = np.searchsorted(probed, keys, "left"), np.searchsorted(probed, keys, "right")
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                at = np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pairs.append(question[at] * batch.num_rows + np.repeat(hit, n))
+            pair = np.unique(np.concatenate(pairs))
+            q, r = pair // batch.num_rows, pair % batch.num_rows
+            exact = np.concatenate([np.zeros(0), *(((vectors[r[i:i + 65_536]] - questions[q[i:i + 65_536]]) ** 2).sum(1) for i in range(0, len(r), 65_536))])
+            row_keys = np.asarray(batch.column(0).to_pylist())[r]
+            order = np.lexsort((row_keys, exact, q))
+            place = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+            kept = order[place < k]
+            yield pa.RecordBatch.from_pydict({query_key: [names[i] for i in q[kept].tolist()], key: row_keys[kept].tolist(), "distance": exact[kept].tolist()}, schema=arrow)
+
+    return corpus.select(col(key), col(vector).alias("_v")).mapInArrow(run, out)
+
+
+def _probe_join(corpus, queries, key, vector, query_key, query_vector, k, out, hashes) -> DataFrame:
+    @F.pandas_udf("array<array<long>>")
+    def own(batch: pd.Series) -> pd.Series:
+        return pd.Series([[[key] for key in keys] for keys in hashes.keys(np.array(batch.tolist())).tolist()] if len(batch) else [], dtype=object)
+
+    @F.pandas_udf("array<array<long>>")
+    def probed(batch: pd.Series) -> pd.Series:
+        return pd.Series(hashes.probe_keys(np.array(batch.tolist())).tolist() if len(batch) else [], dtype=object)
+
+    def hashed(df, k_col, v_col, keys):
+        tables = df.select(col(k_col), col(v_col).cast("array<double>").alias("_v")).select(col(k_col), "_v", F.posexplode(keys("_v")).alias("_table", "_buckets"))
+        return tables.withColumn("_bucket", F.explode(F.array_distinct("_buckets"))).drop("_buckets")
+
+    rows = hashed(corpus, key, vector, own).withColumn("_salt", F.pmod(F.xxhash64(col(key)), F.lit(SALTS)).cast("int"))
+    asked = hashed(queries, query_key, query_vector, probed).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     place = ["_table", "_bucket", "_salt"]
     both = (
         rows.select(*place, F.lit(0).alias("_asks"), col(key).alias("_key"), F.lit(None).cast(out[0].dataType).alias("_name"), "_v")
@@ -254,12 +316,7 @@ def approximate_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str
             yield packed(ready)
         yield packed(list(found()))
 
-    near = store(both.mapInArrow(run, out).distinct())  # read three times
-    enough = near.groupBy(col(query_key)).count().where(F.col("count") >= k).select(col(query_key))
-    rest = queries.join(enough, query_key, "left_anti")
-    every = near.unionByName(knn(corpus, rest, key, vector, query_key, query_vector, k).drop("rank")).distinct()
-    best = W.partitionBy(col(query_key)).orderBy("distance", col(key))
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return both.mapInArrow(run, out)
 
 
 def recall(exact: DataFrame, approximate: DataFrame, query_key: str, key: str) -> DataFrame:

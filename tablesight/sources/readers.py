@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
@@ -9,8 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablesight.functions.nulls import col, na_tokens_to_null, nan_to_null
+from tablesight.functions.storage import shared_folder
 from tablesight.operators.typing import ColumnType, apply_types, infer_types
 from tablesight.sources.feather import read_feather
+from tablesight.sources.splits import csv_records, file_path, json_records
 from tablesight.sources.xlsx import read_xlsx
 
 # Characters that Windows code page 1252 has where ISO-8859-1 has control characters.
@@ -18,21 +21,26 @@ _C1 = "".join(chr(b) for b in range(0x80, 0xA0))
 _CP1252 = "".join(bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
-def file_path() -> Column:
-    """The path of a row's file as it can be read again; Spark reports it encoded like a URL."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def scan_text_files(spark: SparkSession, paths) -> DataFrame:
-    """Rows ``(path, utf8, quoted_breaks)`` per text file.
+    """Rows ``(path, utf8, quoted_breaks, returns)`` per text file.
 
     The files are read as raw lines in splits, so a huge file is checked by many tasks. A line with an
-    odd number of quotes means that a quoted value runs over its end.
+    odd number of quotes means that a quoted value runs over its end; ``returns`` tells of carriage returns within a line.
     """
-    lines = spark.read.text(paths).select(file_path().alias("path"), "value")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(file_path().alias("path"), "value")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("quoted_breaks"))
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("quoted_breaks"),
+        F.bool_or(F.contains(F.regexp_replace("value", r"\r$", ""), F.lit("\r"))).alias("returns"))
+
+
+# Options under which records are not what ``splits`` takes them for.
+_OTHER_RECORDS = {"quote", "escape", "comment", "linesep", "encoding", "charset", "multiline", "header", "mode", "unescapedquotehandling", "schema", "wholetext",
+                  "allowcomments", "allowsinglequotes", "columnnameofcorruptrecord", "maxcolumns", "enforceschema", "ignoreleadingwhitespace"}
+
+
+def _plain(options: Mapping) -> bool:
+    return not _OTHER_RECORDS & {k.lower() for k in options}
 
 
 def _decode_cp1252(df: DataFrame) -> DataFrame:
@@ -57,18 +65,23 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer: bool = True, scan
     """CSV files with a header: strings first, then missing values, then types by content.
 
     ``scan`` looks at the files once to find out which are not UTF-8 and which have line breaks inside
-    quotes; only the latter are read unsplit. With ``types`` (from ``detect_types``) nothing is inferred.
+    quotes; the records of the latter are found split by split. Only with carriage returns as further line ends, or
+    with options that change what a record is, such files are read unsplit. With ``types`` (from ``detect_types``) nothing is inferred.
     """
-    kinds: dict[tuple[bool, bool], list[str]] = {}
+    kinds: dict[tuple[bool, bool, bool], list[str]] = {}
     if scan:
         # One row per file, no more than the file listing that Spark keeps anyway.
         for r in scan_text_files(spark, path).collect():
-            kinds.setdefault((bool(r["quoted_breaks"]), not r["utf8"]), []).append(r["path"])
-    if len(kinds) < 2:
-        raw = _csv(spark, path, sep, *next(iter(kinds), (False, False)), options)
-    else:
-        parts = [_csv(spark, files, sep, *kind, options) for kind, files in kinds.items()]
-        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            split = bool(r["quoted_breaks"]) and not r["returns"] and _plain(options)
+            kinds.setdefault((split, bool(r["quoted_breaks"]), not r["utf8"]), []).append(r["path"])
+    parts: list[DataFrame] = []
+    for (split, multi_line, latin), files in kinds.items():
+        if split:
+            tables = csv_records(spark, files, sep, latin, options)
+            parts += [_decode_cp1252(t) for t in tables] if latin else tables
+        else:
+            parts.append(_csv(spark, path if len(kinds) == 1 else files, sep, multi_line, latin, options))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else _csv(spark, path, sep, False, False, options)
     raw = na_tokens_to_null(raw)
     if types is not None:
         return apply_types(raw, types)
@@ -76,7 +89,7 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer: bool = True, scan
 
 
 def scan_json_files(spark: SparkSession, paths) -> DataFrame:
-    """Rows ``(path, lines, bad)`` per JSON file: whether it holds one object per line, and how many lines are not.
+    """Rows ``(path, lines, bad, array, utf8)`` per JSON file: whether it holds one object per line, and how many lines are not.
 
     A file is a document when it begins with ``[`` or when its lines are no objects of their own but begin one together;
     a single bad line among good ones does not make it a document.
@@ -86,14 +99,16 @@ def scan_json_files(spark: SparkSession, paths) -> DataFrame:
         F.trim(F.regexp_replace("value", r"^\x{FEFF}", "")).alias("value")).where("value != ''")
     is_object = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull()
     found = text.groupBy("path").agg(
-        F.min_by("value", F.struct("block", "at")).alias("first"), F.count_if(is_object).alias("good"), F.count_if(~is_object).alias("bad"))
+        F.min_by("value", F.struct("block", "at")).alias("first"), F.count_if(is_object).alias("good"), F.count_if(~is_object).alias("bad"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     whole = F.startswith("first", F.lit("[")) | (F.col("first") == "{") | ((F.col("good") == 0) & F.startswith("first", F.lit("{")))
-    return found.select("path", (~whole).alias("lines"), F.when(whole, 0).otherwise(F.col("bad")).alias("bad"))
+    return found.select("path", (~whole).alias("lines"), F.when(whole, 0).otherwise(F.col("bad")).alias("bad"), F.startswith("first", F.lit("[")).alias("array"), "utf8")
 
 
 def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool = True, bad_lines: str = "drop", **options) -> DataFrame:
     """JSON files: one object per line, or one document per file, decided file by file when not told.
 
+    A document's elements (or, if it is no array, its values) are found split by split, written one per line and read as lines.
     Lines that are no JSON object are counted in a warning and dropped, or kept as text in the column
     that ``bad_lines`` names.
     """
@@ -113,11 +128,16 @@ def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool
         # One row per file, no more than the file listing that Spark keeps anyway.
         found = scan_json_files(spark, path).collect()
         documents = [r["path"] for r in found if not r["lines"]]
+        split = [r for r in found if not r["lines"] and r["utf8"]] if _plain(options) else []
         records = [r["path"] for r in found if r["lines"]]
         bad = {r["path"]: r["bad"] for r in found if r["bad"]}
         if bad:
             warnings.warn(f"lines that are no JSON object: {bad}", stacklevel=2)
-        parts = [load(p, k) for p, k in ((records, True), (documents, False)) if p]
+        parts = [load(p, k) for p, k in ((records, True), (sorted(set(documents) - {r["path"] for r in split}), False)) if p]
+        if split:
+            folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+            json_records(spark, [r["path"] for r in split], [r["path"] for r in split if r["array"]], folder)
+            parts.append(spark.read.options(**options).json(folder))
         if not parts:
             raise ValueError(f"no JSON content in {path}")
         raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

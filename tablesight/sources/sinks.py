@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesight.functions.nulls import col
@@ -22,6 +23,24 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         "ignoreNullFields", False).json(path)
 
 
+def write_json_documents(df: DataFrame, path: str, mode: str = "errorifexists", pretty: bool = True) -> None:
+    """One JSON array per file, as programs write that dump a list: every task writes its rows as they come."""
+    rows = df.select(F.to_json(F.struct("*"), {"pretty": str(pretty).lower()}).alias("value"))
+
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, some = "[", False
+        for batch in batches:
+            values = []
+            for value in batch.column(0).to_pylist():
+                values.append(f"{mark}\n{value}")
+                mark, some = ",", True
+            yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
+        if some:
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    rows.mapInArrow(frame, "value string").write.mode(mode).text(path)
+
+
 def append_results(results: DataFrame, path: str, session: str = "session_id", run_at: Column | None = None) -> None:
     """Append results, one folder per session; ``run_ts`` tells runs apart."""
     stamped = results.withColumn("run_ts", F.current_timestamp() if run_at is None else run_at)

@@ -50,14 +50,13 @@ def source_parquet(t):
     return readers.read_any(suppliers.sparkSession, path).where("s_acctbal > 1000")
 
 
-@query("source_json_document", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("source_json_document", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def source_json_document(t):
-    """One document over many lines per file, as other programs write them."""
-    nations = t("nation")
-    path = _folder(nations) + ".json"
-    rows = F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*nations.columns), {"pretty": "true"}))), ",\n")
-    nations.groupBy("n_regionkey").agg(F.concat(F.lit("[\n"), rows, F.lit("\n]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return readers.read_any(nations.sparkSession, path).select(*nations.columns)
+    """Arrays over many lines, as other programs write them; each file is read by many tasks."""
+    orders = t("orders").drop("o_orderdate")
+    path = _folder(orders) + ".json"
+    sinks.write_json_documents(orders, path)
+    return readers.read_any(orders.sparkSession, path).select(*orders.columns)
 
 
 @query("source_json_mixed", """
@@ -69,10 +68,9 @@ def source_json_mixed(t):
     line = F.to_json(F.struct("event_id", "event_type"))
     good = F.when(F.col("event_id") % 2 == 0, line).otherwise(F.concat(F.lit(" "), line))
     lines = F.when(F.col("event_id") % 1000 == 0, F.concat(good, F.lit('\n{"event_id": '))).otherwise(good)
-    document = F.concat(F.lit("[\n"), F.array_join(F.collect_list(line), ",\n"), F.lit("]"))
     early = F.col("event_id") % 1000 < 20
     events.where(~early | (F.col("event_id") % 1000 == 0)).select(lines.alias("value")).write.text(path)
-    events.where(early & (F.col("event_id") % 1000 != 0)).groupBy("event_type").agg(document.alias("value")).select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    sinks.write_json_documents(events.where(early & (F.col("event_id") % 1000 != 0)), path, mode="append")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return readers.read_json(events.sparkSession, path, bad_lines="bad").select("event_id", "event_type", "bad")
@@ -144,13 +142,43 @@ def vector_index(t):
     return near.select("vec_id", F.round("distance", 8).alias("distance"))
 
 
-@query("file_catalog", "SELECT DISTINCT 'other' AS kind, '.csv' AS extension, true AS has_data FROM region")
+@query("file_catalog", """
+    SELECT o_orderkey // 1000 AS block, 'other' AS kind, '.txt' AS extension, 1 AS files, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS bytes FROM orders GROUP BY 1""")
 def file_catalog(t):
-    regions = t("region")
-    path = _folder(regions)
-    sinks.write_csv(regions, path)
-    files = catalog.artifact_groups(catalog.list_files(regions.sparkSession, path, pattern="*.csv"))
-    return files.select("kind", "extension", (F.col("size") > 0).alias("has_data")).distinct()
+    """Files of one block of keys each, with their sizes; their contents are not read."""
+    orders = t("orders").select(F.expr("o_orderkey div 1000").alias("block"), F.col("o_orderkey").cast("string").alias("value"))
+    path = _folder(orders)
+    orders.repartition("block").write.partitionBy("block").text(path)
+    files = catalog.artifact_groups(catalog.list_files(orders.sparkSession, path, pattern="*.txt"))
+    block = F.regexp_extract("path", r"block=(\d+)", 1).cast("bigint").alias("block")
+    return files.groupBy(block, "kind", "extension").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("documents_from_files", """
+    SELECT doc_id // 20 AS block, 'txt' AS kind, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+def documents_from_files(t):
+    """Texts written to files of twenty documents each and read back, one row per file."""
+    docs = t("documents").select(F.expr("doc_id div 20").alias("block"), "doc_id", "text")
+    path = _folder(docs)
+    docs.repartition("block").sortWithinPartitions("block", "doc_id").select("block", F.col("text").alias("value")).write.partitionBy("block").text(path)
+    read = documents.read_documents(docs.sparkSession, path, "*.txt")
+    return read.select(F.regexp_extract("path", r"block=(\d+)", 1).cast("bigint").alias("block"), "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("insight_files", """
+    SELECT 'viz_' || c_custkey AS visualization_id, 'Balance of ' || c_name AS title, '/charts/' || c_custkey || '.png' AS png_path,
+        '/charts/' || c_custkey || '.html' AS html_path, [c_mktsegment, c_nationkey::VARCHAR] AS evidence FROM customer""")
+def insight_files(t):
+    """Insights written as records whose links lie in ``references``, and read back."""
+    key = F.col("c_custkey").cast("string")
+    insights = t("customer").select(
+        F.concat(F.lit("viz_"), key).alias("visualization_id"), F.concat(F.lit("Balance of "), "c_name").alias("title"),
+        F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("evidence"),
+        F.struct(F.concat(F.lit("/charts/"), key, F.lit(".png")).alias("png_path")).alias("references"),
+        F.concat(F.lit("/charts/"), key, F.lit(".html")).alias("html_path"))
+    path = _folder(insights) + ".json"
+    sinks.write_insights(insights, path, links=["html_path"])
+    return readers.read_json(insights.sparkSession, path, lines=True, infer=False).select("visualization_id", "title", "references.png_path", "references.html_path", "evidence")
 
 
 @query("question_history", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesight.operators import ml, stats
 from tablesight.operators.profile import column_roles, profile
+from tablesight.operators.vectors import centroids, squared_distance
 from tablesight.workload.charts import rounded
 from tablesight.workload.registry import query
 
@@ -181,3 +182,53 @@ def pca(t):
 @query("normality_test")
 def normality_test(t):
     return ml.normality(t("lineitem"), "l_extendedprice")
+
+
+@query("normality_checked", """
+    WITH standard AS (SELECT c_acctbal AS v, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS z FROM customer),
+    -- Abramowitz and Stegun 7.1.26 for the normal distribution, within 1e-7
+    part AS (SELECT z, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS k FROM standard),
+    normal AS (SELECT z, 1 - (((((1.061405429 * k - 1.453152027) * k) + 1.421413741) * k - 0.284496736) * k + 0.254829592) * k * exp(-x * x) AS erf FROM part),
+    placed AS (SELECT 0.5 * (1 + sign(z) * erf) AS p, row_number() OVER (ORDER BY z) AS i, count(*) OVER () AS n FROM normal)
+    SELECT round(max(greatest(i / n - p, p - (i - 1) / n)), 5) AS statistic, true AS small FROM placed""")
+def normality_checked(t):
+    """The distance to the normal distribution; balances are spread evenly, so chance does not explain it."""
+    return ml.normality(t("customer"), "c_acctbal").select(F.round("statistic", 5).alias("statistic"), (F.col("p_value") < 0.001).alias("small"))
+
+
+@query("kmeans_checked", "SELECT count(*) AS rows, true AS nearest, true AS means FROM embeddings")
+def kmeans_checked(t):
+    """Whether every row is at its nearest centre, and the centres lie at the means of their rows as far as the iteration's tolerance."""
+    rows = ml.clusters(t("embeddings"), "embedding", 10).select("vec_id", "embedding", "cluster")
+    centres = centroids(rows, "cluster", "embedding")
+    # Ten centres; their number is the parameter k.
+    listed = centres.groupBy(F.lit(1).alias("all")).agg(F.collect_list(F.struct("cluster", "centroid")).alias("centres"))
+    rows = rows.withColumn("all", F.lit(1)).join(F.broadcast(listed), "all")
+    distances = F.transform("centres", lambda c: F.struct(squared_distance(c["centroid"], F.col("embedding")).alias("d"), c["cluster"].alias("cluster")))
+    found = rows.withColumn("best", F.array_min(distances)).withColumn(
+        "own", F.filter(distances, lambda d: d["cluster"] == F.col("cluster"))[0]["d"])
+    return found.agg(F.count(F.lit(1)).alias("rows"), (F.avg((F.col("best.cluster") == F.col("cluster")).cast("double")) > 0.9).alias("nearest"),
+                     (F.sum("own") <= F.sum("best.d") * 1.01).alias("means"))
+
+
+_PCA_DIMENSIONS = 64
+
+
+@query("pca_checked", f"""
+    WITH cells AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    centred AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS c FROM cells)
+    SELECT 3 AS components, true AS uncorrelated, true AS falling, round(sum(c * c) / (SELECT count(*) - 1 FROM embeddings), 8) AS total, true AS below FROM centred""")
+def pca_checked(t):
+    """Coordinates on principal components: uncorrelated, of falling variance, each share of the total as told; no axis has more."""
+    rows = t("embeddings")
+    told = ml.explained_variance(rows, "embedding", 3).orderBy("component").collect()  # one row per component
+    on = ml.principal_components(rows, "embedding", 3).select("embedding", *[F.col("components")[i].alias(f"c{i}") for i in range(3)])
+    axes = [F.var_samp(F.col("embedding")[i].cast("double")) for i in range(_PCA_DIMENSIONS)]
+    sums = on.agg(*[F.var_samp(f"c{i}").alias(f"v{i}") for i in range(3)], *[F.abs(F.corr(f"c{i}", f"c{j}")).alias(f"r{i}{j}") for i in range(3) for j in range(i)],
+                  sum(axes[1:], axes[0]).alias("total"), F.greatest(*axes).alias("widest"))
+    shares = F.lit(True)
+    for i, r in enumerate(told):
+        shares = shares & (F.abs(F.col(f"v{i}") / F.col("total") - F.lit(r["explained_variance"])) < 1e-8)
+    return sums.select(
+        F.lit(3).alias("components"), (F.greatest("r10", "r20", "r21") < 1e-6).alias("uncorrelated"),
+        (shares & (F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2"))).alias("falling"), F.round("total", 8).alias("total"), (F.col("widest") <= F.col("v0") + 1e-9).alias("below"))

@@ -86,6 +86,18 @@ def html_text(t):
     return figures.extract_html(t("pages", spread=True), "page_id", "html")
 
 
+@query("html_page_text", r"""
+    SELECT o_orderkey, 'Order ' || o_orderkey || chr(10) || 'about ' || o_orderstatus || chr(10) || 'Head & tail' || chr(10) || 'Order ' || o_orderkey || chr(10) ||
+        'Head & tail' || chr(10) || 'of ' || o_custkey || chr(10) || 'bold' || chr(10) || 'text' || chr(10) || 'a chart' || chr(10) || 'tip' || chr(10) || 'd' || o_orderkey AS text FROM orders""")
+def html_page_text(t):
+    """Title, meta, headings, visible text and attributes in their order; scripts, styles and comments are not text."""
+    key = F.col("o_orderkey").cast("string")
+    page = [F.lit(part) if isinstance(part, str) else part for part in ("<html><head><title>Order ", key, "</title><meta name='d' content='about ", F.col("o_orderstatus"), "'><style>p {}</style></head><body data-id='d", key,
+                 "'><h1>Head &amp; tail</h1><!-- no --><script>var x = '<p>';</script><p title='tip'>of ", F.col("o_custkey").cast("string"), "<b> bold</b> text<img alt='a chart'></body></html>")]
+    pages = t("orders", spread=True).select("o_orderkey", F.concat(*page).alias("html"))
+    return figures.extract_html(pages, "o_orderkey", "html").select("o_orderkey", "text")
+
+
 @query("html_tables", """
     SELECT c_custkey, 0 AS position, CASE c_custkey % 3 WHEN 2 THEN c_custkey || ' ' || c_name || ' | end' ELSE c_custkey || ' | ' || c_name || chr(10) || 'second' END AS rows FROM customer
     UNION ALL SELECT c_custkey, 1, c_name FROM customer WHERE c_custkey % 3 = 2""")

@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 from tablesight.operators import matching
 
 
-def test_containing_equals_brute_force(spark):
+@pytest.mark.parametrize("budget", [matching.AUTOMATON_BYTES, 0])
+def test_containing_equals_brute_force(spark, budget):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("ab_") for _ in range(n))
     hay = sorted({word(rng.randint(0, 12)) for _ in range(60)})
     needles = sorted({word(rng.randint(1, 5)) for _ in range(40)})
-    out = matching.containing(spark.createDataFrame([(h,) for h in hay], "h string"), "h",
-                              spark.createDataFrame([(n,) for n in needles], "n string"), "n")
-    assert values(out, "h", "n") == sorted((h, n) for h in hay for n in needles if n in h)
+    out = matching.containing(spark.createDataFrame([(h,) for h in [*hay, None, "aaa" * 3000]], "h string"), "h",
+                              spark.createDataFrame([(n,) for n in [*needles, None, ""]], "n string"), "n", budget)
+    assert values(out, "h", "n") == sorted((h, n) for h in [*hay, "aaa" * 3000] for n in needles if n in h)
+    more = spark.createDataFrame([(n, len(n)) for n in needles], "n string, size int")
+    out = matching.containing(spark.createDataFrame([(h, "x") for h in hay], "h string, other string"), "h", more, "n", budget)
+    assert values(out, "h", "other", "n", "size") == sorted((h, "x", n, len(n)) for h in hay for n in needles if n in h)
 
 
-def test_no_needles(spark):
+@pytest.mark.parametrize("budget", [matching.AUTOMATON_BYTES, -1])
+def test_no_needles(spark, budget):
     hay = spark.createDataFrame([("abc",)], "h string")
-    assert matching.containing(hay, "h", spark.createDataFrame([], "n string"), "n").count() == 0
+    assert matching.containing(hay, "h", spark.createDataFrame([], "n string"), "n", budget).count() == 0
+
+
+def test_only_pairs_are_shuffled(spark):
+    hay = spark.createDataFrame([("abc", 1)], "h string, i int")
+    plan = matching.containing(hay, "h", spark.createDataFrame([("b",)], "n string"), "n")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
 
 
 def test_kept_charts(spark):
