@@ -30,9 +30,14 @@ HEAD, WHOLE, TAIL = 0, 1, 2
 Cut = tuple[bytes | None, list[bytes], bytes | None]
 
 
+def decoded_path(path: Column) -> Column:
+    """A path as it can be read again; Spark reports it encoded like a URL."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_path() -> Column:
-    """The path of a row's file as it can be read again; Spark reports it encoded like a URL."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    """The path of a row's file."""
+    return decoded_path(F.col("_metadata.file_path"))
 
 
 class CsvScan:

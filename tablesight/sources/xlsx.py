@@ -1,7 +1,8 @@
 """Excel workbooks: first sheet as a table of strings.
 
-Spark lists and reads the files (``binaryFile``), so any file system works; one task parses one workbook
-at a time. A sheet holds at most about a million rows, which bounds the work per file.
+Spark lists the files. A task opens one workbook at a time and streams its sheet, row by row, into batches; only the workbook's shared
+strings are held. Where tasks can't open a path themselves, Spark reads the file as one value. A sheet holds at most about a million rows,
+which bounds the work per file.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablesight.sources.feather import can_open, files_under, open_file
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # Numbers of the built-in date formats.
@@ -72,21 +76,24 @@ def _number(text: str, as_date: bool, is_1904: bool) -> str:
     return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
 
 
-def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    """Rows of the first sheet as text; empty cells are None."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def sheet_rows(source) -> Iterator[list[str | None]]:
+    """Rows of the first sheet as text, read as they are asked for; empty cells are None. ``source`` is a path or the file's bytes."""
+    with closing(io.BytesIO(source) if isinstance(source, bytes) else open_file(source)) as file, zipfile.ZipFile(file) as book:
         strings, dates = _strings(book), _date_styles(book)
         path, is_1904 = _first_sheet(book)
         with book.open(path) as stream:
-            for _, node in ElementTree.iterparse(stream):
-                if node.tag != f"{_MAIN}row":
+            sheet = None
+            for event, node in ElementTree.iterparse(stream, ("start", "end")):
+                if node.tag == f"{_MAIN}sheetData" and event == "start":
+                    sheet = node
+                if node.tag != f"{_MAIN}row" or event == "start":
                     continue
                 row: list[str | None] = []
                 for cell in node.iter(f"{_MAIN}c"):
                     at = _column_index(cell.get("r")) if cell.get("r") else len(row)
                     row.extend([None] * (at + 1 - len(row)))
                     row[at] = _cell(cell, strings, dates, is_1904)
-                node.clear()
+                sheet.clear()  # else the rows read so far stay in it
                 yield row
 
 
@@ -123,11 +130,18 @@ def _names(header: list[str | None]) -> list[str]:
 
 def read_xlsx(spark: SparkSession, path) -> DataFrame:
     """All workbooks under a path as strings; columns are the union of their headers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    files = files_under(spark, path, "*.xlsx").select("path")
+    one = files.first()
+    if one is not None and not can_open(one["path"]):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content")
+    elif one is not None:
+        # One task per workbook: they are listed as rows, not read as splits.
+        files = files.repartition(max(min(files.count(), 10_000), 1), "path")
+    source = files.columns[0]
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for content in batch[source]:
                 names = _names(next(sheet_rows(content), []))
                 yield pd.DataFrame({"position": range(len(names)), "name": names})
 
@@ -139,7 +153,7 @@ def read_xlsx(spark: SparkSession, path) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for content in batch[source]:
                 lines = sheet_rows(content)
                 names = _names(next(lines, []))
                 block: list[dict] = []

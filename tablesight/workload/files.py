@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 import warnings
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tablesight.functions.storage import shared_folder, with_global_rank
 from tablesight.operators.charts import run_report
 from tablesight.operators.vectors import nearest_to
-from tablesight.sources import catalog, documents, readers, sinks
+from tablesight.sources import catalog, documents, feather, readers, sinks
 from tablesight.workload.registry import query
 
 
@@ -50,6 +56,49 @@ def source_parquet(t):
     return readers.read_any(suppliers.sparkSession, path).where("s_acctbal > 1000")
 
 
+@query("source_feather", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 25")
+def source_feather(t):
+    """Files of many record batches, of which tasks read their own and only the wanted columns."""
+    lines = t("lineitem")
+    path = _folder(lines)
+    feather.write_feather(lines, path)
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    return feather.read_feather(lines.sparkSession, path, columns).where("l_quantity > 25")
+
+
+def _workbooks(batches: Iterator[pa.RecordBatch], path: str, header: list[str]) -> Iterator[pa.RecordBatch]:
+    """Writes the rows of a task as one workbook, the cells as text or numbers."""
+    def cell(value) -> str:
+        if value is None:
+            return "<c/>"
+        return f"<c><v>{value}</v></c>" if isinstance(value, (int, float)) else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    main, relations = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = [f"<row>{''.join(map(cell, header))}</row>"]
+    for batch in batches:
+        rows += [f"<row>{''.join(map(cell, row))}</row>" for row in zip(*(c.to_pylist() for c in batch.columns))]
+    if len(rows) > 1:
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="A" sheetId="1" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                          '<Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>')
+            book.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(rows)}</sheetData></worksheet>')
+        yield feather.put_file(path, f"part-{TaskContext.get().partitionId():05d}.xlsx", file.getvalue())
+
+
+@query("source_excel", """
+    SELECT o_orderkey, o_orderpriority || ' & <' || o_orderstatus || '>' AS note, CASE WHEN o_custkey % 2 = 0 THEN o_totalprice END AS price FROM orders""")
+def source_excel(t):
+    """Workbooks of one block of keys each, streamed row by row into typed columns."""
+    orders = t("orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(" & <"), "o_orderstatus", F.lit(">")).alias("note"),
+                                F.when(F.col("o_custkey") % 2 == 0, F.col("o_totalprice")).alias("price"))
+    path, header = _folder(orders), orders.columns
+    blocks = orders.repartitionByRange(max(1, orders.count() // 5_000), "o_orderkey")
+    blocks.mapInArrow(lambda batches: _workbooks(batches, path, header), "file string").count()
+    return readers.READERS[".xlsx"](orders.sparkSession, path)
+
+
 @query("source_json_document", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def source_json_document(t):
     """Arrays over many lines, as other programs write them; each file is read by many tasks."""

@@ -1,3 +1,4 @@
+import io
 import zipfile
 
 import pyarrow as pa
@@ -7,7 +8,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from tablesight.operators.hooks import chain, first_success, run_sql
-from tablesight.sources import catalog, documents, readers, sinks
+from tablesight.sources import catalog, documents, feather, readers, sinks
 from tablesight.sources.synthetic import synthetic_sales
 
 
@@ -110,6 +111,45 @@ def test_feather(spark, tmp_path):
     assert readers._FEATHER(spark, str(tmp_path)).count() == 4
 
 
+def test_feather_batches_are_shared_by_tasks(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 3).selectExpr("id", "cast(id % 7 AS string) AS s", "id * 0.5 AS f", "CASE WHEN id % 5 > 0 THEN array(id) END AS a")
+    feather.write_feather(df, str(tmp_path / "t"))
+    feather.write_feather(df, str(tmp_path / "t"))  # again: files are replaced
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == [f"part-0000{k}.feather" for k in range(3)]
+    read = feather.read_feather(spark, str(tmp_path / "t"))
+    assert read.dtypes == df.dtypes and values(read) == values(df)
+    pruned = feather.read_feather(spark, str(tmp_path / "t"), ["f", "id"])
+    assert pruned.columns == ["f", "id"] and values(pruned, "id") == values(df, "id")
+
+
+def test_large_feather_file_is_many_partitions(spark, tmp_path):
+    table = pa.table({"i": range(1000)})
+    pyarrow.feather.write_feather(table, str(tmp_path / "a.feather"), chunksize=10)
+    read = feather.read_feather(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(r["i"] for r in read.collect()) == list(range(1000))
+
+
+def test_files_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    from tablesight.sources import xlsx
+
+    pyarrow.feather.write_feather(pa.table({"i": [1, 2], "s": ["a", None]}), str(tmp_path / "a.feather"))
+    workbook(tmp_path / "b.xlsx")
+    wanted = values(xlsx.read_xlsx(spark, str(tmp_path)))
+    for module in (feather, xlsx):
+        monkeypatch.setattr(module, "can_open", lambda path: False)
+    assert values(feather.read_feather(spark, str(tmp_path), ["s"])) == [("a",), (None,)]
+    assert values(xlsx.read_xlsx(spark, str(tmp_path))) == wanted and len(wanted) == 2
+
+
+def test_sheet_is_streamed():
+    from tablesight.sources.xlsx import sheet_rows
+
+    rows = "".join(f'<row><c><v>{k}</v></c></row>' for k in range(50_000))
+    file = io.BytesIO()
+    workbook(file, f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+    assert sum(int(r[0]) for r in sheet_rows(file.getvalue())) == sum(range(50_000))
+
+
 def test_context_order(spark, tmp_path):
     csv = write(tmp_path / "a.csv", "a\n1\n")
     tsv = write(tmp_path / "a.tsv", "b\n1\n")
