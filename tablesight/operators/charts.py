@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Mapping
 from dataclasses import replace
@@ -17,6 +18,9 @@ from tablesight.plans import ChartSpec, Guide, SchemaRoles, SpecError, make_spec
 PREVIEW_ROWS = 50
 TABLE_ROWS = 20
 _GRID_BLOCK = 1_000
+# A heatmap of more cells shows ranges of numbers and times, and the largest of other values.
+MOST_CELLS = 1_000_000
+OTHERS = "(others)"
 
 
 def chart_data(df: DataFrame, spec: Mapping[str, Any] | ChartSpec, roles: SchemaRoles | None = None,
@@ -145,8 +149,51 @@ def grid(sums: DataFrame, x: str, y: str, value: str, fill: float = 0.0) -> Data
     )
 
 
-def heatmap(df: DataFrame, spec: ChartSpec) -> DataFrame:
-    """Sum of the value in each cell of the full x × y grid; null keys are dropped."""
+def coarse_cells(sums: DataFrame, x: str, y: str, value: str, most_cells: int) -> DataFrame:
+    """Sums per cell of a grid that has at most ``most_cells`` cells; a grid that has no more stays as it is.
+
+    The axis with fewer values keeps them while they fit, the other is divided: numbers and times into ranges of equal width, known by
+    where they begin; of other values those with the largest sums stay (ties: the smaller), the rest is ``OTHERS``.
+    """
+    nx, ny = sums.agg(F.count_distinct(col(x)), F.count_distinct(col(y))).first()
+    if nx * ny <= most_cells:
+        return sums
+    side = max(1, math.isqrt(most_cells))
+    few = max(1, min(nx, ny, side))
+    sizes = {x: few if nx <= ny else max(1, most_cells // few), y: few if ny < nx else max(1, most_cells // few)}
+    for name, n in ((x, nx), (y, ny)):
+        if n > sizes[name]:
+            label = _ranges if _is_scale(sums, name) else _largest
+            sums = label(sums, name, value, sizes[name])
+    return sums.groupBy(col(x), col(y)).agg(F.sum(col(value)).alias(value))
+
+
+def _is_scale(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _ranges(sums: DataFrame, name: str, value: str, n: int) -> DataFrame:
+    number, dtype = _number(sums, name), sums.schema[name].dataType
+    lo, hi = sums.agg(F.min(number), F.max(number)).first()
+    begin = F.lit(lo) + F.least(F.floor((number - lo) / (hi - lo) * n), F.lit(n - 1)) * ((hi - lo) / n)
+    if not isinstance(dtype, T.NumericType):
+        begin = F.timestamp_micros((begin * 1e6).cast("long")).cast("timestamp" if isinstance(dtype, T.TimestampType) else "timestamp_ntz")
+    return sums.withColumn(name, begin)
+
+
+def _largest(sums: DataFrame, name: str, value: str, n: int) -> DataFrame:
+    # As many rows as an axis has values.
+    top = (sums.groupBy(col(name).cast("string").alias("_key")).agg(F.sum(col(value)).alias("_sum"))
+           .orderBy(F.desc("_sum"), "_key").limit(n - 1).select("_key"))
+    known = sums.join(F.broadcast(top), col(name).cast("string") == F.col("_key"), "left")
+    return known.withColumn(name, F.coalesce("_key", F.lit(OTHERS))).drop("_key")
+
+
+def heatmap(df: DataFrame, spec: ChartSpec, most_cells: int | None = MOST_CELLS) -> DataFrame:
+    """Sum of the value in each cell of the full x × y grid; null keys are dropped.
+
+    A grid of more than ``most_cells`` is made coarser, see ``coarse_cells``; ``None`` asks for the exact one of any size.
+    """
     if _missing(df, spec, spec.x, spec.y, spec.value):
         return preview(df, spec.limit)
     data = run_stages(df, replace(spec, sort_by=()))
@@ -156,6 +203,8 @@ def heatmap(df: DataFrame, spec: ChartSpec) -> DataFrame:
         data.where(col(spec.x).isNotNull() & col(spec.y).isNotNull())
         .groupBy(col(spec.x), col(spec.y)).agg(sum_or_zero(col(spec.value)).cast("double").alias(spec.value))
     )
+    if most_cells is not None:
+        sums = coarse_cells(store(sums), spec.x, spec.y, spec.value, most_cells)
     return grid(sums, spec.x, spec.y, spec.value).orderBy(col(spec.y), col(spec.x))
 
 

@@ -12,6 +12,9 @@ from tablesight.functions.nulls import col, join_on, sum_or_zero
 from tablesight.operators.quantiles import exact_quantiles
 from tablesight.plans.spec import ChartSpec, SpecError
 
+# A cross table has at most so many columns; more values of the head column have to be named, or gathered in one column.
+MOST_HEADS = 10_000
+
 _ANY_TYPE = ("count", "size", "min", "max", "nunique", "first", "last")
 
 
@@ -150,10 +153,11 @@ def _one_row(df: DataFrame, plan) -> DataFrame:
 
 
 def pivot(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfunc: str = "sum",
-          fill_value: Any = 0, heads: Sequence[Any] | None = None) -> DataFrame:
+          fill_value: Any = 0, heads: Sequence[Any] | None = None, most_heads: int = MOST_HEADS, other: str | None = None) -> DataFrame:
     """Cross table. Null keys are dropped; every other observed key stays; empty cells get ``fill_value``.
 
-    The columns are ``heads``, or all observed keys: one per column of the result.
+    The columns are ``heads``, or all observed keys: one per column of the result. Of more than ``most_heads`` keys the most frequent ones
+    stay (ties: the smaller), and the rows of all others make the column ``other``; without such a name they are refused.
     """
     kept = df.where(col(columns).isNotNull())
     for k in index:
@@ -161,7 +165,13 @@ def pivot(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfun
     plan = [(values, aggfunc, values)]
     _check(df, [*index, columns], plan)
     if heads is None:
-        heads = [h[0] for h in kept.select(col(columns)).distinct().orderBy(col(columns)).collect()]
+        counted = kept.groupBy(col(columns).alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
+        frequent = counted.orderBy(F.desc("_n"), "_head").limit(most_heads + 1).select("_head")
+        heads = [h[0] for h in frequent.orderBy("_head").collect()]
+        if len(heads) > most_heads:
+            if other is None:
+                raise SpecError(f"{columns} has more than {most_heads} values: name the heads, or a column for the others")
+            kept, heads = _gathered(kept, columns, frequent.limit(most_heads), other)
     cell = aggregate_function(aggfunc, col(values)) if aggfunc != "sum" else F.sum(col(values))
     # Aggregating per (index, column) first keeps the pivot itself on the small result.
     cells = kept.groupBy(*[col(k) for k in index], col(columns)).agg(cell.alias("_cell"))
@@ -173,6 +183,14 @@ def pivot(df: DataFrame, index: Sequence[str], columns: str, values: str, aggfun
                        *[F.coalesce(col(c), F.lit(fill_value)).alias(c) for c in names])
 
 
+def _gathered(df: DataFrame, name: str, frequent: DataFrame, other: str) -> tuple[DataFrame, list[str]]:
+    """The table with all keys but the frequent ones replaced by ``other``, and the keys in order. As many as columns, so they are broadcast."""
+    as_text = frequent.select(col("_head").cast("string").alias("_text"), "_head")
+    heads = [h[0] for h in as_text.orderBy("_head").select("_text").collect()]
+    known = df.join(F.broadcast(as_text.select("_text")), col(name).cast("string") == F.col("_text"), "left")
+    return known.withColumn(name, F.coalesce("_text", F.lit(other))).drop("_text"), [*(h for h in heads if h != other), other]
+
+
 def sort_rows(df: DataFrame, by: Sequence[str], ascending: bool = True) -> DataFrame:
     """Sort with missing values last; a key that is not a column leaves the table as it is."""
     if not by or any(b not in df.columns for b in by):

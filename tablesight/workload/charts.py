@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tablesight.operators.charts import (
-    chart_data, collapse_bars, run_report, trend_line, with_group_value, with_share)
+    chart_data, collapse_bars, heatmap, run_report, trend_line, with_group_value, with_share)
 from tablesight.operators.stages import aggregate, aggregate_all, filter_rows, pivot
 from tablesight.operators.summary import chart_summary, compare_groups, findings, kpis, top_performers
-from tablesight.plans import build_guide, repair_guide
+from tablesight.plans import build_guide, make_spec, repair_guide, schema_roles
 from tablesight.workload.registry import query
 
 
@@ -109,6 +109,32 @@ def heatmap_grid(t):
     return rounded(chart_data(t("events"), spec), 2, "value")
 
 
+@query("heatmap_ranges", """
+    WITH cells AS (SELECT o_orderpriority, o_totalprice, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+    ends AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+    ranges AS (SELECT o_orderpriority, least(floor((o_totalprice - lo) / (hi - lo) * 20), 19) AS bin, sum(v) AS v FROM cells, ends GROUP BY ALL),
+    axis AS (SELECT DISTINCT bin FROM ranges), kinds AS (SELECT DISTINCT o_orderpriority FROM orders)
+    SELECT k.o_orderpriority, round(lo + a.bin * ((hi - lo) / 20), 4) AS price_from, round(coalesce(v, 0), 2) AS value
+    FROM kinds k CROSS JOIN axis a CROSS JOIN ends LEFT JOIN ranges r ON r.bin = a.bin AND r.o_orderpriority = k.o_orderpriority""")
+def heatmap_ranges(t):
+    """A heatmap of five kinds by very many prices, of at most a hundred cells."""
+    spec = make_spec({"type": "heatmap", "x": "o_orderpriority", "y": "price", "value": "o_totalprice", "compute": {"price": "o_totalprice"}}, schema_roles(t("orders")))
+    cells = heatmap(t("orders"), spec, most_cells=100)
+    return cells.select("o_orderpriority", F.round("price", 4).alias("price_from"), F.round("o_totalprice", 2).alias("value"))
+
+
+@query("pivot_others", """
+    WITH top AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 3)
+    SELECT o_orderstatus, round(sum(o_totalprice) FILTER (o_custkey IN (FROM top)), 2) AS frequent, round(sum(o_totalprice) FILTER (o_custkey NOT IN (FROM top)), 2) AS others
+    FROM orders GROUP BY 1""")
+def pivot_others(t):
+    """A cross table over very many customers: three of them have a column of their own."""
+    wide = pivot(t("orders"), ["o_orderstatus"], "o_custkey", "o_totalprice", fill_value=None, most_heads=3, other="others")
+    own = [F.coalesce(F.col(c), F.lit(0.0)) for c in wide.columns[1:-1]]
+    none = [F.col(c).isNull() for c in wide.columns[1:-1]]
+    return wide.select("o_orderstatus", F.when(~(none[0] & none[1] & none[2]), F.round(own[0] + own[1] + own[2], 2)).alias("frequent"), F.round("others", 2).alias("others"))
+
+
 @query("treemap_rollup", """
     SELECT r_name, n_name, c_mktsegment,
            (3 - grouping(r_name) - grouping(n_name) - grouping(c_mktsegment))::INT AS level,

@@ -70,6 +70,18 @@ def test_grid_of_many_blocks(spark, monkeypatch):
     assert len({r[:2] for r in rows}) == 100
 
 
+def test_grids_are_bounded(spark):
+    rows = spark.sql("SELECT id % 30 AS x, concat('k', id % 40) AS y, 1.0D AS v, timestamp_seconds(id) AS ts, cast(id AS decimal(9, 0)) AS d FROM range(1200)")
+    spec = lambda x, y: charts.make_spec({"type": "heatmap", "x": x, "y": y, "value": "v"}, charts.schema_roles(rows))
+    for x, y in (("x", "y"), ("ts", "y"), ("d", "y"), ("y", "ts"), ("x", "ts")):
+        for most in (1, 7, 100, 5_000):
+            cells = charts.heatmap(rows, spec(x, y), most).collect()
+            assert len(cells) <= most and sum(r["v"] for r in cells) == 1200.0
+    assert charts.heatmap(rows, spec("x", "y"), None).count() == charts.heatmap(rows, spec("x", "y")).count() == 1200
+    labels = {r["y"] for r in charts.heatmap(rows, spec("x", "y"), 60).collect()}
+    assert charts.OTHERS in labels and "k0" in labels
+
+
 def test_treemap_levels_add_up(df):
     out = chart_data(df, {"type": "treemap", "path": ["g", "c"], "value": "v"})
     totals = {r["level"]: r["s"] for r in out.groupBy("level").agg(F.sum("value").alias("s")).collect()}

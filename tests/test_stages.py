@@ -86,6 +86,16 @@ def test_pivot(df, spark):
     assert stages.pivot(df, ["g"], "c", "v", heads=["q"]).columns == ["g", "q"]
 
 
+def test_pivot_of_many_heads(spark):
+    df = spark.createDataFrame([("a", h, 1.0) for h in [1, 1, 1, 2, 2, 3, 4]] + [("b", 4, 5.0), ("b", None, 9.0)], "g string, h int, v double")
+    with pytest.raises(SpecError, match="more than 2 values"):
+        stages.pivot(df, ["g"], "h", "v", most_heads=2)
+    out = stages.pivot(df, ["g"], "h", "v", most_heads=2, other="rest")
+    assert out.columns == ["g", "1", "2", "rest"]
+    assert values(out) == [("a", 3.0, 2.0, 2.0), ("b", 0.0, 0.0, 5.0)]
+    assert stages.pivot(df, ["g"], "h", "v", most_heads=4).columns == ["g", "1", "2", "3", "4"]
+
+
 def test_sorting(df):
     assert [r["v"] for r in stages.sort_rows(df, ["v"]).collect()][-2:] == [None, None]
     assert [r["v"] for r in stages.sort_rows(df, ["v"], False).collect()][-2:] == [None, None]
