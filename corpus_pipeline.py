@@ -12,8 +12,15 @@ from tablesight.llm import jaccard, mixing, packing, secrets, toxicity
 from tablesight.llm.queries import ranks_path
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labelled ones does not find toxic."""
+    """Documents that a model of the labelled ones does not find toxic. Null and empty texts are scored as empty; repeated rows stay as often as given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.fit(docs, labels))
 
@@ -24,28 +31,30 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are known by a number that is stored with them, so null and repeated ids are no exception, and all
     jobs see the same numbers however the files are split.
     """
-    rows = store(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard.link(rows, id_col="_row", ngram=5, percent=80)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    stays = (rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-             .select(F.col("first._row").alias("_row")))
-    return rows.join(stays, "_row", "left_semi").select(docs.columns)
+    row = _unused(docs, "_row")
+    rows = store(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard.link(rows, id_col=row, ngram=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    stays = (rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("first"))
+             .select(F.col("first")[row].alias(row)))
+    return rows.join(stays, row, "left_semi").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced; the recorded length follows."""
-    old = docs.withColumn("_old", F.length("text"))
-    masked = secrets.redact(old).withColumn("n_chars", F.when(F.length("text") != F.col("_old"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    """All documents, secrets in their texts replaced; the recorded length follows. Null texts stay null."""
+    before = _unused(docs, "_before")
+    masked = secrets.redact(docs.withColumn(before, F.length("text")))
+    masked = masked.withColumn("n_chars", F.when(F.length("text") != F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is a source, a null text has no words."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents with their sequence and place."""
+    """Pieces of the tokenised documents with their sequence and place; a null or empty text is one piece of its end token."""
     return packing.pack(packing.tokenise(docs, ranks_path()))
 
 
