@@ -6,7 +6,8 @@ original vectors in double precision, and count as linked from the wanted cosine
 vectors, so that buckets stay small. Parts are added until pairs at the wanted cosine, made from the sample, meet as often as wanted
 in the learned codes: a mean that the vectors share makes such pairs differ in more bits than their angle says.
 
-Equal vectors are one class. Defined results: vectors that cannot be used (see ``vectors.usable``), have another
+Equal vectors of a label are one class, known by its smallest id and a number of its own: an id may occur with several vectors and labels,
+and each of them is a vector by itself, with its own links and component. Defined results: vectors that cannot be used (see ``vectors.usable``), have another
 length than most, a null label or a null id link with nothing; repeated rows are copies of each other;
 an empty table gives no rows; other columns are ignored.
 """
@@ -160,7 +161,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                           F.col(vector_col).cast("array<double>").alias("vector"))
     part_of = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))
     valid = same_length(rows.where(part_of))
-    classes = store(valid.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    # Stored, so that the numbers stay. Nodes compare by their smallest id first, which names components.
+    classes = store(valid.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+                    .withColumn("node", F.struct("least", F.monotonically_increasing_id().alias("number"))).drop("least"))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     unit = sample(classes, "node", rows=sample_rows)
     codes = learn(unit / np.linalg.norm(unit, axis=1, keepdims=True), most, cosine) if len(unit) else None
@@ -172,9 +175,8 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                 keys = codes.keys(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.tolist(), pa.list_(pa.int64()))], names=["node", "keys"])
 
-    # Ids may repeat in several classes, so a class is known by its label, too.
     keyed = store(classes.select(F.struct("label", "node").alias("node"), "vector")
-                  .mapInArrow(cut, "node struct<label:string,node:long>, keys array<long>").select("node.label", "node.node", "keys"))
+                  .mapInArrow(cut, f"node struct<label:string,node:{NODE}>, keys array<long>").select("node.label", "node.node", "keys"))
     spread = keyed.select("label", "node", F.posexplode("keys").alias("part", "key"))
     buckets = (spread.groupBy("label", "part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
                .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"))
@@ -210,15 +212,17 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         if len(held) > 1 and (found := solve(at, held)):
             yield pa.RecordBatch.from_pylist([dict(zip(("label", "a", "b", "n"), f)) for f in found], LINKS)
 
-    links = store(blocks.select(*bucket, "node", "side", "copies", "keys", "vector").mapInArrow(compare, "label string, a long, b long, n long"))
+    links = store(blocks.select(*bucket, "node", "side", "copies", "keys", "vector").mapInArrow(compare, f"label string, a {NODE}, b {NODE}, n long"))
     named = components(links.where(F.col("b").isNotNull()))
     counts = links.where(F.col("b").isNull()).groupBy("label", F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     known = (classes.join(counts, ["label", "node"], "left").join(named, "node", "left")
-             .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+             .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node")["least"].alias("component")))
     return (rows.join(known, ["label", "vector"], "left")
             .select(F.col("id").alias(id_col), F.when(part_of, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
                     F.when(part_of, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
 
 
-LINKS = pa.schema([("label", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+NODE = "struct<least:long,number:long>"
+_NODE = pa.struct([("least", pa.int64()), ("number", pa.int64())])
+LINKS = pa.schema([("label", pa.string()), ("a", _NODE), ("b", _NODE), ("n", pa.int64())])

@@ -126,6 +126,15 @@ def test_numbers_of_rows_outlive_another_split(spark, documents, tmp_path, monke
     assert kept == list(range(60))
 
 
+def test_own_columns_with_the_names_of_helpers_stay(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2 and more words", None, "a", 40, 7, 3), (2, "other text altogether, five words", None, "a", 34, 8, 4)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _row int, _before int")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._row) for r in kept.collect()) == [(1, 7), (2, 8)]
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert masked.columns == docs.columns and sorted((r.doc_id, r._before) for r in masked.collect()) == [(1, 3), (2, 4)]
+
+
 def test_secrets_are_masked(stages):
     from tablesight.llm import secrets
 

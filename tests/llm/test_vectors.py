@@ -138,6 +138,20 @@ def test_repeated_rows_and_empty_table(vectors):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(4, 2, 4, True), (4, 2, 4, True), (8, 0, 8, True), (9, 2, 4, False)]
 
 
+def test_one_id_with_several_vectors_and_labels(vectors):
+    random = np.random.default_rng(8)
+    rows = [(k, random.normal(size=64).tolist(), 1) for k in range(2, 59)]
+    # Id 1 with two unrelated vectors; no pair is near.
+    got = codes.link(vectors([(1, random.normal(size=64).tolist(), 1), (1, random.normal(size=64).tolist(), 1), *rows])).collect()
+    assert len(got) == 59 and all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in got)
+    a, b, c = np.eye(3).tolist()
+    near_a, near_b = [1.0, 0.05, 0.0], [0.05, 1.0, 0.0]
+    # Id 5 links one way under label 1 and another under label 2, and its vector c with nothing.
+    given = [(5, a, 1), (3, near_a, 1), (5, b, 2), (7, near_b, 2), (5, c, 1), (5, a, None), (9, a, 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in codes.link(vectors(given)).collect())
+    assert got == sorted([(5, 1, 3, False), (3, 1, 3, True), (5, 1, 5, True), (7, 1, 5, False), (5, 0, 5, True), (5, 0, 5, True), (9, 0, 9, True)])
+
+
 def test_queries(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     x, ids = np.array([v for _, v, _ in rows], float), np.array([i for i, *_ in rows])
