@@ -174,4 +174,5 @@ def page_text() -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) != "", text)
+    """The text unless it is blank. Bound to a name, so that a costly text is made only once."""
+    return F.transform(F.array(text), lambda t: F.when(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")) != "", t))[0]

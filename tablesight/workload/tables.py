@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tablesight.functions.nulls import na_tokens_to_null
-from tablesight.operators import clean, features, hooks, profile as profiles
+from tablesight.functions.storage import shared_folder
+from tablesight.operators import clean, features, hooks, profile as profiles, sketches
 from tablesight.operators.quantiles import exact_quantiles
 from tablesight.operators.stages import aggregate
 from tablesight.operators.typing import decide_types, infer_types, type_shares
@@ -332,3 +335,25 @@ def user_function(t):
 
     hooks.register_function(parts.sparkSession, "doubled", doubled)
     return features.derive(parts, {"score": "doubled(p_retailprice) + p_size"}).select("p_partkey", "score")
+
+
+@query("profile_merged", """
+    SELECT 'l_quantity' AS name, count(*) AS rows, count_if(l_quantity IS NULL)::BIGINT AS nulls, true AS distinct_near, true AS median_near FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', count(*), count_if(l_extendedprice IS NULL), true, true FROM lineitem
+    UNION ALL SELECT 'l_partkey', count(*), count_if(l_partkey IS NULL), true, true FROM lineitem""")
+def profile_merged(t):
+    """Sketches of seven parts, stored one after the other and merged, against exact counts and ranks within the stated errors."""
+    columns = ["l_quantity", "l_extendedprice", "l_partkey"]
+    lines = t("lineitem").select("l_orderkey", *columns)
+    path = f"{shared_folder(lines.sparkSession)}/{uuid.uuid4().hex}"
+    part = F.col("l_orderkey") % 7
+    for some in (part < 5, part >= 5):
+        sketches.append_sketches(sketches.sketch(lines.where(some), part, columns), path)
+    found = sketches.merged(sketches.read_sketches(lines.sparkSession, path))
+    medians = {r["name"]: r["median"] for r in found.select("name", F.col("quantiles")[1].alias("median")).collect()}  # one row per column
+    exact = lines.agg(*[F.struct(F.count_distinct(c).alias("n"), F.avg((F.col(c) < medians[c]).cast("double")).alias("below"),
+                                 F.avg((F.col(c) <= medians[c]).cast("double")).alias("upto")).alias(c) for c in columns])
+    checks = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("exact")) for c in columns])))
+    near = F.abs(F.col("unique_count") - F.col("exact.n")) <= F.col("exact.n") * sketches.DISTINCT_ERROR
+    median = (F.col("exact.below") <= 0.5 + sketches.RANK_ERROR) & (F.col("exact.upto") >= 0.5 - sketches.RANK_ERROR)
+    return found.join(checks, "name").select("name", "rows", "nulls", near.alias("distinct_near"), median.alias("median_near"))
