@@ -201,10 +201,8 @@ def kmeans_checked(t):
     """Whether every row is at its nearest centre, and the centres lie at the means of their rows as far as the iteration's tolerance."""
     rows = ml.clusters(t("embeddings"), "embedding", 10).select("vec_id", "embedding", "cluster")
     centres = centroids(rows, "cluster", "embedding")
-    # Ten centres; their number is the parameter k.
-    listed = centres.groupBy(F.lit(1).alias("all")).agg(F.collect_list(F.struct("cluster", "centroid")).alias("centres"))
-    rows = rows.withColumn("all", F.lit(1)).join(F.broadcast(listed), "all")
-    distances = F.transform("centres", lambda c: F.struct(squared_distance(c["centroid"], F.col("embedding")).alias("d"), c["cluster"].alias("cluster")))
+    listed = centres.collect()  # ten rows; their number is the parameter k
+    distances = F.array(*[F.struct(squared_distance(F.lit(list(r["centroid"])), F.col("embedding")).alias("d"), F.lit(r["cluster"]).alias("cluster")) for r in listed])
     found = rows.withColumn("best", F.array_min(distances)).withColumn(
         "own", F.filter(distances, lambda d: d["cluster"] == F.col("cluster"))[0]["d"])
     return found.agg(F.count(F.lit(1)).alias("rows"), (F.avg((F.col("best.cluster") == F.col("cluster")).cast("double")) > 0.9).alias("nearest"),
