@@ -146,10 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             found = _sparse(batch, 0, 1, known)
             yield pa.RecordBatch.from_arrays([
                 batch.column(2), pa.array([i.astype("int32") for i, _ in found], pa.list_(pa.int32())),
-                pa.array([x.astype("float32") for _, x in found], pa.list_(pa.float32()))], names=["label", "i", "x"])
+                pa.array([x.astype("float32") for _, x in found], pa.list_(pa.float32())), batch.column(3)], names=["label", "i", "x", "place"])
 
-    chosen = rows.select("text", F.col("recorded").cast("long").alias("recorded"), "label")
-    sample = chosen.mapInArrow(sparse, "label int, i array<int>, x array<float>").toPandas()
+    chosen = rows.select("text", F.col("recorded").cast("long").alias("recorded"), "label", F.xxhash64("id").alias("place"))
+    # Rows are learned in the order of a hash, however they are partitioned.
+    sample = chosen.mapInArrow(sparse, "label int, i array<int>, x array<float>, place long").toPandas().sort_values("place", kind="stable")
     return train([(np.asarray(i), np.asarray(x)) for i, x in zip(sample["i"], sample["x"])], sample["label"].to_numpy(float))
 
 

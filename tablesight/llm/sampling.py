@@ -20,18 +20,20 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
                   rows_per_class: int = ROWS_PER_CLASS, **others: str) -> DataFrame:
-    """``(id, text, label)``, and ``others`` as name to column, of at most ``rows_per_class`` ids of each class, chosen by hash, none of them held out.
+    """``(id, text, label)``, and ``others`` as name to column, of at most ``rows_per_class`` rows of each class, chosen by hash, none of them held out.
 
-    An id with several labels has its greatest; ids without document and rows without label are left out.
-    The chosen ids are broadcast: their number is bounded by the parameter.
+    An id with several labels has its greatest, an id with several documents the one whose text has the smallest hash; ids without
+    document and rows without label are left out. The chosen ids are broadcast: their number is bounded by the parameter.
     """
     given = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
              .groupBy("id").agg(F.max("label").alias("label")).withColumn("hash", F.xxhash64("id")))
     few = [given.where(F.col("label") == k).orderBy("hash", "id").limit(rows_per_class) for k in (0, 1)]
     kept = [F.col(column).alias(name) for name, column in others.items()]
-    return (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
+    rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
             .join(F.broadcast(few[0].unionByName(few[1]).select("id", "label")), "id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", *others)).alias("row")
+    return rows.groupBy("id", "label").agg(one).select("id", *[f"row.{c}" for c in ("text", *others)], "label")
 
 
 def bucket(token: str, bits: int) -> int:

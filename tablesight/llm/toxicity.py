@@ -2,7 +2,8 @@
 
 Training counts the tokens of labelled documents per class, in a table of fixed size, and gives every token
 the log-odds of the toxic class with an informative Dirichlet prior. A document is a sequence of scores with
-negative expectation on clean text; one pass finds all its maximal segments. The extreme-value law of such scores turns a segment
+negative expectation on clean text; one pass finds all its maximal segments. The extreme-value law of such scores, its decay fitted on
+the scores of clean tokens and its chances per token on the maximal segments of clean training documents, turns a segment
 into the number of equally good ones expected by chance, and a logistic fit on the training documents turns the document's
 evidence into a probability.
 
@@ -20,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablesight.functions.storage import store
 from tablesight.llm.sampling import ROWS_PER_CLASS, WORD, bucket, logistic, training_rows
 
 BITS = 20
 PRIOR = 500.0  # tokens that the prior counts as, spread over the table like the corpus
 MARGIN = 0.5  # subtracted from every token, so that clean text falls
 STEMS = (5, 7)  # characters of the stems, the features that unknown word forms share
+LEVELS = (1, 2, 3, 4, 5)  # at which segments of clean documents are compared with the law, in units of its decay
 SIGNIFICANT = 0.01  # expected segments by chance below which a passage is reported
 KNOWN_WORDS = 500_000  # words whose buckets a task remembers
 
@@ -117,7 +120,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), label, "int32")), pa.array(table[label, at])],
                                              names=["bucket", "label", "n"])
 
-    return (rows.select("text", "label").mapInArrow(count, "bucket long, label int, n long")
+    return (rows.mapInArrow(count, "bucket long, label int, n long")
             .groupBy("bucket").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
                                    F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
             .where(F.col("clean") + F.col("toxic") > 1))
@@ -145,10 +148,21 @@ def _decay(scores: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
+def _reached(scores: np.ndarray, decay: float) -> list[int]:
+    """How many maximal segments reach each of the levels, in units of the decay."""
+    found = np.array([s for *_, s in segments(scores)])
+    return [int((found * decay >= level).sum()) for level in LEVELS]
+
+
+def _space(reached: np.ndarray, tokens: int) -> float:
+    """Chances per token: segments seen at all levels by those that the law expects there at one chance per token."""
+    return float(max(reached.sum(), 1) / (max(tokens, 1) * np.exp(-np.array(LEVELS, float)).sum()))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit on a bounded sample of labelled rows; the driver gets counts per bucket and evidence per sampled row."""
-    rows = training_rows(docs, labels, label_col, id_col, text_col, rows_per_class)
+    rows = store(training_rows(docs, labels, label_col, id_col, text_col, rows_per_class).select("text", "label"))
     counted = _counts(rows).toPandas()
     table = np.zeros((2, 1 << BITS))
     table[0, counted["bucket"]], table[1, counted["bucket"]] = counted["clean"], counted["toxic"]
@@ -158,7 +172,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     background = np.repeat(model.token_scores, np.round(table[0] / share * 200_000).astype(int)) - MARGIN
     if len(background) and (background > 0).any() and background.mean() < 0:
         model.decay = _decay(background)
-    model.space = 0.1
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+        tokens, reached = 0, np.zeros(len(LEVELS), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                scores = model.words(text.as_py(), known)
+                tokens += len(scores)
+                reached += _reached(scores, model.decay)
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (tokens, *reached.tolist())], names=["tokens", *names])
+
+    names = [f"level_{level}" for level in LEVELS]
+    clean = rows.where(F.col("label") == 0).select("text").mapInArrow(survey, ", ".join(f"{c} long" for c in ("tokens", *names)))
+    seen = clean.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", *names)]).first()
+    if seen["tokens"]:
+        model.space = _space(np.array([seen[c] for c in names]), seen["tokens"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -166,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             found = [model.evidence(model.words(text.as_py(), known))[0].tolist() for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["label", "x"])
 
-    seen = rows.select("text", "label").mapInArrow(gather, "label int, x array<double>").toPandas()
+    seen = rows.mapInArrow(gather, "label int, x array<double>").toPandas()
     truth = seen["label"].to_numpy(float)
     if len(truth):
         model.base_rate = float(truth.mean())

@@ -92,6 +92,30 @@ def test_held_out_rows_are_never_learned_from(corpus):
     assert training_rows(docs, labels, "toxic", rows_per_class=20).select("id").distinct().count() <= 40 < ROWS_PER_CLASS
 
 
+def test_repeated_ids_stay_within_the_sample(corpus, documents):
+    docs, labels, _ = corpus
+    i = next(r.id for r in training_rows(docs, labels, "toxic").collect())
+    many = docs.unionByName(documents([(i, f"text {k}", "s") for k in range(3000)]))
+    rows = training_rows(many, labels, "toxic", rows_per_class=20, recorded="n_chars")
+    assert rows.columns == ["id", "text", "recorded", "label"]
+    got = rows.collect()
+    assert len({r.id for r in got}) == len(got) <= 40
+    assert sorted(map(repr, rows.repartition(7).collect())) == sorted(map(repr, got))
+    whole = [r.text for r in training_rows(many, labels, "toxic").collect() if r.id == i]
+    assert len(whole) == 1
+
+
+def test_law_of_chance_segments_holds_on_other_texts():
+    rng = np.random.default_rng(3)
+    scores = lambda: rng.choice([-1.5, -0.5, 0.4, 1.2], p=[0.35, 0.35, 0.2, 0.1], size=300)
+    decay = toxicity._decay(np.concatenate([scores() for _ in range(300)]))
+    seen = np.sum([toxicity._reached(scores(), decay) for _ in range(1500)], axis=0)
+    space = toxicity._space(seen, 1500 * 300)
+    again = np.sum([toxicity._reached(scores(), decay) for _ in range(1500)], axis=0)
+    want = space * 1500 * 300 * np.exp(-np.array(toxicity.LEVELS, float))
+    assert (np.abs(np.log(again[1:4] / want[1:4])) < 0.35).all()
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     model = quality.Model(0.3, rng.normal(size=quality.SIZE), rng.normal(size=(quality.SIZE, 4)), 0.5, True)
