@@ -5,8 +5,8 @@ with the smallest keys of a source are a weighted sample (Efraimidis and Spiraki
 complete epochs as often as its target holds it, and the rest of the target is filled in the order of the keys.
 
 Defined results: a null text has size 0; null sources form one source, ordered last; rows with the same identity and
-size share one draw and are taken together; a source without words has target 0; an empty table gives no
-rows; other columns are ignored.
+size share one key and follow in the order of a digest of their texts, equal texts in any order, so that the mix can end between
+them; a source without words has target 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ MOST_EPOCHS = 2
 WEIGHTS = (5, 2, 1)
 # Cells per unit of ln(key) on the first level, and within each of those on the second.
 COARSE, FINE = 256, 4096
+# Rows of one key are dealt by so many hexadecimal digits of the digest of their texts.
+DIGITS, CELL_DIGITS = 16, 5
 SALTS = 64
 
 
@@ -60,26 +62,29 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         .drop("cap", "level"))
 
 
-def _cut(cells: DataFrame, cell: str) -> DataFrame:
-    """Per source, the first cell in which the running sum of sizes reaches the budget, and the sum before it."""
-    running = W.partitionBy("source_key").orderBy(cell).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        cells.withColumn("sum_to", F.sum("words").over(running) + F.col("skipped"))
-        .where(F.col("sum_to") >= F.col("budget"))
-        .groupBy("source_key").agg(F.min(F.struct(cell, F.col("sum_to"), "words")).alias("at"))
-        .select("source_key", F.col(f"at.{cell}").alias(f"cut_{cell}"),
-                (F.col("at.sum_to") - F.col("at.words")).alias(f"before_{cell}"), F.col("at.sum_to").alias(f"to_{cell}")))
+def _at_cut(rows: DataFrame, budgets: DataFrame, level: Column) -> DataFrame:
+    """Per source, the rows of the first cell of ``level`` in which the running sum of sizes reaches the budget; ``before`` is the sum before that cell."""
+    rows = rows.withColumn("level", level)
+    running = W.partitionBy("source_key").orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = (rows.groupBy("source_key", "level").agg(F.sum("size").alias("words"), F.first("before").alias("before")).join(budgets, "source_key")
+             .withColumn("sum_to", F.sum("words").over(running) + F.col("before")))
+    first = (cells.where(F.col("sum_to") >= F.col("budget")).groupBy("source_key").agg(F.min(F.struct("level", "sum_to", "words")).alias("at"))
+             .select("source_key", F.col("at.level").alias("level"), (F.col("at.sum_to") - F.col("at.words")).alias("before")))
+    # Joined on source and cell: the rows of a hot source meet only at the cell that is cut.
+    return rows.drop("before").join(first, ["source_key", "level"]).drop("level")
 
 
 def _keyed(docs: DataFrame, identity_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` as one struct column, with size, source and key of each row."""
+    """``docs`` as one struct column, with size, source and place in the order of each row. Stored by callers, so that all jobs see the same numbers."""
     identity = F.concat_ws(":", F.coalesce(F.col("row")[identity_col].cast("string"), F.lit("")), F.col("size").cast("string"))
     text = F.col("row")[text_col]
     return (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         .withColumn("source", F.col("row")[source_col].cast("string")).withColumn("size", word_count(text))
         .withColumn("source_key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
-        .withColumn("key", -F.log(draw(identity)) / quality_weight(text, F.col("size"))))
+        .withColumn("key", -F.log(draw(identity)) / quality_weight(text, F.col("size")))
+        .withColumn("content", F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, DIGITS))
+        .withColumn("number", F.monotonically_increasing_id()))
 
 
 def _times(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -88,21 +93,23 @@ def _times(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
     The one row per source is repeated for every salt, so that a hot source meets it in many tasks.
     """
     salted = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    chosen = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.col("with_cut")), F.lit(True))
-    return (keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
+    place = F.struct("key", "content", "number")
+    chosen = F.coalesce((place < F.col("cut")) | ((place == F.col("cut")) & F.col("with_cut")), F.lit(True))
+    return (keyed.withColumn("salt", F.pmod(F.xxhash64("key", "number"), F.lit(SALTS)).cast("int")).join(salted, ["source_key", "salt"])
             .withColumn("times", (F.col("epochs") + F.when((F.col("budget") > 0) & chosen, 1).otherwise(0)).cast("int")))
 
 
-def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most_epochs: float) -> DataFrame:
-    """Per source its size, target, complete epochs, the budget beyond them, and the key at which that is used up.
+def _cuts(keyed: DataFrame, weights: tuple[int, ...], share: float, most_epochs: float) -> DataFrame:
+    """Per source its size, target, complete epochs, the budget beyond them, and the row at which that is used up.
 
-    No window spans a source: the running sum goes over cells of the keys (all documents of one coarse cell, then those of
-    one fine cell), and only the keys of a single fine cell are sorted. Statistics per source are one row each.
+    No window spans a source: the running sum goes over cells of the keys (all documents of one coarse cell, then those of one fine
+    cell), then over the keys of a single fine cell, with those of one key by digits of the digest of the text, then over whole digests and
+    the parts that hold their copies, and only rows of one text in one part are sorted. Statistics per source are one row each.
     """
     sized = store(
-        sized.withColumn("scaled", F.log("key") * COARSE).withColumn("coarse", F.floor("scaled"))
-        .withColumn("fine", F.floor((F.col("scaled") - F.col("coarse")) * FINE))
-        .select("source", "source_key", "size", "key", "coarse", "fine"))
+        keyed.withColumn("scaled", F.log("key") * COARSE).withColumn("coarse", F.floor("scaled"))
+        .withColumn("fine", F.floor((F.col("scaled") - F.col("coarse")) * FINE)).withColumn("before", F.lit(0).cast("long"))
+        .select("source", "source_key", "size", "key", "content", "number", "coarse", "fine", "before"))
     per_source = targets(sized.groupBy("source", "source_key").agg(F.sum("size").alias("source_size")), weights, share, most_epochs)
     plan = store(
         per_source.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -110,33 +117,27 @@ def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most_epochs:
         .select("source_key", "source_size", "target", "epochs", "budget"))
     budgets = plan.select("source_key", "budget")
 
-    coarse = sized.groupBy("source_key", "coarse").agg(F.sum("size").alias("words"))
-    coarse = _cut(coarse.join(budgets, "source_key").withColumn("skipped", F.lit(0)), "coarse")
-    # Joined on source and cell: the rows of a hot source meet only at the cell that is cut.
-    inside = sized.join(coarse.withColumnRenamed("cut_coarse", "coarse"), ["source_key", "coarse"])
-    fine = inside.groupBy("source_key", "fine").agg(F.sum("size").alias("words"), F.first("before_coarse").alias("skipped"))
-    fine = _cut(fine.join(budgets, "source_key"), "fine")
-    last = inside.join(fine.withColumnRenamed("cut_fine", "fine"), ["source_key", "fine"])
-    keys = last.groupBy("source_key", "key").agg(F.sum("size").alias("words"), F.first("before_fine").alias("skipped"))
-    cut = _cut(keys.join(budgets, "source_key"), "key")
+    inside = store(_at_cut(_at_cut(sized.drop("source"), budgets, F.col("coarse")), budgets, F.col("fine")))
+    inside = store(_at_cut(inside, budgets, F.struct("key", F.substring("content", 1, CELL_DIGITS))))
+    inside = _at_cut(inside, budgets, F.struct("content", F.shiftright("number", 33)))
+    cut = _at_cut(inside, budgets, F.col("number")).select("source_key", F.struct("key", "content", "number").alias("cut"), "before", "size")
     # The document at the cut is taken when that brings the sum nearer to the budget.
     return store(plan.join(cut, "source_key", "left").select(
-        "source_key", "source_size", "target", "epochs", "budget", "cut_key",
-        (F.col("to_key") - F.col("budget") < F.col("budget") - F.col("before_key")).alias("with_cut")))
+        "source_key", "source_size", "target", "epochs", "budget", "cut",
+        (F.col("before") + F.col("size") - F.col("budget") < F.col("budget") - F.col("before")).alias("with_cut")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
     """``(id, size, source_size, target, taken, times)`` for every row; ``times`` is how often the mix holds it."""
     keyed = _keyed(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
-    keyed = store(keyed.select(F.col("row")[id_col].alias(id_col), "source", "source_key", "size", "key"))
+    keyed = store(keyed.withColumn("row", F.struct(F.col("row")[id_col].alias(id_col))))
     return (_times(keyed, _cuts(keyed, weights, share, most_epochs))
-            .select(id_col, "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times"))
+            .select(F.col("row")[id_col].alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: float = MOST_EPOCHS) -> DataFrame:
     """The mix itself: the rows, with all their columns, each as often as it is taken."""
-    keyed = _keyed(docs, id_col, text_col, source_col)
-    cuts = _cuts(keyed.select("source", "source_key", "size", "key"), weights, share, most_epochs)
-    return _times(keyed, cuts).where(F.col("times") > 0).select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")
+    keyed = store(_keyed(docs, id_col, text_col, source_col))
+    return _times(keyed, _cuts(keyed, weights, share, most_epochs)).where(F.col("times") > 0).select("row", F.explode(F.expr("sequence(1, times)"))).select("row.*")

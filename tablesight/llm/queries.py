@@ -45,7 +45,8 @@ def op1(read):
 
 @query("op4_mixing", r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(coalesce(text, '')) AS chars,
+    substr(md5(coalesce(text, '')), 1, 16) AS content
   FROM documents),
 keyed AS (
   SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
@@ -67,8 +68,7 @@ plan AS (
   FROM levels),
 running AS (
   SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS budget,
-    sum(size) OVER (PARTITION BY k.source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto,
-    sum(size) OVER (PARTITION BY k.source, key) AS own
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, content ROWS UNBOUNDED PRECEDING) AS upto, size AS own
   FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (epochs + CASE WHEN budget > 0 AND (upto < budget OR (upto - own < budget AND upto - budget < budget - (upto - own))) THEN 1 ELSE 0 END))::BIGINT AS taken

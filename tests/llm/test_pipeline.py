@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -53,6 +54,18 @@ def test_mix_comes_near_its_targets(documents):
     assert mixing.mix(docs.where("false")).count() == mixing.mixed(docs.where("false")).count() == 0
 
 
+def test_tied_draws_are_taken_apart(spark, documents, tmp_path):
+    rows = [(None, "one two three", "c")] * 1_000 + [(None, f"one two {i % 7:03d}", "d") for i in range(1_000)] + [(i, "one two three", "a") for i in range(300)]
+    got = mixing.mix(documents(rows).repartition(5)).collect()
+    for source_size, target in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.taken for r in got if (r.source_size, r.target) == (source_size, target)) - target) <= 1.5
+    assert mixing.mixed(documents(rows).repartition(3)).count() == sum(r.times for r in got)
+    documents(rows).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert difference(QUERIES["op4_mixing"](spark, str(tmp_path)), con.sql(ORACLES["op4_mixing"])) is None
+
+
 def test_heavier_documents_come_first(spark):
     rows = spark.range(20_000).withColumn("weight", F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25))
     first = rows.withColumn("key", -F.log(mixing.draw(F.col("id").cast("string"))) / F.col("weight")).orderBy("key").limit(2_000)
