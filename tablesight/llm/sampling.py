@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Rows per class that a classifier is fitted on: the smallest hashes of all labelled rows.
 ROWS_PER_CLASS = 5_000
 HELD_OUT_OF = 5
+# Partitions of the sample: its texts can be long, and a task holds those of its rows at once.
+PARTS = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -33,7 +35,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
     rows = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
             .join(F.broadcast(few[0].unionByName(few[1]).select("id", "label")), "id"))
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", *others)).alias("row")
-    return rows.groupBy("id", "label").agg(one).select("id", *[f"row.{c}" for c in ("text", *others)], "label")
+    chosen = rows.groupBy("id", "label").agg(one).select("id", *[f"row.{c}" for c in ("text", *others)], "label")
+    return chosen.repartition(PARTS, "id")
 
 
 def bucket(token: str, bits: int) -> int:
