@@ -146,3 +146,21 @@ def test_unclosed_tags_take_linear_time(piece):
 
     seconds(200)
     assert seconds(40_000) < 12 * max(seconds(8_000), 0.02)
+
+
+def test_runs_of_comments_and_quoted_tags_are_read_at_once(monkeypatch):
+    calls = []
+    for name in ("parse_comment", "parse_starttag"):
+        plain = getattr(html.HTMLParser, name)
+        monkeypatch.setattr(html.HTMLParser, name, lambda self, *a, plain=plain, name=name: calls.append(name) or plain(self, *a))
+    page = "<p title='t &amp; u'>one" + "<!-- a - b -->\n" * 50 + "two<script>var x = '<!-- c --><!-- d -->';</script><!-- -- odd -->"
+    title, _, _, visible, _, _, titles, *_ = html._parse(page)
+    assert (title, visible, titles) == (None, ["one", "two"], ["t & u"])
+    assert html._parse(page)[9] == ["\nvar x = '<!-- c --><!-- d -->';"]
+    assert calls == ["parse_comment"] * 2  # the odd comment, in both readings
+
+
+def test_parts_are_handed_on_before_a_batch_of_pages_ends(spark, monkeypatch):
+    monkeypatch.setattr(html, "PAGES_AT_ONCE", 10)
+    pages = spark.range(7, numPartitions=1).withColumn("html", F.when(F.col("id") != 3, F.concat(F.lit("<p>page "), F.col("id").cast("string"))))
+    assert values(html.page_parts(pages, "id", "html").select("id", "visible"), "id", "visible") == [(i, [f"page {i}"] if i != 3 else []) for i in range(7)]
