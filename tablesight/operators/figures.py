@@ -32,8 +32,8 @@ _VARIANTS = "array<variant>"
 def _text_or_nested(value: Column, path: str) -> Column:
     """A title given either as a string or as ``{text: ...}``."""
     nested = F.try_variant_get(value, f"{path}.text", "string")
-    plain = F.try_variant_get(value, path, "string")
-    return F.coalesce(nested, F.when(~F.startswith(plain, F.lit("{")), plain))
+    plain = F.transform(F.array(F.try_variant_get(value, path, "string")), lambda p: F.when(~F.startswith(p, F.lit("{")), p))[0]
+    return F.coalesce(nested, plain)
 
 
 def describe_figure(data: Column, layout: Column) -> Column:
@@ -48,7 +48,7 @@ def describe_figure(data: Column, layout: Column) -> Column:
             F.concat(F.lit("name="), F.try_variant_get(t, "$.name", "string")),
             F.concat(F.lit("points="), points.cast("string")))
 
-    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     traces = F.coalesce(F.try_variant_get(data, "$", _VARIANTS), F.array().cast(_VARIANTS))
     lines = F.concat(
         F.array(labelled("Title", _text_or_nested(layout, "$.title")),

@@ -156,14 +156,18 @@ def read_parquet(spark: SparkSession, path, nan: str = "null", spread: bool = Fa
     return nan_to_null(raw) if nan == "null" else raw
 
 
-def spread_rows(scan: DataFrame) -> DataFrame:
-    """Give every core some rows when a plain read has fewer partitions than there are cores.
+# Rows of a task that does costly work per row.
+SPREAD_ROWS = 100_000
 
-    Meant for a few large row groups in front of costly per-row work such as parsing pages. A read that
-    already keeps the cores busy, as any large one does, is left as it is: no shuffle.
+
+def spread_rows(scan: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Give every core some rows, and a task no more than about ``rows``, when a plain read has too few partitions for that.
+
+    Meant for a few large row groups in front of costly per-row work such as parsing pages, whose longest task would grow with the
+    table. The rows are counted by the files' footers. A read that already has enough partitions is left as it is: no shuffle.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    wanted = max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows))
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
 
 
 def _tsv(spark, path, **options):

@@ -164,3 +164,10 @@ def test_parts_are_handed_on_before_a_batch_of_pages_ends(spark, monkeypatch):
     monkeypatch.setattr(html, "PAGES_AT_ONCE", 10)
     pages = spark.range(7, numPartitions=1).withColumn("html", F.when(F.col("id") != 3, F.concat(F.lit("<p>page "), F.col("id").cast("string"))))
     assert values(html.page_parts(pages, "id", "html").select("id", "visible"), "id", "visible") == [(i, [f"page {i}"] if i != 3 else []) for i in range(7)]
+
+
+def test_costly_rows_get_tasks_by_their_number(spark):
+    from tablesight.sources.readers import spread_rows
+
+    assert spread_rows(spark.range(1000, numPartitions=4), rows=10).rdd.getNumPartitions() == 100
+    assert spread_rows(spark.range(1000, numPartitions=100), rows=10).rdd.getNumPartitions() == 100
