@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW, GRAM = 50, 24
 CHUNK_BYTES = 6_000_000
-PIECE_BYTES = 8_000_000  # a longer text is cut into overlapping pieces; chunk and piece together stay below 2 ** 24
+PIECE_BYTES = 2_000_000  # a longer text is cut into overlapping pieces
+BLOCK_BYTES = 1 << 19  # of a chunk, whose windows are hashed together: their numbers take some hundred times the memory of the bytes
+GATHER_RECORDS = 1 << 15  # whose bytes are copied together
 FILTER_BITS = 27  # of the anchor filter, broadcast as 16 MB
 SAMPLES = 64  # leading bytes per range of digests that splitters are chosen from
 LAST = (1 << 63) - 1
@@ -55,48 +57,67 @@ class Chunk:
     doc: np.ndarray
     key: np.ndarray
     start: np.ndarray  # place of the first window in its document
-    grams16: np.ndarray
 
     def contents(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent digests of whole records: the first and last window cover them."""
         a, b = np.zeros(len(some), "u8"), np.zeros(len(some), "u8")
-        for k, at in enumerate(p + shift for p in (self.first[some], self.last[some]) for shift in (0, 16, 32, 34)):
-            part = self.grams16[at]
-            a += (part ^ (part >> np.uint64(29))) * _M[k]
-            b += _spread(part + _M[k])
+        words = _words(self.data)
+        for place in (self.first[some], self.last[some]):
+            for k, shift in enumerate((0, 8, 16, 24, 32, 40, WINDOW - 8)):
+                part = words[place + shift].astype("u8")
+                a = _spread(a * _M[7] + part)
+                b = (b ^ _spread(part + _M[k])) * _M[k]
         shape = ((self.last - self.first)[some] * 64 + (self.anchor - self.first)[some]).astype("u8")
         return _spread(a + shape), b ^ shape
 
 
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per window of some bytes where its anchor is, and a digest per k-gram."""
+    h = _BYTES[data]
+    for shift, k in ((1, 0), (2, 1), (4, 2)):
+        h = h[:-shift] * _M[k] + h[shift:]
+    h8, h = h, h[:-8] * _M[3] + h[8:]
+    h = h[:-8] * _M[4] + h8[16:]
+    v = ((h ^ (h >> np.uint64(32))) * _M[5] & ~_LOW) | np.arange(len(h), dtype="u8")
+    for step in (1, 2, 4, 8, 11):
+        v = np.minimum(v[:-step], v[step:])  # in the end the smallest of 27: all k-grams of a window
+    return (v & _LOW).astype(np.int64), h
+
+
 def _records(pieces: list[tuple[bytes, int, int, int]]) -> Chunk:
-    """Records of pieces ``(bytes, doc, key, start in the document)``."""
+    """Records of pieces ``(bytes, doc, key, start in the document)``, of at least ``WINDOW`` bytes each."""
     data = np.frombuffer(b"".join(p[0] for p in pieces), np.uint8)
     size = np.array([len(p[0]) for p in pieces])
     begin = np.cumsum(size) - size
-    h = _BYTES[data]
-    h = h[:-1] * _M[0] + h[1:]
-    h = h[:-2] * _M[1] + h[2:]
-    h8 = h[:-4] * _M[2] + h[4:]
-    h16 = h8[:-8] * _M[3] + h8[8:]
-    h24 = h16[:-8] * _M[4] + h8[16:]
-    v = ((h24 ^ (h24 >> np.uint64(32))) * _M[5] & ~_LOW) | np.arange(len(h24), dtype="u8")
-    for step in (1, 2, 4, 8):
-        v = np.minimum(v[:-step], v[step:])
-    v = np.minimum(v[:-11], v[11:])  # the smallest of 27: all k-grams of a window
-    anchor = (v & _LOW).astype(np.int64)
     # Windows that begin in the last 49 bytes of a piece would cross into the next one.
-    tail = (begin + size)[:, None] - np.arange(1, WINDOW)
-    tail = tail[(tail >= begin[:, None]) & (tail < len(anchor))]
-    anchor[tail] = -1
-    edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.append(edge[1:], len(anchor)) - 1
-    real = anchor[edge] >= 0
-    first, last = edge[real], last[real]
-    at = anchor[first]
+    crossing = np.zeros(len(data), bool)
+    for back in range(1, WINDOW):
+        crossing[begin + size - back] = True
+    edges, anchors, digests, before = [], [], [], -1
+    for low in range(0, len(data) - WINDOW + 1, BLOCK_BYTES):
+        anchor, digest = _anchors(data[low:low + BLOCK_BYTES + WINDOW - 1])
+        here = np.where(crossing[low:low + len(anchor)], -1, anchor + low)
+        edge = np.flatnonzero(here != np.concatenate([[before], here[:-1]]))
+        edges.append(edge + low)
+        anchors.append(here[edge])
+        digests.append(_spread(digest[anchor[edge]]))
+        before = here[-1]
+    edge, at, digest = (np.concatenate(x) for x in (edges, anchors, digests))
+    last = np.append(edge[1:], len(data) - WINDOW + 1) - 1
+    real = at >= 0
+    first, last, at, digest = edge[real], last[real], at[real], digest[real]
     piece = np.searchsorted(begin, first, side="right") - 1
-    # Empty pieces share their begin with the next one; the last of them is the one with bytes.
     doc, key, start = (np.array([p[k] for p in pieces], np.int64) for k in (1, 2, 3))
-    return Chunk(data, first, last, at, _spread(h24[at]), doc[piece], key[piece], start[piece] + first - begin[piece], h16)
+    return Chunk(data, first, last, at, digest, doc[piece], key[piece], start[piece] + first - begin[piece])
+
+
+def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> bytes:
+    """The bytes of some records, one after the other."""
+    parts = []
+    for low in range(0, len(first), GATHER_RECORDS):
+        n = size[low:low + GATHER_RECORDS]
+        parts.append(data[np.repeat(first[low:low + GATHER_RECORDS] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+    return b"".join(parts)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -293,14 +314,11 @@ def _spans(rows: DataFrame, table: np.ndarray, splitters: np.ndarray) -> DataFra
             order = np.lexsort((lead, bucket))
             sent, bucket = sent[order], bucket[order]
             columns = (size[sent], (chunk.anchor - chunk.first)[sent], chunk.doc[sent], chunk.key[sent], chunk.start[sent])
-            n = size[sent]
-            text = chunk.data[np.repeat(chunk.first[sent], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            upto = np.concatenate([[0], np.cumsum(n)])
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(sent) else np.zeros(1, int)
             blobs, ids = [], []
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 packed = b"".join(c[low:high].astype(t).tobytes() for c, (_, t) in zip(columns, fields))
-                blobs.append((high - low).to_bytes(4, "little") + squeeze.compress(packed + text[upto[low]:upto[high]].tobytes()))
+                blobs.append((high - low).to_bytes(4, "little") + squeeze.compress(packed + _gathered(chunk.data, chunk.first[sent[low:high]], size[sent[low:high]])))
                 ids.append(int(bucket[low]))
             ids += (np.abs(keys) % buckets).tolist()
             m = len(blobs)

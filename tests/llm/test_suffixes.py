@@ -59,3 +59,24 @@ def test_empty_table(documents):
 def test_query(spark, sf_dir):
     got = sorted((tuple(r) for r in QUERIES["op2_suffixes"](spark, sf_dir).collect()), key=repr)
     assert got == expected([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def test_blocks_do_not_change_records_and_bound_their_memory(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(4)
+    raws = ["".join(rng.choice("abc ") for _ in range(rng.choice((50, 51, 300, 40_000)))).encode() for _ in range(60)]
+    pieces = [(raw, i, i, 0) for i, raw in enumerate(raws)]
+    found = []
+    for size in (1 << 30, 1000, 77):
+        monkeypatch.setattr(suffixes, "BLOCK_BYTES", size)
+        chunk = suffixes._records(pieces)
+        found.append([c.tolist() for c in (chunk.first, chunk.last, chunk.anchor, chunk.digest, chunk.doc, chunk.start)])
+    assert found[0] == found[1] == found[2]
+    monkeypatch.undo()
+    many = [(bytes(rng.choices(b"abcdefgh", k=500_000)), i, i, 0) for i in range(8)]
+    tracemalloc.start()
+    suffixes._records(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * 4_000_000
