@@ -88,21 +88,31 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer: bool = True, scan
     return infer_types(raw) if infer else raw
 
 
+# How the first line of a JSON file begins.
+_OTHER, _LIST, _BRACE, _OBJECT = range(4)
+
+
 def scan_json_files(spark: SparkSession, paths) -> DataFrame:
     """Rows ``(path, lines, bad, array, utf8)`` per JSON file: whether it holds one object per line, and how many lines are not.
 
     A file is a document when it begins with ``[`` or when its lines are no objects of their own but begin one together;
-    a single bad line among good ones does not make it a document.
+    a single bad line among good ones does not make it a document. Lines are counted in sums of fixed width, per split and then per
+    file: a text among them would have every task sort its lines.
     """
     text = spark.read.text(paths).select(
         file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
         F.trim(F.regexp_replace("value", r"^\x{FEFF}", "")).alias("value")).where("value != ''")
     is_object = F.startswith("value", F.lit("{")) & F.try_parse_json("value").isNotNull()
-    found = text.groupBy("path").agg(
-        F.min_by("value", F.struct("block", "at")).alias("first"), F.count_if(is_object).alias("good"), F.count_if(~is_object).alias("bad"),
+    begins = F.when(F.startswith("value", F.lit("[")), _LIST).when(F.col("value") == "{", _BRACE).when(F.startswith("value", F.lit("{")), _OBJECT).otherwise(_OTHER)
+    # Numbers of rows rise within a split, so the smallest sum is that of its first line and tells how it begins.
+    per_split = text.groupBy("path", "block").agg(
+        F.min(F.col("at") * 4 + begins).alias("first"), F.count_if(is_object).alias("good"), F.count_if(~is_object).alias("bad"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    whole = F.startswith("first", F.lit("[")) | (F.col("first") == "{") | ((F.col("good") == 0) & F.startswith("first", F.lit("{")))
-    return found.select("path", (~whole).alias("lines"), F.when(whole, 0).otherwise(F.col("bad")).alias("bad"), F.startswith("first", F.lit("[")).alias("array"), "utf8")
+    found = per_split.groupBy("path").agg(
+        F.min_by("first", "block").alias("first"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bool_and("utf8").alias("utf8"))
+    first = F.pmod(F.col("first"), F.lit(4))
+    whole = first.isin(_LIST, _BRACE) | ((F.col("good") == 0) & (first == _OBJECT))
+    return found.select("path", (~whole).alias("lines"), F.when(whole, 0).otherwise(F.col("bad")).alias("bad"), (first == _LIST).alias("array"), "utf8")
 
 
 def read_json(spark: SparkSession, path, lines: bool | None = None, infer: bool = True, bad_lines: str = "drop", **options) -> DataFrame:

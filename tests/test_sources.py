@@ -273,3 +273,13 @@ def test_all_rows_of_the_newest_run(spark, tmp_path):
         rows = spark.range(n).withColumn("session_id", F.lit("s"))
         sinks.append_results(rows, str(tmp_path / "r"), run_at=F.lit(f"2024-01-0{day}").cast("timestamp"))
     assert sinks.latest_results(spark, str(tmp_path / "r")).count() == 5
+
+
+def test_json_scan_sorts_no_lines(spark, tmp_path):
+    texts = {"a": '\n \n{"x": 1}\n{"x": 2}\n{', "b": '﻿[{"x": 1},\n{"x": 2}]', "c": '{\n"x": 1}', "d": '{"x":\n1}', "e": 'no\n{"x": 1}'}
+    for name, content in texts.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    found = readers.scan_json_files(spark, str(tmp_path))
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["path"][-6]: tuple(r)[1:] for r in found.collect()} == {
+        "a": (True, 1, False, True), "b": (False, 0, True, True), "c": (False, 0, False, True), "d": (False, 0, False, True), "e": (True, 1, False, True)}
