@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 SPACE_CLASS = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+# Any other character: a text has words where it has one.
+NOT_SPACE = "[^" + SPACE_CLASS[1:-1]
 
 
 def words(text: Column) -> Column:

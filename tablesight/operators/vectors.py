@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablesight.functions.nulls import col
 from tablesight.functions.storage import store
-from tablesight.functions.text import words
+from tablesight.functions.text import NOT_SPACE, words
 from tablesight.operators import hashing
 
 K = 5
@@ -33,20 +33,28 @@ SAMPLED_ROWS, SAMPLED_QUESTIONS = 5_000, 128
 class TfIdf:
     """Normalised, hashed TF-IDF vectors: an embedding that needs no service.
 
-    It is fitted once on the corpus and then applied to corpus and questions alike.
+    It is fitted once on the corpus and then applied to corpus and questions alike. With ``keep`` the corpus' words are split and counted
+    once: the counts are stored with the columns named there, and ``embed()`` makes its vectors from them.
     """
 
-    def __init__(self, corpus: DataFrame, text: str = "chunk_text", dimensions: int = 256):
+    def __init__(self, corpus: DataFrame, text: str = "chunk_text", dimensions: int = 256, keep: Sequence[str] | None = None):
         self.tf = HashingTF(numFeatures=dimensions, inputCol="_words", outputCol="_tf")
         self.unit = Normalizer(inputCol="_idf", outputCol="_unit")
-        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(self._counts(corpus, text))
+        counts = self._counts(corpus, text)
+        self.stored = store(counts.select(*map(col, keep), "_tf")) if keep is not None else None
+        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts if self.stored is None else self.stored)
 
     def _counts(self, df: DataFrame, text: str) -> DataFrame:
-        return self.tf.transform(df.withColumn("_words", words(F.lower(col(text)))).where(F.size("_words") > 0))
-
-    def embed(self, df: DataFrame, text: str = "chunk_text", name: str = "embedding") -> DataFrame:
-        """Add a vector per row; rows without words are dropped."""
-        vectors = self.unit.transform(self.idf.transform(self._counts(df, text)))
+        # Whether there are words is asked of the text: a condition on the words would split them once more.
+        known = df.where(F.rlike(col(text), F.lit(NOT_SPACE)))
+        return self.tf.transform(known.withColumn("_words", words(F.lower(col(text)))))
+
+    def embed(self, df: DataFrame | None = None, text: str = "chunk_text", name: str = "embedding") -> DataFrame:
+        """Add a vector per row; rows without words are dropped. Without a table: the corpus, its kept columns from the stored counts."""
+        if df is None and self.stored is None:
+            raise ValueError("the counts of the corpus were not kept")
+        counts = self.stored if df is None else self._counts(df, text)
+        vectors = self.unit.transform(self.idf.transform(counts))
         return vectors.withColumn(name, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
 
 

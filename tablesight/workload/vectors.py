@@ -62,9 +62,9 @@ def lsh_knn(t):
 def rag_retrieval(t):
     """Chunks of all documents nearest to each benchmark text, by hashed TF-IDF vectors."""
     chunks = chunk(t("documents", spread=True), "doc_id", "text")
-    model = vectors.TfIdf(chunks, dimensions=128)
+    model = vectors.TfIdf(chunks, dimensions=128, keep=["chunk_id"])
     asked = model.embed(t("benchmark"), "text", "question")
-    return vectors.knn(model.embed(chunks), asked, "chunk_id", "embedding", "item_id", "question", 5)
+    return vectors.knn(model.embed(), asked, "chunk_id", "embedding", "item_id", "question", 5)
 
 
 @query("lsh_recall", f"WITH {_NEAREST} SELECT count(*) AS wanted, true AS enough FROM near")
@@ -94,9 +94,9 @@ def lsh_rows(t):
 def rag_rows(t):
     """Retrieved chunks as a result must be: five for every question, ranked by exact distances of unit vectors."""
     chunks = chunk(t("documents", spread=True), "doc_id", "text")
-    model = vectors.TfIdf(chunks, dimensions=128)
+    model = vectors.TfIdf(chunks, dimensions=128, keep=["chunk_id"])
     asked = model.embed(t("benchmark"), "text", "question")
-    embedded = store(model.embed(chunks).select("chunk_id", "embedding"))
+    embedded = store(model.embed())
     near = vectors.knn(embedded, asked, "chunk_id", "embedding", "item_id", "question", 5)
     known = near.join(embedded, "chunk_id").join(asked.select("item_id", "question"), "item_id").withColumn(
         "again", vectors.squared_distance(F.col("question"), F.col("embedding")))

@@ -84,3 +84,16 @@ def test_own_model_skips_failures(spark):
         return [[1.0] for _ in batch]
 
     assert [r["doc"] for r in vectors.embed(docs.coalesce(1), model=moody).collect()] == ["b"]
+
+
+def test_stored_counts_give_the_same_vectors_and_texts_are_split_once(spark):
+    texts = ["a b a", "B c", None, "", "   \n", "d", "　a"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id int, chunk_text string")
+    model = vectors.TfIdf(corpus, dimensions=16, keep=["id"])
+    kept, made = model.embed(), model.embed(corpus)
+    assert kept.columns == ["id", "embedding"]
+    assert sorted(map(tuple, kept.collect())) == sorted((r["id"], r["embedding"]) for r in made.collect())
+    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 5, 6]
+    assert made._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+    with pytest.raises(ValueError):
+        vectors.TfIdf(corpus, dimensions=16).embed()
