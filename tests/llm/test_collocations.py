@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablesight.llm import collocations
@@ -91,3 +92,38 @@ def test_left_and_right_extensions(spark):
     df = spark.createDataFrame(rows, "lang string, text string")
     [row] = [r for r in collocations.mine(df, least=3).collect() if r.phrase == "two three"]
     assert (row.a, row.left, row.right) == (12, 4, 3)
+
+
+def test_phrases_travel_packed(spark, monkeypatch):
+    """What a shard sends of a text without repeats is a few bytes a pair, also when all its pairs are frequent."""
+    random = np.random.default_rng(5)
+    words = np.array([f"word{k}" for k in range(3_000)])
+    text = " ".join(words[np.minimum(random.zipf(1.2, 60_000), 3_000) - 1])
+    df = spark.createDataFrame([("en", text), ("en", text)], "lang string, text string").repartition(2)
+    stored = []
+    monkeypatch.setattr(collocations, "store", lambda rows, store=collocations.store: stored.append(store(rows)) or stored[-1])
+    phrases, _, _ = collocations.count_phrases(df, least=2)
+    sizes = dict(phrases.groupBy("size").count().collect())
+    [told] = [d for d in stored if "owner" in d.columns]
+    assert sizes[2] > 15_000 and told.where("owner is not null").count() <= 2 * 4
+    assert told.selectExpr("sum(length(data))").first()[0] < 3 * 2 * sizes[2]
+
+
+def test_blocks_hold_every_phrase_once():
+    random = np.random.default_rng(6)
+    table = np.unique(random.integers(1, [4, 2**31 - 1, 300], (5_000, 3)), axis=0).T
+    counts = random.integers(1, 2**31 - 1, table.shape[1])
+    held, data = collocations.blocks(list(table), counts, 7)
+    assert held == sorted(set(held)) and set(held) <= set(range(7))
+    back, ends = collocations.gathered([pa.scalar(d) for d in data])
+    assert ends[-1] == table.shape[1] and sorted(map(tuple, back.T.tolist())) == sorted(map(tuple, np.vstack([table, counts]).T.tolist()))
+
+
+def test_equal_words_of_languages_and_of_many_shards(spark):
+    rows = [(lang, " ".join(random.choice(list("abcdefgh"), 400))) for lang, seed in (("en", 1), ("de", 2), (None, 3)) for random in [np.random.default_rng(seed)] for _ in range(9)]
+    assert mined(spark, rows, least=3, shard_words=300) == plain(rows, 3)
+
+
+def test_ties_beyond_the_rank_are_all_seen(spark):
+    rows = [("en", f"v{k:03d} w{k:03d} x{k:03d}") for k in range(300) for _ in range(3)] + [("en", "v000")] * 3
+    assert mined(spark, rows, least=3, top=5) == plain(rows, 3, top=5)
