@@ -9,7 +9,8 @@ evidence into a probability.
 
 Defined results: a null or empty text is scored like any text without evidence; repeated rows repeat their score;
 without labels of both classes every score is the share of toxic training labels (0.0 without any);
-an empty table gives no rows; other columns are ignored by ``score`` and kept by ``reject``.
+an empty table gives no rows; other columns are ignored by ``score`` and kept by ``reject``, which keeps every text that is no likelier toxic than one
+without evidence, also where the model has learned too little to tell and scores all alike.
 """
 
 from __future__ import annotations
@@ -224,13 +225,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose score stays below ``threshold``."""
+    """The rows, with all their columns, whose score stays below ``threshold`` or at that of a text without evidence."""
     at = docs.columns.index(text_col)
+    nothing = model.probability(model.evidence(np.array([]))[0])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            clean = [model.probability(model.evidence(model.words(text.as_py() or "", known))[0]) < threshold for text in batch.column(at)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            scores = [model.probability(model.evidence(model.words(text.as_py() or "", known))[0]) for text in batch.column(at)]
+            yield batch.filter(pa.array([p < threshold or p <= nothing for p in scores], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -85,6 +85,14 @@ def test_rejects_toxic_rows_only(corpus):
     assert sum((i in ids) != bool(truth[i][1]) for i in range(500)) >= 0.98 * 500 and {900, 901, 902, None} <= ids
 
 
+def test_texts_without_evidence_are_not_rejected(documents, spark):
+    docs = documents([(1, "fine words", "s"), (3, "other ones", "s"), (5, None, "s"), (6, "third text", "s")])
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in (1, 3)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.5}  # one text of each class, no word twice
+    assert toxicity.reject(docs, model).count() == 4
+
+
 def test_held_out_rows_are_never_learned_from(corpus):
     docs, labels, _ = corpus
     used = {r.id for r in training_rows(docs, labels, "toxic").collect()}
