@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablesight.functions.storage import store
+from tablesight.llm.batches import slices
 from tablesight.llm.links import components
 
 NGRAM, PERCENT = 4, 85
 SKETCH_BITS = 22  # places of the table of approximate n-gram counts; it is broadcast as 4 MB
 FILTER_BITS = 24  # of the filter of wanted documents, broadcast as 2 MB
 BLOCK_NGRAMS = 300_000  # of one side of a block
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 TEXTS_AT_ONCE = 128  # whose words are held as objects
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53,
                  0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], "<u8")
@@ -111,14 +112,14 @@ def _frequent(docs: DataFrame, ngram: int) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, seen = Grams(ngram), set()
-        table = np.zeros(1 << SKETCH_BITS, np.int64)
+        table = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for found in grams.of(batch.column(0)):
                 if len(found) and (node := _node(found)) not in seen:
                     seen.add(node)
                     table[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
         at = np.flatnonzero(table >= 4 + 3 * table.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at], pa.int64())], names=["place", "n"])
 
     counted = (docs.select("text").mapInArrow(count, "place long, n long")
                .groupBy("place").agg(F.sum("n").alias("n")).toPandas())
@@ -135,7 +136,7 @@ def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(ngram)
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = list(grams.of(batch.column(1)))
             firsts = []
             for found in sets:
@@ -176,10 +177,11 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     packed = np.packbits(_filter(wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sent, passes = Grams(ngram), set(), np.unpackbits(packed)
-        for batch in batches:
+        grams, sent = Grams(ngram), set()
+        for batch in slices(batches, 0):
             nodes, out = [], []
-            for found in grams.of(batch.column(0).filter(pa.array(passes[batch.column(1).to_numpy()] > 0))):
+            place = batch.column(1).to_numpy()
+            for found in grams.of(batch.column(0).filter(pa.array(packed[place >> 3] << (place & 7) & 128 > 0))):
                 if len(found) and (node := _node(found)) not in sent:
                     sent.add(node)
                     nodes.append(node)

@@ -27,6 +27,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablesight.llm.batches import slices
+
 KINDS = ("assign", "access", "hex", "literal")
 BASE_KINDS = KINDS[:3]
 MIN_SCORE = 0.4
@@ -378,7 +380,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``(id, spans, base_sha256)``, one row per document; spans hold kind, start, end, name and score."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [spans_of(text.as_py() or "") for text in batch.column(1)]
             digests = [hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k, *_ in row if k in BASE_KINDS).encode()).hexdigest() for row in rows]
             spans = [[{"kind": k, "start": s, "end": e, "name": n, "score": p} for s, e, k, n, p in row] for row in rows]
@@ -406,7 +408,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFra
     at = docs.columns.index(text_col)
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = pa.array([None if t.as_py() is None else masked(t.as_py(), mask) for t in batch.column(at)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesight.functions.storage import store
+from tablesight.llm.batches import slices
 from tablesight.llm.sampling import ROWS_PER_CLASS, WORD, bucket, logistic, training_rows
 
 BITS = 20
@@ -31,7 +32,7 @@ MARGIN = 0.5  # subtracted from every token, so that clean text falls
 STEMS = (5, 7)  # characters of the stems, the features that unknown word forms share
 LEVELS = (1, 2, 3, 4, 5)  # at which segments of clean documents are compared with the law, in units of its decay
 SIGNIFICANT = 0.01  # expected segments by chance below which a passage is reported
-KNOWN_WORDS = 500_000  # words whose buckets a task remembers
+KNOWN_WORDS = 100_000  # words whose scores a task remembers
 
 
 def features(word: str) -> list[int]:
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [model.evidence(model.words(text.as_py() or "", known)) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([model.probability(x) for x, _ in found], pa.float64()),
@@ -231,7 +232,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in slices(batches, at):
             scores = [model.probability(model.evidence(model.words(text.as_py() or "", known))[0]) for text in batch.column(at)]
             yield batch.filter(pa.array([p < threshold or p <= nothing for p in scores], pa.bool_()))
 
