@@ -17,9 +17,8 @@ from tablesight.plans import ChartSpec, Guide, SchemaRoles, SpecError, make_spec
 
 PREVIEW_ROWS = 50
 TABLE_ROWS = 20
-_GRID_BLOCK = 1_000
-# A heatmap of more cells shows ranges of numbers and times, and the largest of other values.
-MOST_CELLS = 1_000_000
+# Values of y and of x in a block of a heatmap's grid, and cells that one task makes.
+_GRID_BLOCK, _GRID_LINES, _TASK_CELLS, _MOST_TASKS = 1_000, 100, 4_000_000, 10_000
 OTHERS = "(others)"
 
 
@@ -131,22 +130,39 @@ def _number(df: DataFrame, name: str):
 def grid(sums: DataFrame, x: str, y: str, value: str, fill: float = 0.0) -> DataFrame:
     """Every pairing of the x and y values, with ``fill`` where nothing was observed.
 
-    The y values are packed into blocks of about a thousand and each x is matched with every block, so
-    the result is spread over tasks although its size is the product of both sides.
+    Both sides are dealt into blocks by their hash, and each x is matched with every block of y values. The pairs of blocks are
+    spread over tasks by the number of cells they make, since the few bytes that go in say nothing of the product that comes out.
     """
-    ys = sums.select(col(y)).distinct()
-    blocks = ys.agg(F.ceil(F.greatest(F.count(F.lit(1)), F.lit(1)) / _GRID_BLOCK).cast("int")).scalar()
-    packed = (
-        ys.withColumn("_block", F.pmod(F.xxhash64(col(y)), blocks).cast("int"))
-        .groupBy("_block").agg(F.collect_list(col(y)).alias("_ys"))
+    nx, ny = sums.agg(F.count_distinct(col(x)), F.count_distinct(col(y))).first()
+    x_blocks, y_blocks = max(1, math.ceil(nx / _GRID_LINES)), max(1, math.ceil(ny / _GRID_BLOCK))
+    tasks = max(1, min(x_blocks * y_blocks, math.ceil(nx * ny / _TASK_CELLS), _MOST_TASKS))
+
+    def block(name: str, n: int):
+        return F.pmod(F.xxhash64(col(name)), F.lit(n)).cast("int")
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    observed = sums.select(
+        col(x), block(y, y_blocks).alias("_j"),
+        F.struct(col(y).alias("y"), F.coalesce(col(value).cast("double"), F.lit(fill)).alias("v")).alias("_cell"))
+    # A null for every line and block plus the observed cells: one aggregation instead of a second join.
+    empty = sums.select(col(x)).distinct().select(
+        col(x), each(y_blocks).alias("_j"), F.lit(None).cast(observed.schema["_cell"].dataType).alias("_cell"))
+    lines = (
+        empty.unionByName(observed).groupBy(col(x), "_j").agg(F.collect_list("_cell").alias("_seen"))
+        .withColumn("_i", block(x, x_blocks))
     )
-    xs = sums.select(col(x)).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = xs.join(packed, "_block").select(col(x), F.explode("_ys").alias(y), F.lit(fill).alias(value))
-    # A zero for every cell plus the observed sums: one aggregation instead of a second join.
-    return (
-        cells.unionByName(sums.select(col(x), col(y), col(value).cast("double")))
-        .groupBy(col(x), col(y)).agg(F.sum(col(value)).alias(value))
+    packed = (
+        sums.select(col(y)).distinct().groupBy(block(y, y_blocks).alias("_j")).agg(F.collect_list(col(y)).alias("_ys"))
+        .withColumn("_i", each(x_blocks))
     )
+    if tasks > 1:
+        lines, packed = (side.repartition(tasks, "_i", "_j") for side in (lines, packed))
+    pairs = lines.join(packed, ["_i", "_j"])
+    unseen = F.transform(F.array_except("_ys", F.col("_seen.y")), lambda v: F.struct(v.alias("y"), F.lit(fill).alias("v")))
+    cells = pairs.select(col(x), F.explode(F.concat("_seen", unseen)).alias("_cell"))
+    return cells.select(col(x), F.col("_cell.y").alias(y), F.col("_cell.v").alias(value))
 
 
 def coarse_cells(sums: DataFrame, x: str, y: str, value: str, most_cells: int) -> DataFrame:
@@ -189,10 +205,10 @@ def _largest(sums: DataFrame, name: str, value: str, n: int) -> DataFrame:
     return known.withColumn(name, F.coalesce("_key", F.lit(OTHERS))).drop("_key")
 
 
-def heatmap(df: DataFrame, spec: ChartSpec, most_cells: int | None = MOST_CELLS) -> DataFrame:
-    """Sum of the value in each cell of the full x × y grid; null keys are dropped.
+def heatmap(df: DataFrame, spec: ChartSpec, most_cells: int | None = None) -> DataFrame:
+    """Sum of the value in each cell of the full x × y grid of any size; null keys are dropped.
 
-    A grid of more than ``most_cells`` is made coarser, see ``coarse_cells``; ``None`` asks for the exact one of any size.
+    Only a caller who names ``most_cells`` gets a grid of more cells made coarser, see ``coarse_cells``.
     """
     if _missing(df, spec, spec.x, spec.y, spec.value):
         return preview(df, spec.limit)
@@ -203,8 +219,9 @@ def heatmap(df: DataFrame, spec: ChartSpec, most_cells: int | None = MOST_CELLS)
         data.where(col(spec.x).isNotNull() & col(spec.y).isNotNull())
         .groupBy(col(spec.x), col(spec.y)).agg(sum_or_zero(col(spec.value)).cast("double").alias(spec.value))
     )
+    sums = store(sums)
     if most_cells is not None:
-        sums = coarse_cells(store(sums), spec.x, spec.y, spec.value, most_cells)
+        sums = coarse_cells(sums, spec.x, spec.y, spec.value, most_cells)
     return grid(sums, spec.x, spec.y, spec.value).orderBy(col(spec.y), col(spec.x))
 
 

@@ -82,6 +82,26 @@ def test_grids_are_bounded(spark):
     assert charts.OTHERS in labels and "k0" in labels
 
 
+def test_heatmap_is_whole_at_any_size(spark):
+    rows = spark.sql("SELECT id AS x, concat('k', id % 1000) AS y, 1.0D AS v FROM range(1001)")
+    out = chart_data(rows, {"type": "heatmap", "x": "x", "y": "y", "value": "v"})
+    assert dict(out.dtypes) == {"x": "bigint", "y": "string", "v": "double"}
+    totals = out.agg(F.count(F.lit(1)), F.count_distinct("x"), F.count_distinct("y"), F.sum("v"), F.count_if(F.col("v") != 0))
+    assert tuple(totals.first()) == (1_001_000, 1001, 1000, 1001.0, 1001)
+
+
+def test_grid_is_made_by_many_tasks(spark, monkeypatch):
+    for name, n in (("_GRID_BLOCK", 7), ("_GRID_LINES", 3), ("_TASK_CELLS", 100)):
+        monkeypatch.setattr(charts, name, n, raising=False)
+    sums = spark.sql("SELECT date_add(DATE'2024-01-01', cast(id % 20 AS int)) AS x, concat('k', id % 49) AS y, cast(id AS double) AS v FROM range(200)")
+    out = charts.grid(sums, "x", "y", "v", -1.0)
+    assert out.rdd.getNumPartitions() == 10
+    seen = {(r["x"], r["y"]): r["v"] for r in sums.collect()}
+    days, kinds = {k[0] for k in seen}, {k[1] for k in seen}
+    assert len(seen) == 200 and values(out) == sorted(((d, k, seen.get((d, k), -1.0)) for d in days for k in kinds), key=repr)
+    assert charts.grid(sums.limit(0), "x", "y", "v").count() == 0
+
+
 def test_treemap_levels_add_up(df):
     out = chart_data(df, {"type": "treemap", "path": ["g", "c"], "value": "v"})
     totals = {r["level"]: r["s"] for r in out.groupBy("level").agg(F.sum("value").alias("s")).collect()}
